@@ -15,6 +15,33 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .common import fold
+    from .langid import identify, train
+
+    docs = table(spark, sf_dir, "documents")
+    return identify(docs, *train(docs)).select("doc_id", (fold() == 2).alias("held_out"), "lang_pred", "score")
+
+
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .bpe import digests, encode
+
+    return digests(encode(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path()))
+
+
+def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ann import search
+
+    return search(table(spark, sf_dir, "embeddings"), "vec_id % 100 = 0")
+
+
+def tokenizer_path() -> str:
+    """The byte-level BPE file of the installed public tokenizers."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
