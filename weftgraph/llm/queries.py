@@ -15,6 +15,15 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .common import fold
+    from .toxicity import classify, train
+
+    docs = table(spark, sf_dir, "documents")
+    net = train(docs, table(spark, sf_dir, "labels"))
+    return classify(docs, net).select("doc_id", (fold() == 2).alias("held_out"), "score", "predicted")
+
+
 def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .common import fold
     from .langid import identify, train
