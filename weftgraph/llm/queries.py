@@ -24,6 +24,17 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(docs, net).select("doc_id", (fold() == 2).alias("held_out"), "score", "predicted")
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .quality import classify, train
+
+    docs = table(spark, sf_dir, "documents")
+    weights = train(docs, table(spark, sf_dir, "labels"))
+    scored = classify(docs.select("doc_id", "text", "lang", "source"), weights, F.col("source"), F.concat_ws("/", "source", "lang"))
+    return scored.select("doc_id", "host", "path", "evidence", "host_mean", "path_mean", "quality_score", "keep")
+
+
 def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .common import fold
     from .langid import identify, train
@@ -32,6 +43,22 @@ def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, *train(docs)).select("doc_id", (fold() == 2).alias("held_out"), "lang_pred", "score")
 
 
+#: The key of the registered query's surrogates; in production it comes from a secret store.
+PII_KEY = "weftgraph"
+
+
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import pseudonymise
+
+    return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
+
+
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import secrets, train
+
+    return secrets(table(spark, sf_dir, "documents"), train())
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe import digests, encode
 
