@@ -35,6 +35,12 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "host", "path", "evidence", "host_mean", "path_mean", "quality_score", "keep")
 
 
+def op5_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontam import matches
+
+    return matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .common import fold
     from .langid import identify, train
