@@ -82,13 +82,13 @@ def fingerprints(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
 def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in slices(batches, "text"):
         fp = fingerprints(*flat(b.column("text")))
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("hash"), pa.array(fp.view(np.int64))], ["doc_id", "hash", "fp"])
 
 
 def with_fingerprint(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint's 64 bits as a long."""
+    """(doc_id, hash, fp): hash is one of the text, fp the fingerprint's 64 bits as a long."""
     on_workers(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_fingerprint_batches, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64("text").alias("hash")).mapInArrow(_fingerprint_batches, "doc_id long, hash long, fp long")
 
 
 def links(fps: DataFrame) -> DataFrame:
@@ -106,13 +106,27 @@ def links(fps: DataFrame) -> DataFrame:
     return pairs.where(f"bit_count(fp ^ before) <= {RADIUS}").select(F.col("before").alias("a"), F.col("fp").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, fingerprint, component_id), a row for each row of docs."""
+def labelled(docs: DataFrame) -> DataFrame:
+    """(doc_id, hash, fp, label, component_id), a row for each row of docs; label is a component's smallest fingerprint."""
     fps = cut(with_fingerprint(docs))
     distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("rep"))
     label = components(links(distinct.select("fp")))
     least = distinct.join(label, F.col("fp") == F.col("node"), "left").select("fp", "rep", F.coalesce("label", "fp").alias("label"))
     least = cut(least)
     ids = least.groupBy("label").agg(F.min("rep").alias("component_id"))
-    of = least.join(ids, "label").select("fp", "component_id")
-    return fps.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return fps.join(least.join(ids, "label").select("fp", "label", "component_id"), "fp")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """(doc_id, fingerprint, component_id), a row for each row of docs."""
+    return labelled(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def deduplicate(docs: DataFrame) -> DataFrame:
+    """docs with one document of each component: that of the smallest doc_id (null ids last), and of these
+    of the smallest text hash; of repeated rows one stays. The columns are those of docs."""
+    first = labelled(docs).groupBy("label").agg(F.min(F.struct(F.isnull("doc_id").alias("last"), "doc_id", "hash")).alias("m"))
+    keep = first.select(F.col("m.doc_id").alias("keep_id"), F.col("m.hash").alias("keep_hash")).distinct()
+    held = docs.withColumn("text_hash", F.xxhash64("text"))
+    held = held.join(keep, F.col("doc_id").cast("long").eqNullSafe(F.col("keep_id")) & (F.col("text_hash") == F.col("keep_hash")), "left_semi")
+    return held.dropDuplicates(["doc_id", "text_hash"]).select(*docs.columns)
