@@ -23,8 +23,8 @@ from .common import cut, on_workers
 
 #: Rows that the lists' centres are fitted on, at most; lists at most; rounds of k-means.
 SAMPLE, MOST_LISTS, ROUNDS = 20_000, 4096, 8
-#: Share of the lists that a query probes, and the fewest.
-PROBED, LEAST_PROBED = 0.5, 8
+#: Share of the sample's own nearest neighbours that the probed lists must hold, and sample rows that are asked.
+TARGET, ASKED = 0.97, 400
 #: Columns in a block, and the tests' slack in standard deviations.
 COLUMNS, SLACK = 16, 2.4
 #: Candidates and queries packed into one row.
@@ -61,6 +61,23 @@ def nearest(x: np.ndarray, c: np.ndarray, k: int) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros((0, k), int)
 
 
+def probes_for(x: np.ndarray, c: np.ndarray, k: int) -> int:
+    """The fewest lists to probe for TARGET of the k nearest of some sample rows among the sample.
+
+    A sample is sparser than the whole, so its neighbours lie farther apart and over more lists: this errs to more.
+    """
+    some = np.random.default_rng(7).permutation(len(x))[:ASKED]
+    home, order = nearest(x, c, 1)[:, 0], nearest(x[some], c, len(c))
+    place = np.argsort(order, axis=1)
+    norm, seen = (x * x).sum(1), []
+    for j, i in enumerate(some):
+        d = norm - 2 * (x @ x[i])
+        d[i] = np.inf
+        near = np.argpartition(d, min(k, len(d) - 1) - 1)[:k]
+        seen.append(place[j, home[near]])
+    return 1 + int(np.quantile(np.concatenate(seen), TARGET, method="higher")) if len(x) > 1 else len(c)
+
+
 def scan(q: np.ndarray, q_id: int, turned: np.ndarray, vectors: np.ndarray, turned_q: np.ndarray, ids: np.ndarray, k: int, stats: list[int] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """The k nearest candidates of one query in one block: ids and exact distances."""
     d = turned.shape[1]
@@ -107,9 +124,9 @@ def search(vectors: DataFrame, is_query: str, k: int = 10, vec_id: str = "vec_id
     rows = rows.where(F.size("embedding") == d)
     sample = np.array([r[0] for r in rows.select("embedding", F.xxhash64("vec_id").alias("h"), "vec_id").orderBy("h", "vec_id").limit(SAMPLE).select("embedding").collect()], np.float64)
     lists = int(max(1, min(MOST_LISTS, len(sample) // 8, round(n**0.5 / 4))))
-    probes = min(lists, max(LEAST_PROBED, round(PROBED * lists)))
     turn = rotation(d)
     mid = centres(sample, lists)
+    probes = probes_for(sample, mid, k)
     shared = spark.sparkContext.broadcast((mid, turn))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
