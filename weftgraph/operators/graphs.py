@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import kernels
 from .loops import cut, empty
 
 
@@ -40,14 +41,33 @@ def levels(edges: DataFrame, starts: DataFrame) -> DataFrame:
         seen = seen.unionByName(front)
 
 
+#: Graphs of at most so many edges are searched in one place: their rounds cost more than their rows.
+SMALL = 20_000
+
+
+def small(edges: DataFrame) -> list[tuple] | None:
+    """The edges, sorted, if there are few; else null. No more than SMALL + 1 rows come to the driver."""
+    rows = edges.limit(SMALL + 1).collect()
+    return sorted(map(tuple, rows)) if len(rows) <= SMALL else None
+
+
 def shortest_cycles(edges: DataFrame) -> DataFrame:
     """(node, cycle): closed lists of the shortest cycles' length, one for each node on such a cycle.
 
     All nodes search at once, a level a round, and stop at the first level at which any comes back; of
     equal paths the smallest in dictionary order is kept. Loops do not count. Rows: at most nodes
-    squared, but only as deep as the shortest cycle.
+    squared, but only as deep as the shortest cycle. Small graphs are searched alike on the driver.
     """
     edges = cut(no_loops(edges))
+    few = small(edges)
+    if few is not None:
+        kind = edges.schema["src"].dataType.simpleString()
+        return edges.sparkSession.createDataFrame(kernels.shortest_cycles(few), f"node {kind}, cycle array<{kind}>")
+    return search_cycles(edges)
+
+
+def search_cycles(edges: DataFrame) -> DataFrame:
+    """As shortest_cycles, for edges without loops of any number."""
     front = cut(edges.select(F.col("src").alias("node"), F.col("dst").alias("at"), F.array("src", "dst").alias("path")))
     seen = front.select("node", "at")
     while not empty(front):

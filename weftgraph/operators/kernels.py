@@ -69,6 +69,32 @@ def minimum_cut(edges: Iterable[tuple[Node, Node, float]], source: Node, sink: N
     return value, near
 
 
+def shortest_cycles(edges: list[tuple]) -> list[tuple]:
+    """(node, closed cycle) for each node on a shortest cycle, the smallest of equal paths; edges sorted, without loops."""
+    after = defaultdict(list)
+    for u, v in edges:
+        after[u].append(v)
+    most, found = None, []
+    for n in sorted(after):
+        front, seen = {n: [n]}, {n}
+        length = 1
+        while front and (most is None or length < most):
+            length += 1
+            step: dict = {}
+            for path in front.values():
+                for v in after.get(path[-1], ()):
+                    if (v == n or v not in seen) and (v not in step or [*path, v] < step[v]):
+                        step[v] = [*path, v]
+            if n in step:
+                if most is None or length < most:
+                    most, found = length, []
+                found.append((n, step[n]))
+                break
+            seen.update(step)
+            front = step
+    return found
+
+
 def distances(graph: dict[Node, set[Node]], start: Node) -> dict[Node, int]:
     out, queue = {start: 0}, deque([start])
     while queue:
