@@ -7,10 +7,12 @@ import shlex
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Options that would spoil a dependency listing, and whether a value follows them.
 SPOILING = [("-o", True), ("--output", True), ("-MM", False), ("-MF", True), ("-MP", False), ("-MT", True), ("-MQ", True), ("-MD", False), ("-MMD", False), ("-MJ", True), ("-MV", False)]
 LISTING = ["-E", "-M", "-MT", "__dummy"]
+WORDS = T.ArrayType(T.StringType())
 SEARCH_FLAGS = ["-iquote", "-isystem", "-idirafter", "-I"]
 
 
@@ -21,7 +23,7 @@ def _split(command: str | None) -> list[str] | None:
         return None
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(WORDS)
 def shell_words(command: pd.Series) -> pd.Series:
     """A command line's words; null if its quotes don't match."""
     return command.map(_split)
@@ -51,13 +53,13 @@ def listing(words: list[str]) -> list[str]:
     return without([w for w in [*words[:1], *LISTING, *words[1:]] if w], "--gcc-toolchain", False)
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(WORDS)
 def dependency_command(words: pd.Series) -> pd.Series:
     return words.map(lambda w: None if w is None or len(w) == 0 else listing(list(w)))
 
 
 def without_option(words: Column, option: str, has_value: bool = False) -> Column:
-    @F.pandas_udf("array<string>")
+    @F.pandas_udf(WORDS)
     def run(words: pd.Series) -> pd.Series:
         return words.map(lambda w: None if w is None else without(list(w), option, has_value))
 

@@ -6,15 +6,16 @@ is_implicit, is_system, name, file, begin_line, begin_col, prev_file, prev_is_sy
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-c = F.col
-GLOBAL = c("parent_kind").isin("unit", "namespace")
-LOCAL = (c("linkage") != "external") & c("in_main_file")
-EXTERNAL_HERE = (c("linkage") == "external") & c("in_main_file")
-INTERNAL_TRAITS, VISIBLE_TRAITS = LOCAL & GLOBAL, EXTERNAL_HERE & GLOBAL
-NAMED = F.coalesce(c("name"), F.lit("")) != ""
+GLOBAL = "parent_kind IN ('unit', 'namespace')"
+LOCAL = "(linkage <> 'external' AND in_main_file)"
+EXTERNAL_HERE = "(linkage = 'external' AND in_main_file)"
+INTERNAL_TRAITS, VISIBLE_TRAITS = f"({LOCAL} AND {GLOBAL})", f"({EXTERNAL_HERE} AND {GLOBAL})"
+NAMED = "coalesce(name, '') <> ''"
+#: Not a definition, or one whose definition or body is elsewhere.
+FORWARD = "(NOT is_definition OR coalesce(def_file <> file, false))"
 
 
 def _symbols(df: DataFrame) -> DataFrame:
@@ -23,30 +24,25 @@ def _symbols(df: DataFrame) -> DataFrame:
 
 def problematic(decls: DataFrame) -> DataFrame:
     """Declarations that would clash when units are put together; a destructor's place is past its tilde."""
-    kinds = c("kind").isin("function", "variable", "record", "typedef") & INTERNAL_TRAITS
-    inline = (c("kind") == "function") & c("is_inline") & c("in_main_file") & ~c("is_method")
-    out = decls.where((kinds | inline) & ~c("is_implicit") & (~c("is_method") | c("is_ctor_dtor")) & NAMED & c("in_main_file"))
-    return _symbols(out.withColumn("begin_col", c("begin_col") + F.startswith(c("name"), F.lit("~")).cast("int")))
+    kinds = f"(kind IN ('function', 'variable', 'record', 'typedef') AND {INTERNAL_TRAITS})"
+    inline = "(kind = 'function' AND is_inline AND in_main_file AND NOT is_method)"
+    out = decls.where(f"({kinds} OR {inline}) AND NOT is_implicit AND (NOT is_method OR is_ctor_dtor) AND {NAMED} AND in_main_file")
+    return _symbols(out.withColumn("begin_col", F.expr("begin_col + CAST(startswith(name, '~') AS INT)")))
 
 
 def implemented(decls: DataFrame) -> DataFrame:
     """(header, symbol): what the unit defines and a header that is not a system's declared before."""
-    d = decls.where(c("kind").isin("function", "variable") & VISIBLE_TRAITS & c("prev_file").isNotNull() & (c("prev_file") != c("file")) & ~F.coalesce(c("prev_is_system"), F.lit(False)))
-    return d.select(c("prev_file").alias("header"), c("name").alias("symbol")).distinct()
-
-
-def _is_forward() -> Column:
-    """Not a definition, or one whose definition or body is elsewhere."""
-    return ~c("is_definition") | (c("def_file").isNotNull() & (c("def_file") != c("file")))
+    d = decls.where(f"kind IN ('function', 'variable') AND {VISIBLE_TRAITS} AND prev_file <> file AND NOT coalesce(prev_is_system, false)")
+    return d.select(F.col("prev_file").alias("header"), F.col("name").alias("symbol")).distinct()
 
 
 def forwards(decls: DataFrame) -> DataFrame:
-    here = (c("kind") == "function") & c("in_main_file") & c("def_file").isNotNull() & (c("def_file") == c("file"))
-    return _symbols(decls.where(c("kind").isin("function", "variable", "record") & GLOBAL & _is_forward() & ~c("is_system") & NAMED & ~here))
+    here = "(kind = 'function' AND in_main_file AND coalesce(def_file = file, false))"
+    return _symbols(decls.where(f"kind IN ('function', 'variable', 'record') AND {GLOBAL} AND {FORWARD} AND NOT is_system AND {NAMED} AND NOT {here}"))
 
 
 def definitions(decls: DataFrame) -> DataFrame:
-    return _symbols(decls.where((c("linkage") == "external") & GLOBAL & ~_is_forward() & (c("kind") != "field") & ~c("is_method") & ~c("is_system") & NAMED))
+    return _symbols(decls.where(f"linkage = 'external' AND {GLOBAL} AND NOT {FORWARD} AND kind <> 'field' AND NOT is_method AND NOT is_system AND {NAMED}"))
 
 
 def usages(refs: DataFrame, decls: DataFrame) -> DataFrame:
