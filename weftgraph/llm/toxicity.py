@@ -25,7 +25,7 @@ from .langid import _FOLD
 
 WINDOW, STRIDE = 32, 24
 #: Labelled rows of each class that training reads, at most, and windows of each of these, at most.
-SAMPLE, SAMPLE_WINDOWS = 1500, 24
+SAMPLE, SAMPLE_WINDOWS = 1500, 16
 #: Hidden units of each direction, dimensions of a word's and of a gram's embedding, hashed grams.
 HIDDEN, WORD_DIM, CHAR_DIM, GRAMS = 6, 6, 6, 1 << 12
 #: Documents of the sample in which a word is seen to be known: so many, and such a share; known words at most.
