@@ -155,7 +155,7 @@ class Shard:
             ahead = np.where(is_end, 0, np.minimum(place + step, n - 1))
             # A suffix that ends within `step` has a rank of its own by then; what follows it doesn't matter.
             pair = rank.astype(np.uint64) << np.uint64(32) | rank[ahead].astype(np.uint64)
-            order = np.argsort(pair, kind="stable")
+            order = np.argsort(pair)
             srt = pair[order]
             new = np.empty(n, np.int64)
             new[order] = np.concatenate([[0], np.cumsum(srt[1:] != srt[:-1])]) if n else 0
@@ -213,12 +213,13 @@ def repeats(segs: list[bytes], copies: np.ndarray) -> list[np.ndarray]:
         at = np.arange(len(seg)) - np.repeat(np.cumsum(n) - n, n)
         places.append((seg, at))
         local.append((at > size[seg] - HOP, at >= HOP))
-    named = [start[seg] + at for seg, at in places]
-    values = np.unique(np.concatenate([names[g[~e]] for g, (e, _) in zip(named, local)]))
+    # Names as dense ranks, alike in all shards.
+    order = np.argsort(names)
+    ranks = np.empty(len(names), np.int64)
+    ranks[order] = np.concatenate([[0], np.cumsum(names[order[1:]] != names[order[:-1]])])
     shards = []
-    for g, (is_end, has_before) in zip(named, local):
-        name = np.zeros(len(g), np.int64)
-        name[~is_end] = np.searchsorted(values, names[g[~is_end]])
+    for (seg, at), (is_end, has_before) in zip(places, local):
+        name = np.where(is_end, 0, ranks[np.where(is_end, 0, start[seg] + at)])
         shards.append(Shard(name, is_end, has_before))
     depth = LENGTH // HOP
     z, row, prefix = merge(shards, depth)
