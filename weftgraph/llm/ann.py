@@ -146,6 +146,9 @@ def search(vectors: DataFrame, is_query: str, k: int = 10, vec_id: str = "vec_id
     placed = cut(rows.mapInArrow(place, "vec_id long, query boolean, list int, v binary"))
     # A list with very many rows is dealt over as many blocks as it needs; its size is known first (one number a list).
     held = {r[0]: r[1] for r in placed.groupBy("list").count().collect()}
+    # Any lists that a query probes hold k others at least, if there are so many.
+    fewest = np.cumsum(sorted(held.get(i, 0) for i in range(lists)))
+    probes = max(probes, min(lists, 1 + int(np.searchsorted(fewest, k + 1))))
     parts = F.array(*[F.lit(-(-held.get(i, 0) // BLOCK) or 1) for i in range(lists)])
     blocks = placed.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.element_at(parts, F.col("list") + 1)))
     blocks = blocks.groupBy("list", "block").agg(F.collect_list(F.struct("vec_id", "v")).alias("rows"))
