@@ -267,3 +267,19 @@ def module_list(fragments: DataFrame, imported: DataFrame) -> DataFrame:
 
 def empty_like(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame([], T.StructType(df.schema.fields))
+
+
+def has_item(fragments: DataFrame, deps: DataFrame, item: str) -> DataFrame:
+    """One row: whether item is a module or a file with a dependency, by equality."""
+    names = fragments.select(F.col("module").alias("name")).union(deps.select("dependee"))
+    return names.agg(F.coalesce(F.bool_or(F.col("name") == item), F.lit(False)).alias("known"))
+
+
+def known_files(definitions: DataFrame, forwards: DataFrame) -> DataFrame:
+    """Files of which any symbol is known."""
+    return definitions.select("file").union(forwards.select("file")).distinct()
+
+
+def without_rows(all_rows: DataFrame, some: DataFrame, key: str) -> DataFrame:
+    """Set difference by a key."""
+    return all_rows.join(some.select(key).distinct(), key, "left_anti")

@@ -392,3 +392,86 @@ def split_modules(spark, sf):
 @query()
 def merged_modules(spark, sf):
     return passes.merge(State(fragments(spark, sf, fine=True), uses(spark, sf, SPARSE))).fragments
+
+
+# ---- more of texts, names and sets
+
+
+@query(f"{DENSE}, i AS (SELECT module, string_agg(line, chr(10) ORDER BY line) AS t FROM (SELECT DISTINCT src AS module, 'import ' || dst || ';' AS line FROM mods) GROUP BY module), c AS (SELECT module, string_agg(line, chr(10) ORDER BY line) AS t FROM (SELECT module, '#include \"' || file || '\"' AS line FROM fragments) GROUP BY module) SELECT c.module, 'export module FULL_NAME_' || c.module || ';' || chr(10) || coalesce(i.t || chr(10), '') || c.t AS text FROM c LEFT JOIN i ON i.module = c.module")
+def module_texts(spark, sf):
+    from .sources.writers import module_texts as texts
+
+    f = fragments(spark, sf)
+    return texts(f, rel.imports(uses(spark, sf), f))
+
+
+@query(f"{_RENAMES_SQL} SELECT file || '##' || line || ':' || col || '##' || what || '##' || to_str AS value FROM r1 JOIN b1 USING (binding_id)")
+def rename_lines(spark, sf):
+    from .sources.writers import rename_lines as lines
+
+    return lines(rename_directives(spark, sf))
+
+
+@query("WITH n AS (SELECT doc_id AS file, unnest(range(len(string_split(text, chr(10))))) AS pos, text FROM documents), l AS (SELECT file, CAST(pos AS INTEGER) AS pos, string_split(text, chr(10))[pos + 1] AS line FROM n) SELECT file, pos, CASE WHEN starts_with(line, 'The') THEN 'Renamed' || substr(line, 4) ELSE line END AS line FROM l")
+def renamed_source(spark, sf):
+    from .sources.writers import renamed_lines
+
+    lines = rel.numbered_lines(table(spark, sf, "documents").select(F.col("doc_id").alias("file"), "text"))
+    every = lines.select("file", (F.col("pos") + 1).alias("line"), F.lit(1).alias("col"), F.lit("The").alias("from_str"), F.lit("Renamed").alias("to_str"))
+    return renamed_lines(lines, every)
+
+
+@query("SELECT page_id, regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', '') AS path, regexp_replace(regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', ''), '^.*/', '') AS name FROM pages")
+def page_paths(spark, sf):
+    path = F.regexp_replace(fn.strip_root(F.regexp_replace("url", "^[a-z]+:", ""), "\x00none"), "[?#].*$", "")
+    return table(spark, sf, "pages").select("page_id", path.alias("path"), fn.file_name(path).alias("name"))
+
+
+@query("SELECT o_orderkey, 'f' || o_orderkey || '.cpp,h' || (o_custkey % 50) || '.h,h' || (o_custkey % 7) || '.h' AS paths FROM orders")
+def listed_dependencies(spark, sf):
+    s = lambda c: c.cast("string")
+    rule = F.concat(F.lit("__dummy: f"), s(F.col("o_orderkey")), F.lit(".cpp h"), s(F.col("o_custkey") % 50), F.lit(".h \\\n  h"), s(F.col("o_custkey") % 7), F.lit(".h\n"))
+    return table(spark, sf, "orders").select("o_orderkey", F.array_join(fn.make_dependencies(rule), ",").alias("paths"))
+
+
+@query("SELECT DISTINCT file FROM (SELECT 'p' || p_partkey AS file FROM part WHERE p_size > 25 UNION ALL SELECT 'p' || l_partkey FROM lineitem WHERE l_quantity > 45)")
+def known_files(spark, sf):
+    name = lambda c: F.concat(F.lit("p"), F.col(c).cast("string")).alias("file")
+    return rel.known_files(table(spark, sf, "part").where("p_size > 25").select(name("p_partkey")), table(spark, sf, "lineitem").where("l_quantity > 45").select(name("l_partkey")))
+
+
+@query("SELECT DISTINCT p_brand AS module FROM part WHERE p_brand NOT IN (SELECT p_brand FROM part WHERE p_size = 50 AND p_retailprice > 1000)")
+def allowed_buckets(spark, sf):
+    p = table(spark, sf, "part").select(F.col("p_brand").alias("module"), "p_size", "p_retailprice")
+    return rel.without_rows(p.select("module").distinct(), p.where("p_size = 50 and p_retailprice > 1000"), "module")
+
+
+@query(f"{_CYCLES} SELECT CAST(len(cycle) AS INTEGER) AS length, count(*) AS nodes FROM best GROUP BY ALL")
+def shortest_cycle_length(spark, sf):
+    return graphs.shortest_cycles(_edges(spark, sf)).groupBy(F.size("cycle").alias("length")).agg(F.count("*").alias("nodes"))
+
+
+@query(f"{DENSE}, h AS (SELECT dependee AS file, max(to_module) AS new_module FROM placed WHERE kind = 'implements' AND CAST(dependency AS BIGINT) % 2 = 0 AND from_module <> to_module GROUP BY dependee) SELECT coalesce(new_module, module) AS module, f.file FROM fragments f LEFT JOIN h ON h.file = f.file")
+def moved_fragments(spark, sf):
+    return rel.apply_moves(fragments(spark, sf), implementation_moves(spark, sf))
+
+
+@query(f"{FINE}, reach AS (SELECT src, dst FROM mods UNION SELECT r.src, m.dst FROM reach r JOIN mods m ON m.src = r.dst), cyc AS (SELECT src AS node FROM reach WHERE src = dst), n AS (SELECT src AS node FROM mods UNION SELECT dst FROM mods), good AS (SELECT node FROM n WHERE node NOT IN (SELECT node FROM cyc)), d AS (SELECT * FROM mods WHERE src IN (SELECT node FROM good) AND dst IN (SELECT node FROM good)), l AS (SELECT node, 0 AS layer FROM good UNION SELECT d.src, layer + 1 FROM l JOIN d ON d.dst = l.node) SELECT node, CAST(max(layer) AS INTEGER) AS layer, false AS cyclic FROM l GROUP BY node UNION ALL SELECT node, -1, true FROM cyc")
+def topological_order(spark, sf):
+    e = cut(_edges(spark, sf))
+    order = graphs.topological_order(e.select(F.col("src").alias("node")).union(e.select("dst")), e)
+    return order.withColumn("layer", F.coalesce("layer", F.lit(-1)))
+
+
+@query(f"{FINE}, starts AS (SELECT DISTINCT dst AS start FROM mods WHERE dst < 'Brand#12'), hop AS (SELECT start, start AS node, 0 AS level FROM starts UNION SELECT start, src, level + 1 FROM hop JOIN mods ON dst = node WHERE level < 20) SELECT start, node, CAST(min(level) AS INTEGER) AS level FROM hop WHERE node <> start GROUP BY start, node")
+def dependee_levels(spark, sf):
+    e = _edges(spark, sf)
+    return graphs.levels(graphs.reversed_edges(e), e.where("dst < 'Brand#12'").select(F.col("dst").alias("node")))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, coalesce(nullif(CASE WHEN l_partkey % 3 = 0 THEN '' ELSE 's' || l_partkey END, ''), 'unnameable_decl_at__' || l_linenumber || '_' || (l_suppkey % 80)) AS name, 'm' || (l_suppkey % 9) || '_' || l_partkey AS token FROM lineitem")
+def declared_names(spark, sf):
+    s = lambda c: c.cast("string")
+    name = F.when(F.col("l_partkey") % 3 == 0, "").otherwise(F.concat(F.lit("s"), s(F.col("l_partkey"))))
+    token = fn.rename_token(F.concat(F.lit("m"), s(F.col("l_suppkey") % 9)), s(F.col("l_partkey")))
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", fn.unnamed(name, F.col("l_linenumber"), (F.col("l_suppkey") % 80).cast("int")).alias("name"), token.alias("token"))
