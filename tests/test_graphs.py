@@ -25,8 +25,9 @@ def test_levels_leave_the_start_out(spark):
     assert rows(graphs.levels(edges(spark, "AB", "BA", "BC"), start)) == [("A", "B", 1), ("A", "C", 2)]
 
 
-def test_components(spark):
-    got = rows(graphs.components(edges(spark, "AB", "BC", "DE", "FF")))
+@pytest.mark.parametrize("join", [graphs.components, lambda e: graphs.label_components(graphs.no_loops(e))])
+def test_components(spark, join):
+    got = rows(join(edges(spark, "AB", "BC", "DE", "FF")))
     assert got == [("A", "A"), ("B", "A"), ("C", "A"), ("D", "D"), ("E", "D")]
 
 
@@ -44,6 +45,7 @@ def test_strong_components_against_reachability(spark):
     e = edges(spark, *pairs)
     assert {r[0] for r in graphs.cyclic_nodes(e).collect()} == want
     got = {r["node"]: r["component"] for r in graphs.strong_components(e).collect()}
+    assert got == {r["node"]: r["component"] for r in graphs.color_components(e).collect()}
     assert got == {a: min(b for b in nodes if (a, b) in reach and (b, a) in reach) for a in nodes if any(b != a and (a, b) in reach and (b, a) in reach for b in nodes)}
 
 

@@ -83,9 +83,18 @@ def search_cycles(edges: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component): the smallest node of each connected component, for nodes with an edge. Min labels with jumps."""
-    e = edges.select("src", "dst").where("src <> dst")
-    e = cut(e.unionByName(reversed_edges(e)).distinct())
+    """(node, component): the smallest node of each connected component, for nodes with an edge to another."""
+    edges = cut(no_loops(edges))
+    few = small(edges)
+    if few is not None:
+        kind = edges.schema["src"].dataType.simpleString()
+        return edges.sparkSession.createDataFrame(kernels.components(few), f"node {kind}, component {kind}")
+    return label_components(edges)
+
+
+def label_components(edges: DataFrame) -> DataFrame:
+    """As components, for edges of any number: min labels with jumps."""
+    e = cut(edges.unionByName(reversed_edges(edges)).distinct())
     labels = cut(e.groupBy(F.col("src").alias("node")).agg(F.least(F.min("dst"), F.first("src")).alias("label")))
     while True:
         near = e.join(labels.select(F.col("node").alias("dst"), "label"), "dst").groupBy(F.col("src").alias("node")).agg(F.min("label").alias("near"))
@@ -112,7 +121,17 @@ def trimmed(edges: DataFrame) -> DataFrame:
 
 
 def strong_components(edges: DataFrame) -> DataFrame:
-    """(node, component): strongly connected components of more than one node, by colouring.
+    """(node, component): strongly connected components of more than one node, named by their smallest."""
+    edges = cut(no_loops(edges))
+    few = small(edges)
+    if few is not None:
+        kind = edges.schema["src"].dataType.simpleString()
+        return edges.sparkSession.createDataFrame(kernels.strong_components(few), f"node {kind}, component {kind}")
+    return color_components(edges)
+
+
+def color_components(edges: DataFrame) -> DataFrame:
+    """As strong_components, for edges of any number, by colouring.
 
     The smallest node that reaches it colours each node; what of a colour leads back to the colour's
     own node is that node's component. Found nodes go, the rest is trimmed, and so on.

@@ -95,6 +95,58 @@ def shortest_cycles(edges: list[tuple]) -> list[tuple]:
     return found
 
 
+def strong_components(edges: list[tuple]) -> list[tuple]:
+    """(node, smallest node of its strong component), components of one node left out: two depth-first searches."""
+    after, before = defaultdict(list), defaultdict(list)
+    for u, v in edges:
+        after[u].append(v)
+        before[v].append(u)
+    order, met = [], set()
+    for root in sorted(after):
+        stack = [(root, iter(after[root]))] if root not in met else []
+        met.add(root)
+        while stack:
+            v = next((v for v in stack[-1][1] if v not in met), None)
+            if v is None:
+                order.append(stack.pop()[0])
+            else:
+                met.add(v)
+                stack.append((v, iter(after.get(v, ()))))
+    out, done = [], set()
+    for root in reversed(order):
+        if root in done:
+            continue
+        group, queue = [], [root]
+        done.add(root)
+        while queue:
+            group.append(queue.pop())
+            for u in before.get(group[-1], ()):
+                if u not in done:
+                    done.add(u)
+                    queue.append(u)
+        if len(group) > 1:
+            out += [(n, min(group)) for n in group]
+    return out
+
+
+def components(edges: list[tuple]) -> list[tuple]:
+    """(node, smallest node of its component)."""
+    near = defaultdict(list)
+    for u, v in edges:
+        near[u].append(v)
+        near[v].append(u)
+    out: dict = {}
+    for root in sorted(near):
+        queue = [] if root in out else [root]
+        out.setdefault(root, root)
+        while queue:
+            for v in near[queue.pop()]:
+                if v not in out:
+                    out[v] = root
+                    queue.append(v)
+    return list(out.items())
+
+
 def distances(graph: dict[Node, set[Node]], start: Node) -> dict[Node, int]:
     out, queue = {start: 0}, deque([start])
     while queue:
