@@ -44,6 +44,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores as it takes not to be a column of df."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        out.append(n)
+    return out
+
+
 def fold(doc_id: str | Column = "doc_id") -> Column:
     """crc32 of the id as text, modulo 4; 2 is held out. A null id counts as held out."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, fresh
 
 # Patterns of entities (Java regular expressions), titles, names.
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9](?:[A-Za-z0-9-]*+\.)+[A-Za-z]{2,}"
@@ -184,13 +184,14 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     table = assign(mentions, key)
     # Equal texts have equal mentions; so a text's hash, length and checksum stand for the row.
     maps = mentions.join(table, ["kind", "norm"]).withColumn("new", written(key, F.col("kind"), F.col("raw"), F.col("surrogate")))
-    maps = maps.groupBy(F.col("id").alias("of")).agg(F.map_from_entries(F.collect_list(F.struct("raw", "new"))).alias("map"))
+    id_, of, map_, found_ = fresh(docs, "id", "of", "map", "found")
+    maps = maps.groupBy(F.col("id").alias(of)).agg(F.map_from_entries(F.collect_list(F.struct("raw", "new"))).alias(map_))
     some = F.size(found(column)) > 0
-    with_any = docs.where(some).withColumn("id", id_of).join(maps, F.col("id") == F.col("of"), "left").withColumn("found", found(column))
-    new_of = F.transform("found", lambda r: F.coalesce(F.element_at(F.col("map"), r), r))
+    with_any = docs.where(some).withColumn(id_, id_of).join(maps, F.col(id_) == F.col(of), "left").withColumn(found_, found(column))
+    new_of = F.transform(found_, lambda r: F.coalesce(F.element_at(F.col(map_), r), r))
     pieces = F.split(column, ENTITY, -1)
     joined = F.array_join(F.flatten(F.zip_with(pieces, new_of, lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
-    n = F.size(F.filter("found", lambda r: F.element_at(F.col("map"), r).isNotNull()))
-    done = with_any.withColumn(text, F.when(F.col("map").isNull(), column).otherwise(joined)).withColumn("n_surrogates", F.when(F.col("map").isNull(), 0).otherwise(n))
+    n = F.size(F.filter(found_, lambda r: F.element_at(F.col(map_), r).isNotNull()))
+    done = with_any.withColumns({text: F.when(F.col(map_).isNull(), column).otherwise(joined), "n_surrogates": F.when(F.col(map_).isNull(), 0).otherwise(n)})
     rest = docs.where(F.coalesce(~some, F.lit(True))).withColumn("n_surrogates", F.lit(0))
     return rest.unionByName(done.select(*docs.columns, "n_surrogates"))

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, flat, on_workers, slices
+from .common import components, cut, flat, fresh, on_workers, slices
 
 #: Bits by which linked fingerprints may differ, and what each side of a meeting flips.
 RADIUS, HALF = 2, 1
@@ -126,7 +126,8 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     """docs with one document of each component: that of the smallest doc_id (null ids last), and of these
     of the smallest text hash; of repeated rows one stays. The columns are those of docs."""
     first = labelled(docs).groupBy("label").agg(F.min(F.struct(F.isnull("doc_id").alias("last"), "doc_id", "hash")).alias("m"))
-    keep = first.select(F.col("m.doc_id").alias("keep_id"), F.col("m.hash").alias("keep_hash")).distinct()
-    held = docs.withColumn("text_hash", F.xxhash64("text"))
-    held = held.join(keep, F.col("doc_id").cast("long").eqNullSafe(F.col("keep_id")) & (F.col("text_hash") == F.col("keep_hash")), "left_semi")
-    return held.dropDuplicates(["doc_id", "text_hash"]).select(*docs.columns)
+    text_hash, keep_id, keep_hash = fresh(docs, "text_hash", "keep_id", "keep_hash")
+    keep = first.select(F.col("m.doc_id").alias(keep_id), F.col("m.hash").alias(keep_hash)).distinct()
+    held = docs.withColumn(text_hash, F.xxhash64("text"))
+    held = held.join(keep, F.col("doc_id").cast("long").eqNullSafe(F.col(keep_id)) & (F.col(text_hash) == F.col(keep_hash)), "left_semi")
+    return held.dropDuplicates(["doc_id", text_hash]).select(*docs.columns)
