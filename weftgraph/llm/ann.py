@@ -151,7 +151,8 @@ def search(vectors: DataFrame, is_query: str, k: int = 10, vec_id: str = "vec_id
     probes = max(probes, min(lists, 1 + int(np.searchsorted(fewest, k + 1))))
     parts = F.array(*[F.lit(-(-held.get(i, 0) // BLOCK) or 1) for i in range(lists)])
     blocks = placed.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.element_at(parts, F.col("list") + 1)))
-    blocks = blocks.groupBy("list", "block").agg(F.collect_list(F.struct("vec_id", "v")).alias("rows"))
+    # A set, so that a row repeated any number of times travels once from each task.
+    blocks = blocks.groupBy("list", "block").agg(F.collect_set(F.struct("vec_id", "v")).alias("rows"))
     blocks = blocks.select("list", F.col("rows.vec_id").alias("ids"), F.col("rows.v").alias("vs"))
     asked = placed.where("query").select("vec_id", "v").mapInArrow(probe, "vec_id long, list int, v binary")
     n_asked = max(1, placed.where("query").count() * probes // max(1, lists) // QUERIES)
@@ -164,8 +165,6 @@ def search(vectors: DataFrame, is_query: str, k: int = 10, vec_id: str = "vec_id
             for r in b.to_pylist():
                 v = np.frombuffer(b"".join(r["vs"]), np.float64).reshape(-1, d)
                 ids = np.array(r["ids"], np.int64)
-                _, one = np.unique(np.rec.fromarrays([ids, np.array([hash(x) for x in r["vs"]])]), return_index=True)
-                v, ids = v[one], ids[one]
                 q = np.frombuffer(b"".join(r["qs"]), np.float64).reshape(-1, d)
                 tv, tq = v @ turn, q @ turn
                 got = [(i, *scan(q[j], i, tv, v, tq[j], ids, k)) for j, i in enumerate(r["q_ids"])]
