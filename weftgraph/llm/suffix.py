@@ -279,7 +279,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     on_workers(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64("text").alias("key"))
     anchors = rows.select("key", "text").mapInArrow(_anchors, "key long, h long")
-    twice = anchors.groupBy("h").count().where("count > 1").select("h")
+    # Kept first, so that both sides of the join are exchanges of their own: Spark can then split a hash of very many rows.
+    twice = cut(anchors.groupBy("h").count().where("count > 1").select("h"))
     of_text = cut(anchors.join(twice, "h").groupBy("key").agg(F.collect_set("h").alias("hs")))
     n = of_text.agg(F.coalesce(F.sum(F.size("hs")), F.lit(0))).first()[0]
     # A selected hash stands for about (SPAN - GRAM) / 2 bytes of text, a stretch has some four times that.
