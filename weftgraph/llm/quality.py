@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import flat, on_workers, slices
+from .common import cut, flat, on_workers, slices
 
 BUCKETS = 1 << 11
 #: Labelled rows of each class that the classifier is fitted on, at most.
@@ -27,6 +27,8 @@ SAMPLE = 1500
 ROUNDS, RATE, DECAY = 150, 0.1, 1e-4
 #: Documents scoring less are rejected.
 REJECT = 0.5
+#: Rows of posteriors (five values each) that are broadcast, at most; more are joined by a shuffle.
+BROADCAST = 200_000
 #: Bounds of a prior's strength, in documents.
 WEAKEST, STRONGEST = 1.0, 1e6
 
@@ -143,13 +145,14 @@ def classify(docs: DataFrame, weights: np.ndarray, host: Column, path: Column) -
     """docs with evidence, host_mean, path_mean, quality_score and keep.
 
     The evidence is computed once for the posteriors, from the text alone, and once more for the
-    rows themselves: that reads the input twice, but no text is shuffled while the table of posteriors
-    is small enough for Spark to broadcast; beyond that Spark's own size check sorts and splits.
+    rows themselves: that reads the input twice, but no text is shuffled as long as there are at most
+    BROADCAST paths; beyond that a sort-merge join takes over, whose hot paths Spark can split.
     """
     added = ["host", "path", "evidence", "base", "host_mean", "path_mean", "quality_score", "keep"]
     held = docs.drop(*added).withColumn("host", host).withColumn("path", path)
     post = posteriors(with_evidence(held.select("text", "host", "path"), weights).drop("text"))
-    post = post.withColumnRenamed("host", "of_host").withColumnRenamed("path", "of_path")
+    post = cut(post.withColumnRenamed("host", "of_host").withColumnRenamed("path", "of_path"))
+    post = F.broadcast(post) if post.count() <= BROADCAST else post
     odds = lambda p: F.log(F.greatest(p, F.lit(1e-6)) / F.greatest(1 - p, F.lit(1e-6)))
     scored = with_evidence(held, weights).join(post, F.col("host").eqNullSafe(F.col("of_host")) & F.col("path").eqNullSafe(F.col("of_path"))).drop("of_host", "of_path")
     z = odds(F.col("evidence")) + odds(F.col("path_mean")) - odds(F.col("base"))
