@@ -2,6 +2,8 @@
 
 import re
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as cp
 from weftgraph.llm import pii
 from weftgraph.llm.common import table
@@ -34,6 +36,14 @@ def test_stages(spark, tmp_path):
     assert cp.run(spark, SF).count() == len(named)
 
 
+def test_clashing_columns_stay(spark):
+    docs = table(spark, SF, "documents").limit(40).select("*", *[F.col("doc_id").alias(c) for c in ("host", "keep", "id", "found", "map", "text_hash", "Evidence")])
+    for _, stage in cp.STAGES[:4]:
+        docs = stage(spark, docs, SF)
+    rows = docs.collect()
+    assert rows and all(r[c] == r["doc_id"] for r in rows for c in ("host", "keep", "id", "found", "map", "text_hash", "Evidence"))
+
+
 def test_empty_documents(spark, tmp_path):
     docs = table(spark, SF, "documents").limit(0)
     for _, stage in cp.STAGES:

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, flat, on_workers, slices
+from .common import cut, flat, fresh, on_workers, slices
 
 BUCKETS = 1 << 11
 #: Labelled rows of each class that the classifier is fitted on, at most.
@@ -141,6 +141,18 @@ def path_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*://)?([^/?#]*(?:/[^/?#]*)?)", 1))
 
 
+#: Columns that classify adds; those of docs with these names are left out.
+ADDED = ["host", "path", "evidence", "base", "host_mean", "path_mean", "quality_score", "keep", "of_host", "of_path"]
+
+
+def kept(docs: DataFrame, weights: np.ndarray, host: Column, path: Column) -> DataFrame:
+    """The rows of docs that are kept, with the columns of docs whatever their names."""
+    clash = {c: new for c in docs.columns if c.lower() in ADDED for new in fresh(docs, c + "_own")}
+    held = docs.withColumns({new: F.col(c) for c, new in clash.items()}) if clash else docs
+    scored = classify(held, weights, host, path)
+    return scored.where("keep").select(*[F.col(clash[c]).alias(c) if c in clash else F.col(c) for c in docs.columns])
+
+
 def classify(docs: DataFrame, weights: np.ndarray, host: Column, path: Column) -> DataFrame:
     """docs with evidence, host_mean, path_mean, quality_score and keep.
 
@@ -148,8 +160,7 @@ def classify(docs: DataFrame, weights: np.ndarray, host: Column, path: Column) -
     rows themselves: that reads the input twice, but no text is shuffled as long as there are at most
     BROADCAST paths; beyond that a sort-merge join takes over, whose hot paths Spark can split.
     """
-    added = ["host", "path", "evidence", "base", "host_mean", "path_mean", "quality_score", "keep"]
-    held = docs.drop(*added).withColumn("host", host).withColumn("path", path)
+    held = docs.drop(*ADDED).withColumn("host", host).withColumn("path", path)
     post = posteriors(with_evidence(held.select("text", "host", "path"), weights).drop("text"))
     post = cut(post.withColumnRenamed("host", "of_host").withColumnRenamed("path", "of_path"))
     post = F.broadcast(post) if post.count() <= BROADCAST else post
