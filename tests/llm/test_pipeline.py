@@ -49,3 +49,33 @@ def test_empty_documents(spark, tmp_path):
     for _, stage in cp.STAGES:
         docs = stage(spark, docs, SF)
     assert docs.count() == 0
+
+
+def test_near_copies(spark):
+    def copy(text, at):
+        w = text.split()
+        return " ".join([*w[:at], "changed", *w[at + 1 :]])
+
+    rows = [(r["doc_id"], r["text"]) for r in table(spark, SF, "documents").select("doc_id", "text").collect()]
+    long = [(i, t) for i, t in rows if len(t.split()) >= 100]
+    rows += [(10**6 + i, copy(t, len(t.split()) // 2)) for i, t in long] + [(10**7 + i, copy(copy(t, 30), 60)) for i, t in long]
+    rows += [(None, None), (1, ""), (2 * 10**7, " \t"), (2 * 10**7, " \t"), (3 * 10**7, "two words"), (4 * 10**7, "Two  words"), (5 * 10**7, "other words")]
+
+    def shingles(t):
+        w = (t or "").lower().split()
+        return frozenset(" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset()
+
+    sets = [shingles(t) for _, t in rows]
+    label = list(range(len(rows)))
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets[:i]):
+            both = len(x & y)
+            if label[i] != label[j] and both >= 0.8 * (len(x) + len(y) - both):
+                old, new = label[i], label[j]
+                label = [new if z == old else z for z in label]
+    least = {}
+    for (i, _), z in zip(rows, label):
+        if i is not None:
+            least[z] = min(least.get(z, i), i)
+    got = sorted(r["doc_id"] for r in cp.one_of_each(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF).collect())
+    assert long and got == sorted(least.values())

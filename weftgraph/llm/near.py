@@ -1,0 +1,107 @@
+"""Near copies for a corpus: texts whose sets of five-word shingles are similar by 0.8 or more (Jaccard).
+
+MinHash finds candidates, the shingle sets themselves decide. Texts of fewer words have one shingle,
+all their words; null and empty texts and those of white space only have none, and are copies of each
+other. Case and the kind of white space do not count. Copies of copies are one group.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import components, cut, flat, fresh, on_workers, slices
+from .simhash import SEED, shingles
+
+WORDS, SIMILAR = 5, 0.8
+#: Bands, and least hashes in each: of pairs with similarity 0.8 a share of (1 - 0.8**4)**20 = 0.00003 shares no band.
+BANDS, ROWS = 20, 4
+_ODD = np.random.default_rng(SEED).integers(1 << 63, size=(2, BANDS, ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def sets(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of each text's distinct shingles in order, and where each text's begin (and the last ends)."""
+    text, begin, end, count = shingles(data, starts, WORDS)
+    h64 = xxhash.xxh64_intdigest
+    h = np.fromiter((h64(text[s:e], SEED) for s, e in zip(begin.tolist(), end.tolist())), np.uint64, len(begin))
+    of = np.repeat(np.arange(len(count)), count)
+    order = np.lexsort((h, of))
+    h, of = h[order], of[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (of[1:] != of[:-1])
+    return h[new], np.concatenate([[0], np.cumsum(np.bincount(of[new], minlength=len(count)))]).astype(np.int64)
+
+
+def _sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in slices(batches, "text"):
+        h, at = sets(*flat(b.column("text")))
+        raw = h.tobytes()
+        node = np.fromiter((xxhash.xxh64_intdigest(raw[8 * s : 8 * e], SEED) for s, e in zip(at[:-1].tolist(), at[1:].tolist())), np.uint64, b.num_rows)
+        full = np.flatnonzero(np.diff(at))
+        bands = np.zeros((len(full), BANDS), np.uint64)
+        for i in range(BANDS if len(full) else 0):
+            for j in range(ROWS):
+                bands[:, i] += np.minimum.reduceat((h ^ (h >> np.uint64(32))) * _ODD[0, i, j], at[full]) * _ODD[1, i, j]
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum((np.diff(at) > 0) * BANDS)]).astype(np.int32)), pa.array(bands.ravel().view(np.int64)))
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("hash"), pa.array(node.view(np.int64)), pa.array(np.diff(at)), lists], ["doc_id", "hash", "node", "size", "bands"])
+
+
+def _similar_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for b in slices(iter([batch]), "text_a"):
+            (x, at), (y, by) = (sets(*flat(b.column(c))) for c in ("text_a", "text_b"))
+            both = np.array([len(np.intersect1d(x[at[i] : at[i + 1]], y[by[i] : by[i + 1]], True)) for i in range(b.num_rows)], np.int64)
+            all_ = np.diff(at) + np.diff(by) - both
+            good = pa.array(both >= SIMILAR * all_ - 1e-9)
+            yield pa.RecordBatch.from_arrays([b.column("a").filter(good), b.column("b").filter(good)], ["a", "b"])
+
+
+def _similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) of nodes whose shingle sets are similar enough; texts(node, text) has each node's."""
+    held = [texts.select(F.col("node").alias(n), F.col("text").alias(f"text_{n}")) for n in ("a", "b")]
+    return cut(pairs.join(held[0], "a").join(held[1], "b").select("a", "b", "text_a", "text_b").mapInArrow(_similar_batches, "a long, b long"))
+
+
+def labelled(docs: DataFrame) -> DataFrame:
+    """(doc_id, hash, node, label), a row for each row of docs: node stands for a set of shingles, label for a group.
+
+    Who shares a band with others is compared with the least of them; then, of each band, all pairs that
+    are not in one group yet. What is left out joins nothing new, so groups are those of all colliding pairs.
+    """
+    on_workers(docs.sparkSession)
+    plain = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64("text").alias("hash"))
+    rows = cut(plain.mapInArrow(_sketch_batches, "doc_id long, hash long, node long, size long, bands array<long>"))
+    bands = rows.select("node", "size", F.posexplode("bands").alias("band", "key")).distinct()
+    least = bands.groupBy("band", "key").agg(F.min(F.struct("node", "size")).alias("a"), F.count("*").alias("n")).where("n > 1")
+    members = cut(bands.join(least.select("band", "key", "a"), ["band", "key"]))
+    alike = lambda a, b: F.least(a, b) >= SIMILAR * F.greatest(a, b) - 1e-9  # noqa: E731  (no similarity exceeds this)
+    first = cut(members.where("node <> a.node").where(alike(F.col("size"), F.col("a.size"))).select(F.col("a.node").alias("a"), F.col("node").alias("b")).distinct())
+    # One text for each node that shares a band with another.
+    one = rows.groupBy("node").agg(F.min(F.struct("doc_id", "hash")).alias("m")).join(members.select("node").distinct(), "node", "left_semi")
+    one = one.select("node", F.col("m.doc_id").alias("one_id"), F.col("m.hash").alias("one_hash"))
+    texts = plain.join(one, F.col("hash").eqNullSafe(F.col("one_hash")) & F.col("doc_id").eqNullSafe(F.col("one_id"))).select("node", "text").dropDuplicates(["node"])
+    texts = cut(texts)
+    links = _similar(first, texts)
+    label = components(links)
+    grouped = cut(members.join(label, "node", "left").select("band", "key", "node", "size", F.coalesce("label", "node").alias("label")))
+    other = grouped.select("band", "key", F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("label").alias("label_b"))
+    rest = grouped.withColumnRenamed("node", "a").join(other, ["band", "key"]).where("a < b and label <> label_b").where(alike(F.col("size"), F.col("size_b")))
+    links = links.unionByName(_similar(rest.select("a", "b").distinct().join(first, ["a", "b"], "left_anti"), texts))
+    label = components(links)
+    return rows.join(label, "node", "left").select("doc_id", "hash", "node", F.coalesce("label", "node").alias("label"))
+
+
+def deduplicate(docs: DataFrame) -> DataFrame:
+    """docs with one document of each group: that of the smallest doc_id (null ids last), and of these
+    of the smallest text hash; of repeated rows one stays. The columns are those of docs."""
+    first = labelled(docs).groupBy("label").agg(F.min(F.struct(F.isnull("doc_id").alias("last"), "doc_id", "hash")).alias("m"))
+    text_hash, keep_id, keep_hash = fresh(docs, "text_hash", "keep_id", "keep_hash")
+    keep = first.select(F.col("m.doc_id").alias(keep_id), F.col("m.hash").alias(keep_hash)).distinct()
+    held = docs.withColumn(text_hash, F.xxhash64("text"))
+    held = held.join(keep, F.col("doc_id").cast("long").eqNullSafe(F.col(keep_id)) & (F.col(text_hash) == F.col(keep_hash)), "left_semi")
+    return held.dropDuplicates(["doc_id", text_hash]).select(*docs.columns)
