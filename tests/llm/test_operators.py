@@ -277,6 +277,20 @@ def test_surrogates_stay_distinct(spark):
     assert not {(r["kind"], r["surrogate"]) for r in got} & {(r["kind"], r["norm"]) for r in got}
 
 
+def test_people_of_one_surname_stay_distinct(spark):
+    men = ["John", "Michael", "Brian", "Henry", "Steven", "Alan", *[f"Given{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(100)], "Louis", "Борис", "Алексей"]
+    said = [f"{title} {m} Smith" for title in ("Mr", "Dr", "Herr") for m in men] + ["Mrs Anna Smith", "Ms Joan Smith", "Mr Иван Петров", "Mrs Ольга Петров"]
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(said)] + [(1000, "Dear Mr John Smith")], "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in pii.pseudonymise(d, "weftgraph").collect()}
+    new = [got[i] for i in range(len(said))]
+    assert len(set(new)) == len(said) and got[1000] == "Dear " + new[0]
+    assert len({x.split()[2] for x, old in zip(new, said) if old.endswith("Smith")}) == 1
+    assert [x.split()[1] for x in new[: len(men)]] == [x.split()[1] for x in new[2 * len(men) : 3 * len(men)]]  # Mr and Herr are of one gender
+    assert not {x.split()[1] for x in new} & {old.split()[1] for old in said}
+    for x, old in zip(new, said):
+        assert [re.sub("[а-яё-]", "", p.lower()) == "" for p in x.split()] == [re.sub("[а-яё-]", "", p.lower()) == "" for p in old.split()]
+
+
 def test_pii_plan_has_no_python(spark, docs):
     plan = pii.pseudonymise(docs, "k")._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)

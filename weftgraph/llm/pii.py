@@ -4,8 +4,9 @@ Only DataFrame functions: patterns find entities, keyed digests give surrogates,
 distinct entities of the corpus is checked for collisions, so that distinct entities stay distinct and
 no surrogate is a real entity. Equal entities get equal surrogates everywhere (coreference), whatever
 their separators or case. A surrogate keeps the kind of each character (digit, case, script), card and
-bank account check digits are right, an address keeps its octets' widths, a titled name's given name
-fits the title's gender.
+bank account check digits are right, an address keeps its octets' widths. A titled name's given name is
+an entity of its own beside the surname, with its title's gender: its surrogate fits that gender, and
+different given names stay different.
 
 Null texts stay null, texts without entities stay as they are. Texts are read whole. Repeated rows stay
 repeated and alike. Other columns pass through; n_surrogates is replaced if it is there.
@@ -31,6 +32,12 @@ NAME = rf"(?<![\p{{L}}])(?:{'|'.join(MEN + WOMEN + ANY)})\.? \p{{Lu}}\p{{Ll}}+(?
 MEN_GIVEN = "Albert Bruno Carlos David Emil Felix Georg Hugo Ivan Jonas Karl Louis Martin Oscar Paul Robert Simon Thomas Victor Walter".split()
 WOMEN_GIVEN = "Alice Berta Clara Diana Elena Flora Greta Helena Irene Julia Karin Laura Maria Nora Olga Paula Rosa Sara Teresa Vera".split()
 SURNAMES = "Abbott Becker Castro Dumont Engel Fischer Garnier Harper Ibarra Jansen Keller Lambert Moreau Norton Ortega Parker Quinn Renard Schuster Torres Ulrich Vargas Weber Young Zimmer".split()
+#: By the script of a name (the letters it begins with; others get the Latin lists): men's, women's, surnames.
+NAMES = [
+    ("^[\\u0370-\\u03FF\\u1F00-\\u1FFF]", "Αλέξανδρος Βασίλης Γιώργος Δημήτρης Θωμάς Κώστας Λεωνίδας Μιχάλης Νίκος Πέτρος Στέφανος Χρήστος".split(), "Αγγελική Βασιλική Γεωργία Δέσποινα Ελένη Ιωάννα Κατερίνα Μαρία Νίκη Σοφία Φωτεινή Χριστίνα".split(), "Αντωνίου Βλάχος Γεωργίου Δήμου Ζέρβας Ιωάννου Καραγιάννης Λάμπρου Μακρής Νικολάου Οικονόμου Παππάς Ράπτης Σαμαράς".split()),
+    ("^[\\u0400-\\u04FF]", "Андрей Борис Виктор Григорий Дмитрий Егор Захар Игорь Кирилл Леонид Михаил Николай Олег Павел Роман Сергей".split(), "Анна Вера Галина Дарья Елена Жанна Зоя Ирина Ксения Лариса Марина Наталья Ольга Полина Раиса Софья".split(), "Антонов Белов Власов Громов Демидов Ершов Жуков Зайцев Климов Лебедев Морозов Носов Орлов Павлов Романов Соколов Титов Уваров".split()),
+    ("", MEN_GIVEN, WOMEN_GIVEN, SURNAMES),
+]
 ALPHABETS = ["0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "àáâäçèéêëíîïñóôöùúûü", "ÀÁÂÄÇÈÉÊËÍÎÏÑÓÔÖÙÚÛÜ", "абвгдежзийклмнопрстуфхцчшщыэюя", "АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЫЭЮЯ", "αβγδεζηθικλμνξοπρστυφχψω", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ"]
 
 ENTITY = "|".join([EMAIL, PHONE, ACCOUNT, CARD, ADDRESS, NUMBER, NAME])
@@ -80,6 +87,13 @@ def norm_of(kind: Column, raw: Column) -> Column:
     return F.when(kind == "email", F.lower(raw)).when(kind == "name", F.regexp_extract(raw, r"([\p{L}]+)$", 1)).when(kind == "account", F.regexp_replace(raw, " ", "")).when(kind == "address", raw).otherwise(_digits(raw))
 
 
+def given_of(kind: Column, raw: Column) -> Column:
+    """A titled name's given name behind its title's gender (m, w, or a for any); null if it has none."""
+    title, given = F.regexp_extract(raw, r"^(\p{L}+)", 1), F.regexp_extract(raw, r"^\p{L}+\.? (\p{L}+)[ -]\p{L}+$", 1)
+    gender = F.when(title.isin(MEN), "m").when(title.isin(WOMEN), "w").otherwise("a")
+    return F.when((kind == "name") & (given != ""), F.concat(gender, F.lit("\x1f"), given))
+
+
 def _key_at(digest: Column, i: Column) -> Column:
     """A number below 65,536 of the digest's hex digits, for place i."""
     return F.conv(F.substr(digest, (i * 3) % 124 + 1, F.lit(4)), 16, 10).cast("int")
@@ -119,10 +133,17 @@ def surrogate(key: str, kind: Column, norm: Column, attempt: Column) -> Column:
     address = F.array_join(F.transform(F.split(norm, r"\."), octet), ".")
     # Phones: the country code's first digit stays.
     phone = F.concat(F.substr(norm, F.lit(1), F.lit(1)), F.substr(like, F.lit(2)))
-    # Names: more parts at each further attempt, as the list is short.
-    part = lambda i: F.element_at(F.array(*map(F.lit, SURNAMES)), _key_at(digest, i) % len(SURNAMES) + 1)
-    name = F.array_join(F.transform(F.sequence(F.lit(0), F.least(attempt, F.lit(30))), part), "-")
-    return F.when(kind == "email", email).when(kind == "card", card).when(kind == "account", account).when(kind == "address", address).when(kind == "phone", phone).when(kind == "name", name).otherwise(like)
+    # Names: more parts at each further attempt, as the lists are short.
+    def parts(names: list[str]) -> Column:
+        part = lambda i: F.element_at(F.array(*map(F.lit, names)), _key_at(digest, i) % len(names) + 1)
+        return F.array_join(F.transform(F.sequence(F.lit(0), F.least(attempt, F.lit(30))), part), "-")
+
+    gender, said = F.substring_index(norm, "\x1f", 1), F.substring_index(norm, "\x1f", -1)
+    name = given = F.lit(None).cast("string")
+    for script, men, women, surnames in reversed(NAMES):
+        name = F.when(norm.rlike(script), parts(surnames)).otherwise(name)
+        given = F.when(said.rlike(script), F.when(gender == "m", parts(men)).when(gender == "w", parts(women)).otherwise(parts(men + women))).otherwise(given)
+    return F.when(kind == "email", email).when(kind == "card", card).when(kind == "account", account).when(kind == "address", address).when(kind == "phone", phone).when(kind == "name", name).when(kind == "given", given).otherwise(like)
 
 
 def assign(entities: DataFrame, key: str) -> DataFrame:
@@ -135,7 +156,7 @@ def assign(entities: DataFrame, key: str) -> DataFrame:
     while True:
         given = taken.withColumn("surrogate", surrogate(key, F.col("kind"), F.col("norm"), F.col("attempt")))
         first = given.groupBy("kind", "surrogate").agg(F.min(F.struct("attempt", "norm")).alias("m")).select("kind", "surrogate", F.col("m.norm").alias("owner"))
-        clash = real.select("kind", F.col("norm").alias("surrogate"), F.lit(True).alias("is_real"))
+        clash = real.select("kind", F.substring_index("norm", "\x1f", -1).alias("surrogate"), F.lit(True).alias("is_real")).distinct()
         given = cut(given.join(first, ["kind", "surrogate"]).join(clash, ["kind", "surrogate"], "left").withColumn("again", (F.col("owner") != F.col("norm")) | F.coalesce("is_real", F.lit(False))))
         if not given.where("again").limit(1).count():
             return given.select("kind", "norm", "surrogate")
@@ -149,14 +170,10 @@ def _refill(raw: Column, chars: Column, which: str) -> Column:
     return F.aggregate(_chars(raw), start, step, lambda a: a["out"])
 
 
-def written(key: str, kind: Column, raw: Column, new: Column) -> Column:
-    """A surrogate in the format of the mention it stands for."""
+def written(kind: Column, raw: Column, new: Column, given: Column) -> Column:
+    """A surrogate in the format of the mention it stands for; given is the given name's, or null."""
     title = F.regexp_extract(raw, r"^(\p{L}+\.? )", 1)
-    given = F.regexp_extract(raw, r"^\p{L}+\.? (\p{L}+[ -])\p{L}+$", 1)
-    digest = F.sha2(F.concat_ws("\x1f", F.lit(key), F.lit("given"), given), 256)
-    pick = lambda names: F.element_at(F.array(*map(F.lit, names)), _key_at(digest, F.lit(0)) % len(names) + 1)
-    word = F.regexp_extract(raw, r"^(\p{L}+)", 1)
-    first = F.when(given == "", "").otherwise(F.concat(F.when(word.isin(MEN), pick(MEN_GIVEN)).when(word.isin(WOMEN), pick(WOMEN_GIVEN)).otherwise(pick(MEN_GIVEN + WOMEN_GIVEN)), F.substr(given, F.length(given))))
+    first = F.when(given.isNull(), "").otherwise(F.concat(given, F.regexp_extract(raw, r"([ -])\p{L}+$", 1)))
     return (
         F.when(kind == "name", F.concat(title, first, new))
         .when(kind == "email", F.when((raw == F.upper(raw)), F.upper(new)).otherwise(new))
@@ -180,10 +197,14 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     column, id_of = F.col(text), F.struct(F.xxhash64(text), F.octet_length(text), F.crc32(F.col(text).cast("binary")))
     mentions = docs.select(id_of.alias("id"), F.explode(F.array_distinct(found(column))).alias("raw")).distinct()
     kind = kind_of(F.col("raw"))
-    mentions = cut(mentions.withColumn("kind", kind).where("kind is not null").withColumn("norm", norm_of(F.col("kind"), F.col("raw"))))
-    table = assign(mentions, key)
+    mentions = mentions.withColumn("kind", kind).where("kind is not null")
+    mentions = cut(mentions.withColumn("norm", norm_of(F.col("kind"), F.col("raw"))).withColumn("given", given_of(F.col("kind"), F.col("raw"))))
+    given = mentions.where("given is not null")
+    table = assign(mentions.select("kind", "norm").unionByName(given.select(F.lit("given").alias("kind"), F.col("given").alias("norm"))), key)
     # Equal texts have equal mentions; so a text's hash, length and checksum stand for the row.
-    maps = mentions.join(table, ["kind", "norm"]).withColumn("new", written(key, F.col("kind"), F.col("raw"), F.col("surrogate")))
+    firsts = table.where("kind = 'given'").select(F.col("norm").alias("given"), F.col("surrogate").alias("first"))
+    mentions = given.join(firsts, "given").unionByName(mentions.where("given is null").withColumn("first", F.lit(None).cast("string")))
+    maps = mentions.join(table, ["kind", "norm"]).withColumn("new", written(F.col("kind"), F.col("raw"), F.col("surrogate"), F.col("first")))
     id_, of, map_, found_ = fresh(docs, "id", "of", "map", "found")
     maps = maps.groupBy(F.col("id").alias(of)).agg(F.map_from_entries(F.collect_list(F.struct("raw", "new"))).alias(map_))
     some = F.size(found(column)) > 0
