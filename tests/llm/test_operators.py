@@ -173,6 +173,22 @@ def test_toxicity_held_out(spark):
     assert np.mean([r["predicted"] for r in sure]) > 0.95 and np.mean([r["predicted"] for r in got if r["toxic"] == 0]) < 0.05
 
 
+def test_toxicity_reads_whole_sampled_texts(spark, monkeypatch):
+    spelt = lambda k: "".join(chr(97 + int(c)) for c in str(k))  # noqa: E731  (digits are no letters of words)
+    texts = [(i, " ".join(f"z{spelt(i)}y{spelt(k)}" for k in range(3000))) for i in range(8)] + [(8, "")]
+    d = spark.createDataFrame(texts, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(9)], "doc_id long, toxic int")
+    read = []
+    monkeypatch.setattr(toxicity, "fit", lambda net, word, *rest: read.extend(word.tolist()))
+    toxicity.train(d, labels)
+    from weftgraph.llm.common import fold
+
+    trained = {r["doc_id"] for r in d.where(fold() != 2).collect()}
+    raw = [t.encode() for i, t in texts if i in trained]
+    want = toxicity.words_of(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))[0]
+    assert len(set(want.tolist())) >= 3000 and set(want.tolist()) <= set(read)
+
+
 def test_toxicity_gradient():
     rng = np.random.default_rng(0)
     net = toxicity.Network(np.array([5, 9, 11], np.uint64))

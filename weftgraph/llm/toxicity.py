@@ -24,8 +24,8 @@ from .common import flat, fold, on_workers, slices
 from .langid import _FOLD
 
 WINDOW, STRIDE = 32, 24
-#: Labelled rows of each class that training reads, at most, and windows of each of these, at most.
-SAMPLE, SAMPLE_WINDOWS = 1500, 16
+#: Labelled rows of each class that training reads, at most; of each it reads all windows.
+SAMPLE = 1500
 #: Hidden units of each direction, dimensions of a word's and of a gram's embedding, hashed grams.
 HIDDEN, WORD_DIM, CHAR_DIM, GRAMS = 6, 6, 6, 1 << 12
 #: Documents of the sample in which a word is seen to be known: so many, and such a share; known words at most.
@@ -207,23 +207,19 @@ def score(net: Network, data: np.ndarray, starts: np.ndarray, block: int = 2048)
     return _sigmoid(top.astype(np.float64) + net.shift)
 
 
-def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Evenly spread windows of each text, as text."""
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Whole texts: the hashes of each one's distinct words, their grams and numbers of grams, and the places of the words."""
     for b in slices(batches, "text"):
-        data, starts = flat(b.column("text"))
-        _, _, _, count, at = words_of(data, starts)
-        of, first = windows(count)
-        base = np.cumsum(count) - count
-        raw, ids, ys, texts = data.tobytes(), b.column("doc_id").to_pylist(), b.column("toxic").to_pylist(), []
-        rows = []
-        for d in range(len(count)):
-            mine = np.flatnonzero(of == d)
-            mine = mine[np.unique(np.linspace(0, len(mine) - 1, min(SAMPLE_WINDOWS, len(mine))).astype(int))]
-            for w in mine:
-                lo, hi = base[d] + first[w], base[d] + min(first[w] + WINDOW, count[d])
-                texts.append(raw[at[lo] : at[hi] if hi < base[d] + count[d] else starts[d + 1]] if hi > lo else b"")
-                rows.append(d)
-        yield pa.RecordBatch.from_arrays([pa.array([ids[d] for d in rows], pa.int64()), pa.array([ys[d] for d in rows], pa.int32()), pa.array(texts, pa.binary())], ["doc_id", "toxic", "w"])
+        word, gram, begin, count, _ = words_of(*flat(b.column("text")))
+        size = np.diff(np.append(begin, len(gram)))
+        base, out = np.concatenate([[0], np.cumsum(count)]), []
+        for lo, hi in zip(base[:-1], base[1:]):
+            own, at, place = np.unique(word[lo:hi], return_index=True, return_inverse=True)
+            at += lo
+            grams = [gram[begin[k] : begin[k] + size[k]] for k in at]
+            out.append((own.tobytes(), place.astype(np.int32).tobytes(), np.concatenate([*grams, []]).astype(np.uint16).tobytes(), size[at].astype(np.int32).tobytes()))
+        packed = [pa.array(c, pa.binary()) for c in zip(*out)]
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), *packed], ["doc_id", "toxic", "words", "places", "grams", "sizes"])
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Network | float:
@@ -233,49 +229,60 @@ def train(docs: DataFrame, labels: DataFrame) -> Network | float:
     some = [rows.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE) for y in (0, 1)]
     both = F.broadcast(some[0].unionByName(some[1]))  # at most 2 * SAMPLE rows of two numbers
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(both, "doc_id")
-    got = texts.mapInArrow(_sampled, "doc_id long, toxic int, w binary").toPandas().sort_values(["doc_id", "w"])
+    packed = texts.mapInArrow(_packed, "doc_id long, toxic int, words binary, places binary, grams binary, sizes binary")
+    got = packed.toPandas().sort_values(["doc_id", "words", "places"])
     y_doc = got.groupby("doc_id").toxic.first()
     if y_doc.nunique() < 2:
         return float(y_doc.mean()) if len(y_doc) else 0.0
     docs_at = y_doc.index.get_indexer(got.doc_id)
     y = y_doc.to_numpy().astype(np.float32)
-    starts = np.concatenate([[0], np.cumsum(got.w.map(len).to_numpy())]).astype(np.int64)
-    word, gram, begin, count, _ = words_of(np.frombuffer(b"".join(got.w), np.uint8), starts)
-    pairs = np.unique(np.stack([word, np.repeat(docs_at, count).astype(np.uint64)]), axis=1)[0]
+    joined = lambda c, kind: np.frombuffer(b"".join(got[c]), kind)
+    own = got.words.map(len).to_numpy() // 8
+    count = got.places.map(len).to_numpy() // 4
+    # Each word once for all texts, with its grams; place has its row for each word of the texts.
+    word, first, same = np.unique(joined("words", np.uint64), return_index=True, return_inverse=True)
+    size = joined("sizes", np.int32).astype(np.int64)
+    begin_of, size = (np.cumsum(size) - size)[first], size[first]
+    begin = np.cumsum(size) - size
+    gram = joined("grams", np.uint16)[np.repeat(begin_of - begin, size) + np.arange(size.sum())].astype(np.int64)
+    place = same[joined("places", np.int32) + np.repeat(np.cumsum(own) - own, count)].astype(np.int32)
+    if not len(word):
+        word, gram, begin, place = np.zeros(1, np.uint64), np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(1, np.int32)
+    pairs = np.unique(np.stack([joined("words", np.uint64), np.repeat(docs_at, own).astype(np.uint64)]), axis=1)[0]
     seen, times = np.unique(pairs, return_counts=True)
     seen = seen[np.argsort(-times, kind="stable")][: min(KNOWN, int((times >= max(SEEN, SEEN_SHARE * len(y))).sum()))]
-    return fit(Network(seen), word, gram, begin, count, docs_at, y)
+    return fit(Network(seen), word, gram, begin, place, count, docs_at, y)
 
 
-def fit(net: Network, word: np.ndarray, gram: np.ndarray, begin: np.ndarray, count: np.ndarray, doc: np.ndarray, y: np.ndarray) -> Network:
+def fit(net: Network, word: np.ndarray, gram: np.ndarray, begin: np.ndarray, place: np.ndarray, count: np.ndarray, doc: np.ndarray, y: np.ndarray) -> Network:
     """Adam on windows: of each document the worst so far, and of clean ones another at random."""
     rng = np.random.default_rng(SEED)
     idx = net.index(word)
     n_gram = np.diff(np.append(begin, len(gram)))
-    base = np.cumsum(count) - count
-    of = np.arange(len(count))
+    of, first = windows(count)
+    doc = doc[of]
     state = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in net.p.items()}
     step = 0
 
     def logits() -> np.ndarray:
         vec = net.vectors(word, gram, begin)
-        out = np.empty(len(count), np.float32)
-        for i in range(0, len(count), 2048):
-            row, real = _layout(word, count, of[i : i + 2048], np.zeros(len(of[i : i + 2048]), int))
-            out[i : i + 2048] = net.forward(vec[row], real)
+        out = np.empty(len(of), np.float32)
+        for i in range(0, len(of), 2048):
+            row, real = _layout(word, count, of[i : i + 2048], first[i : i + 2048])
+            out[i : i + 2048] = net.forward(vec[place[row]], real)
         return out
 
     while step < STEPS:
-        luck = logits() if step else rng.random(len(count))
+        luck = logits() if step else rng.random(len(of))
         order = np.lexsort((-luck, doc))
         worst = order[np.unique(doc[order], return_index=True)[1]]
-        other = rng.permutation(len(count))
+        other = rng.permutation(len(of))
         other = other[y[doc[other]] == 0][: len(worst)]
         todo = rng.permutation(np.concatenate([worst, other]))
         for i in range(0, min(len(todo), BATCH * (STEPS - step)), BATCH):
             w = todo[i : i + BATCH]
-            row, real = _layout(word, count, w, np.zeros(len(w), int))
-            used, inv = np.unique(row, return_inverse=True)
+            row, real = _layout(word, count, of[w], first[w])
+            used, inv = np.unique(place[row], return_inverse=True)
             inv = inv.reshape(row.shape)
             sizes = n_gram[used]
             at = np.repeat(begin[used] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
