@@ -40,6 +40,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Rows of a few numbers that are broadcast, at most.
+BROADCAST = 500_000
+
+
+def bounded(df: DataFrame, most: int = BROADCAST) -> DataFrame:
+    """df, to be broadcast if it has few rows (they are counted as far as the limit); else joined by a shuffle."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
