@@ -5,13 +5,14 @@ Null and empty texts, and texts of white space only, have fingerprint zero and a
 other. Repeated rows and equal texts share a fingerprint, hence a component. A component's id is its
 smallest doc_id; null ids are kept and never become an id unless a component has no other.
 
-deduplicate_similar: texts whose sets of five-word shingles are similar by SIMILAR or more (Jaccard) are near
-copies, copies of copies are one group, and one document of each group stays. At that similarity
-fingerprints differ in 15 % of their bits, too many for one ball of 64-bit variants. So a set has WORDS
-fingerprints of 32 bits; each emits all its variants within half the radius, who shares a variant is a
-candidate, and the sets themselves decide. Texts under five words have one shingle, all their words;
-texts without a word have none and are copies of each other. Case and the kind of white space do not
-count. Equal sets are one node before anything travels, named by a 64-bit hash of the set.
+deduplicate_similar: texts whose sets of five-word shingles are similar by SIMILAR or more (Jaccard) are
+near copies, copies of copies are one group, and one document of each group stays. At that similarity
+fingerprints of five-word shingles differ in 15 % of their bits, too many for the ball of a long one. So a
+text has WORDS fingerprints of BITS bits, of its set of two-word shingles (a changed word changes two of
+these, not five); each emits all its variants within half the radius, who shares a variant is a candidate,
+and the five-word sets decide. Texts under five words have one shingle, all their words; texts without a
+word have none and are copies of each other. Case and the kind of white space do not count. Equal sets
+are one node before anything travels, named by a 64-bit hash of the set.
 
 Columns other than doc_id and text are not read; deduplicate and deduplicate_similar pass them through,
 whatever their names.
@@ -32,10 +33,12 @@ from .common import bounded, components, cut, flat, fresh, on_workers, slices
 #: Bits by which linked fingerprints may differ, and what each side of a meeting flips.
 RADIUS, HALF = 2, 1
 SHINGLE, SEED = 3, 42
-#: Near copies: words in a shingle, similarity, 32-bit fingerprints of a set (a pair at 0.8 shares a ball in 12 % of them).
-LONG_SHINGLE, SIMILAR, WORDS = 5, 0.8, 16
-#: Bits of all words by which candidates may differ: at similarity 0.8 the mean is 78 of 512, the deviation 8.
-APART = 120
+#: Near copies: words in a shingle that decides, in one that finds candidates; similarity.
+LONG_SHINGLE, PAIR, SIMILAR = 5, 2, 0.8
+#: Fingerprints of a text, and bits of each: the more bits the fewer chance candidates, the more fingerprints the fewer misses.
+WORDS, BITS = 12, 40
+#: Bits of all fingerprints by which candidates may differ: at similarity 0.8 the mean is at most 73 of 480, the deviation 8.
+APART = 115
 LANES = np.uint64(0x0101010101010101)
 
 _SPACE = np.zeros(256, bool)
@@ -82,8 +85,8 @@ def fingerprints(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return majority(*hashed(data, starts, SHINGLE))
 
 
-def majority(h: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """Of each text with so many hashes: the bits that are set in over half of them; zero without any."""
+def majority(h: np.ndarray, count: np.ndarray, bits: int = 64) -> np.ndarray:
+    """Of each text with so many hashes: the bits that are set in over half of them, the low ones; zero without any."""
     fp = np.zeros(len(count), np.uint64)
     full = np.flatnonzero(count)
     if not len(full):
@@ -98,7 +101,7 @@ def majority(h: np.ndarray, count: np.ndarray) -> np.ndarray:
     for bit in range(8):
         sums = np.add.reduceat((h >> np.uint64(bit)) & LANES, at)
         lanes = np.add.reduceat(sums.view(np.uint8).reshape(-1, 8).astype(np.int64), head, axis=0)
-        for lane in range(8):
+        for lane in range(bits // 8):
             fp[full] |= (2 * lanes[:, lane] > size).astype(np.uint64) << np.uint64(8 * lane + bit)
     return fp
 
@@ -149,10 +152,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 # ---- near copies by five-word similarity
 
 
-def sets(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of each text's distinct shingles in order, and where each text's begin (and the last ends)."""
-    h, count = hashed(data, starts, LONG_SHINGLE)
-    of = np.repeat(np.arange(len(count)), count)
+def sets(word: np.ndarray, count: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of each text's distinct shingles of k words in order, and where each text's begin (and the last ends);
+    word: the hash of each word of all texts, count: how many each text has."""
+    n = np.where(count >= k, count - k + 1, np.minimum(count, 1))
+    of = np.repeat(np.arange(len(count)), n)
+    at = np.arange(len(of)) + np.repeat(np.cumsum(count) - count - np.cumsum(n) + n, n)
+    end = np.cumsum(count)[of]
+    h = np.zeros(len(of), np.uint64)
+    for j in range(k):
+        here = at + j < end
+        h[here] += word[at[here] + j] * _ODD[0, j]
+    h = (h ^ (h >> np.uint64(32))) * _ODD[1, 0]
+    h ^= h >> np.uint64(29)
     order = np.lexsort((h, of))
     h, of = h[order], of[order]
     new = np.ones(len(h), bool)
@@ -160,33 +172,37 @@ def sets(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return h[new], np.concatenate([[0], np.cumsum(np.bincount(of[new], minlength=len(count)))]).astype(np.int64)
 
 
-_ODD = np.random.default_rng(SEED).integers(1 << 63, size=(2, WORDS // 2), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_ODD = np.random.default_rng(SEED).integers(1 << 63, size=(2, max(WORDS, LONG_SHINGLE)), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def word_fingerprints(h: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Each set's WORDS fingerprints of 32 bits: the halves of 64-bit ones, each of hashes mixed anew."""
-    out = np.zeros((len(at) - 1, WORDS // 2), np.uint64)
-    for k in range(WORDS // 2):
+    """Each set's WORDS fingerprints: the low BITS bits of 64-bit ones, each of hashes mixed anew."""
+    out = np.zeros((len(at) - 1, WORDS), np.uint64)
+    for k in range(WORDS):
         x = (h ^ (h >> np.uint64(31))) * _ODD[0, k]
         x = (x ^ (x >> np.uint64(29))) * _ODD[1, k]
-        out[:, k] = majority(x ^ (x >> np.uint64(32)), np.diff(at))
-    return out.view(np.int32)
+        out[:, k] = majority(x ^ (x >> np.uint64(32)), np.diff(at), BITS)
+    return out.view(np.int64)
+
+
+def _packed(h: np.ndarray, at: np.ndarray) -> list[bytes]:
+    raw = h.tobytes()
+    return [raw[8 * s : 8 * e] for s, e in zip(at[:-1].tolist(), at[1:].tolist())]
 
 
 def _sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in slices(batches, "text"):
-        h, at = sets(*flat(b.column("text")))
-        raw = h.tobytes()
-        node = np.fromiter((xxhash.xxh64_intdigest(raw[8 * s : 8 * e], SEED) for s, e in zip(at[:-1].tolist(), at[1:].tolist())), np.uint64, b.num_rows)
-        words = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * WORDS), pa.array(word_fingerprints(h, at).ravel()))
+        word, count = hashed(*flat(b.column("text")), 1)
+        h, at = sets(word, count, LONG_SHINGLE)
+        node = np.fromiter((xxhash.xxh64_intdigest(x, SEED) for x in _packed(h, at)), np.uint64, b.num_rows)
+        prints = word_fingerprints(*sets(word, count, PAIR)).ravel()
+        words = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * WORDS), pa.array(prints))
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("hash"), pa.array(node.view(np.int64)), pa.array(np.diff(at)), words], ["doc_id", "hash", "node", "size", "words"])
 
 
 def _set_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in slices(batches, "text"):
-        h, at = sets(*flat(b.column("text")))
-        raw = h.tobytes()
-        packed = pa.array([raw[8 * s : 8 * e] for s, e in zip(at[:-1].tolist(), at[1:].tolist())], pa.binary())
+        packed = pa.array(_packed(*sets(*hashed(*flat(b.column("text")), 1), LONG_SHINGLE)), pa.binary())
         yield pa.RecordBatch.from_arrays([b.column("node"), packed], ["node", "held"])
 
 
@@ -227,7 +243,7 @@ def _first_shared(words: Column, words_b: Column) -> Column:
 
 
 def _key(t: Column, variant: Column) -> Column:
-    return F.shiftleft(t.cast("long"), 32) + variant.cast("long")
+    return F.shiftleft(t.cast("long"), BITS) + variant
 
 
 def grouped(docs: DataFrame) -> DataFrame:
@@ -239,13 +255,13 @@ def grouped(docs: DataFrame) -> DataFrame:
     """
     on_workers(docs.sparkSession)
     plain = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64("text").alias("hash"))
-    rows = cut(plain.mapInArrow(_sketch_batches, "doc_id long, hash long, node long, size long, words array<int>"))
+    rows = cut(plain.mapInArrow(_sketch_batches, "doc_id long, hash long, node long, size long, words array<long>"))
     nodes = cut(rows.where("size > 0").groupBy("node").agg(F.min("size").alias("size"), F.first("words").alias("words"), F.min(F.struct("doc_id", "hash")).alias("one")))
-    flips = F.concat(F.array(F.lit(0)), F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.call_function("shiftleft", F.lit(1), i)))
+    flips = F.concat(F.array(F.lit(0).cast("long")), F.transform(F.sequence(F.lit(0), F.lit(BITS - 1)), lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), i)))
     words = nodes.select("node", F.posexplode("words").alias("t", "word"))
     variants = words.select("node", "t", "word", F.explode(flips).alias("flip")).select("node", _key(F.col("t"), F.col("word").bitwiseXOR(F.col("flip"))).alias("key"))
     shared = variants.selectExpr("node", "key", "lag(node) over (partition by key order by node) is not null or lead(node) over (partition by key order by node) is not null as shared").where("shared")
-    # Of a node at most 33 * WORDS keys.
+    # Of a node at most (BITS + 1) * WORDS keys.
     keyed = cut(shared.groupBy("node").agg(F.collect_list("key").alias("keys")).join(nodes, "node"))
     member = keyed.select("node", "size", "words", F.explode("keys").alias("key"))
     before = member.withColumn("of", F.expr("lag(struct(node, size, words)) over (partition by key order by node)")).where("of is not null")
