@@ -2,7 +2,9 @@
 
 Each language has a distribution over hashed 4-byte grams, counted over all training rows. A document
 is a mixture: every word comes from one language. Expectation-maximisation estimates the proportions,
-and the set of languages is the one of least penalised likelihood (BIC) among nested sets.
+and the set of languages is the one of least penalised likelihood among nested sets, in the order of the
+proportions under all languages. The penalty of a further language is PENALTY * log(words), twice that of
+BIC: the words of a text are not independent.
 
 Null texts and texts without a letter are `und` with score 0. Rows with a null lang teach nothing.
 Without any training row every text is `und`. Ties go to the first language in sorted order. Texts are
@@ -23,6 +25,7 @@ from .common import flat, fold, on_workers, slices
 GRAM, BUCKETS = 4, 1 << 16
 #: Added to each count; EM rounds of the ranking fit and of each fit of a set.
 SMOOTH, RANK_ROUNDS, FIT_ROUNDS = 0.25, 4, 8
+PENALTY = 2
 
 _FOLD = np.full(256, 0x20, np.uint8)
 _FOLD[ord("a") : ord("z") + 1] = np.arange(ord("a"), ord("z") + 1)
@@ -30,27 +33,31 @@ _FOLD[ord("A") : ord("Z") + 1] = np.arange(ord("a"), ord("z") + 1)
 _FOLD[0x80:] = np.arange(0x80, 256)
 
 
-def grams(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The folded bytes, and at each byte the bucket of the gram that begins there (it may run into the next text)."""
-    x = _FOLD[data]
-    ends = starts[1:-1]
-    x[(ends[(ends > 0) & (ends <= len(x))] - 1)] = 0x20
+def grams(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The folded bytes with blanks after each text, where each text begins in them (and the last ends), and at
+    each byte the bucket of the gram that begins there. The blanks are so many that no gram has bytes of two texts."""
+    n = len(starts) - 1
+    gap = GRAM - 1
+    x = np.full(len(data) + gap * n, 0x20, np.uint8)
+    doc = np.repeat(np.arange(n), np.diff(starts))
+    x[np.arange(len(data)) + gap * doc] = _FOLD[data]
     v = np.concatenate([x, np.full(GRAM, 0x20, np.uint8)]).astype(np.uint32)
-    n = len(x)
-    h = v[:n] | v[1 : n + 1] << np.uint32(8) | v[2 : n + 2] << np.uint32(16) | v[3 : n + 3] << np.uint32(24)
-    return x, ((h * np.uint32(2654435761)) >> np.uint32(16)).astype(np.uint16)
+    m = len(x)
+    h = v[:m] | v[1 : m + 1] << np.uint32(8) | v[2 : m + 2] << np.uint32(16) | v[3 : m + 3] << np.uint32(24)
+    return x, starts + gap * np.arange(n + 1), ((h * np.uint32(2654435761)) >> np.uint32(16)).astype(np.uint16)
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums: dict[str, np.ndarray] = {}
     for b in slices(batches, "text"):
         data, starts = flat(b.column("text"))
-        x, h = grams(data, starts)
+        x, starts, h = grams(data, starts)
         langs = np.array(b.column("lang").to_pylist(), object)
         spaced = x == 0x20
         for lang in set(langs):
             mask = np.repeat(langs == lang, np.diff(starts))
             mask[:-1] &= ~(spaced[:-1] & spaced[1:])
+            mask[-1:] = False
             got = np.bincount(h[mask], minlength=BUCKETS)
             sums[lang] = sums[lang] + got if lang in sums else got
     for lang, s in sums.items():
@@ -90,7 +97,7 @@ def proportions(data: np.ndarray, starts: np.ndarray, table: np.ndarray) -> np.n
     out = np.zeros((n_docs, n_lang), np.float32)
     if not len(data) or not n_lang:
         return out
-    x, h = grams(data, starts)
+    x, starts, h = grams(data, starts)
     inside = x != 0x20
     first = inside.copy()
     first[1:] &= ~inside[:-1]
@@ -125,7 +132,7 @@ def proportions(data: np.ndarray, starts: np.ndarray, table: np.ndarray) -> np.n
         np.put_along_axis(start, order[live, :k], 1 / k, axis=1)
         b = np.cumsum(count[live]) - count[live]
         got, fit = _mix(lik[rows], np.repeat(np.arange(len(live)), count[live]), b, start, FIT_ROUNDS)
-        cost = -2 * fit + (k - 1) * np.log(np.maximum(count[live], 2)) * 2
+        cost = -2 * fit + PENALTY * (k - 1) * np.log(np.maximum(count[live], 2))
         won = cost < least[live]
         best[live[won]], least[live[won]] = got[won], cost[won]
         live = live[won]
