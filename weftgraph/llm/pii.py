@@ -2,14 +2,14 @@
 
 Only DataFrame functions: patterns find entities, keyed digests give surrogates, and a table of all
 distinct entities of the corpus is checked for collisions, so that distinct entities stay distinct and
-no surrogate is a real entity. Equal entities get equal surrogates everywhere (coreference), whatever
+no surrogate is a real entity. Where a format has too few surrogates they grow with each further attempt. Equal entities get equal surrogates everywhere (coreference), whatever
 their separators or case. A surrogate keeps the kind of each character (digit, case, script), card and
 bank account check digits are right, an address keeps its octets' widths. A titled name's given name is
 an entity of its own beside the surname, with its title's gender: its surrogate fits that gender, and
 different given names stay different.
 
 Null texts stay null, texts without entities stay as they are. Texts are read whole. Repeated rows stay
-repeated and alike. Other columns pass through; n_surrogates is replaced if it is there.
+repeated and alike. Other columns pass through.
 """
 
 from __future__ import annotations
@@ -41,6 +41,8 @@ NAMES = [
 ALPHABETS = ["0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "àáâäçèéêëíîïñóôöùúûü", "ÀÁÂÄÇÈÉÊËÍÎÏÑÓÔÖÙÚÛÜ", "абвгдежзийклмнопрстуфхцчшщыэюя", "АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЫЭЮЯ", "αβγδεζηθικλμνξοπρστυφχψω", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ"]
 
 ENTITY = "|".join([EMAIL, PHONE, ACCOUNT, CARD, ADDRESS, NUMBER, NAME])
+#: Attempts in which a surrogate keeps its entity's length, attempts in all, and entities of a task.
+FEW, ATTEMPTS, ENTITIES = 3, 60, 4000
 #: What any entity has; a text without it is not searched further.
 HINT = rf"@|[0-9]{{2}}|[0-9]\.[0-9]|(?<![\p{{L}}])(?:{'|'.join(MEN + WOMEN + ANY)})\.? \p{{Lu}}"
 
@@ -120,19 +122,22 @@ def surrogate(key: str, kind: Column, norm: Column, attempt: Column) -> Column:
     local, labels = F.substring_index(norm, "@", 1), F.split(F.substring_index(norm, "@", -1), r"\.")
     host = F.array_join(F.slice(labels, F.lit(1), F.greatest(F.size(labels) - 2, F.lit(0))), ".")
     host = F.when(host == "", "").otherwise(F.concat(_alike(host, F.reverse(digest)), F.lit(".")))
-    email = F.concat(_alike(local, digest), F.lit("@"), host, F.element_at(F.array(*[F.lit(f"example.{x}") for x in ("com", "net", "org")]), _key_at(digest, F.lit(40)) % 3 + 1))
+    # The local part grows by a letter or digit an attempt, as short ones are soon all taken.
+    email = F.concat(_alike(local, digest), F.substr(digest, F.lit(81), attempt), F.lit("@"), host, F.element_at(F.array(*[F.lit(f"example.{x}") for x in ("com", "net", "org")]), _key_at(digest, F.lit(40)) % 3 + 1))
+    # Numbers grow after a few attempts.
+    more = F.substr(F.translate(digest, "abcdef", "012345"), F.lit(81), F.greatest(attempt - FEW, F.lit(0)))
     # Cards: the first digit stays, the last is the check digit.
-    body = F.concat(F.substr(norm, F.lit(1), F.lit(1)), F.substr(like, F.lit(2), F.length(norm) - 2))
+    body = F.concat(F.substr(norm, F.lit(1), F.lit(1)), F.substr(like, F.lit(2), F.length(norm) - 2), more)
     card = F.concat(body, ((10 - _luhn(body, 0) % 10) % 10).cast("string"))
     # Accounts: the country stays, two check digits follow.
     rest = F.substr(like, F.lit(5))
     country = F.substr(norm, F.lit(1), F.lit(2))
     account = F.concat(country, F.lpad((98 - _mod97(F.concat(country, F.lit("00"), rest))).cast("string"), 2, "0"), rest)
-    # Addresses: each octet keeps its width.
-    octet = lambda o, i: F.when(F.length(o) == 1, _key_at(digest, i) % 9 + 1).when(F.length(o) == 2, _key_at(digest, i) % 90 + 10).otherwise(_key_at(digest, i) % 155 + 100).cast("string")
+    # Addresses: each octet keeps its width in the first attempts.
+    octet = lambda o, i: F.when(attempt > FEW, _key_at(digest, i) % 255 + 1).when(F.length(o) == 1, _key_at(digest, i) % 9 + 1).when(F.length(o) == 2, _key_at(digest, i) % 90 + 10).otherwise(_key_at(digest, i) % 155 + 100).cast("string")
     address = F.array_join(F.transform(F.split(norm, r"\."), octet), ".")
     # Phones: the country code's first digit stays.
-    phone = F.concat(F.substr(norm, F.lit(1), F.lit(1)), F.substr(like, F.lit(2)))
+    phone = F.concat(F.substr(norm, F.lit(1), F.lit(1)), F.substr(like, F.lit(2)), more)
     # Names: more parts at each further attempt, as the lists are short.
     def parts(names: list[str]) -> Column:
         part = lambda i: F.element_at(F.array(*map(F.lit, names)), _key_at(digest, i) % len(names) + 1)
@@ -143,31 +148,36 @@ def surrogate(key: str, kind: Column, norm: Column, attempt: Column) -> Column:
     for script, men, women, surnames in reversed(NAMES):
         name = F.when(norm.rlike(script), parts(surnames)).otherwise(name)
         given = F.when(said.rlike(script), F.when(gender == "m", parts(men)).when(gender == "w", parts(women)).otherwise(parts(men + women))).otherwise(given)
-    return F.when(kind == "email", email).when(kind == "card", card).when(kind == "account", account).when(kind == "address", address).when(kind == "phone", phone).when(kind == "name", name).when(kind == "given", given).otherwise(like)
+    return F.when(kind == "email", email).when(kind == "card", card).when(kind == "account", account).when(kind == "address", address).when(kind == "phone", phone).when(kind == "name", name).when(kind == "given", given).otherwise(F.concat(like, more))
 
 
 def assign(entities: DataFrame, key: str) -> DataFrame:
     """(kind, norm, surrogate) of distinct (kind, norm), one to one and never a real entity.
 
-    Who shares a surrogate with a smaller norm, or has one that is a real entity, tries again.
+    Who shares a surrogate with one of fewer attempts (or a smaller norm), or has one that is a real
+    entity, tries again; the others keep theirs. ATTEMPTS in vain are an error.
     """
     real = cut(entities.select("kind", "norm").distinct())
-    taken = real.withColumn("attempt", F.lit(0))
-    while True:
-        given = taken.withColumn("surrogate", surrogate(key, F.col("kind"), F.col("norm"), F.col("attempt")))
+    # Dealt out anew, as a few bytes of entities are much work.
+    given = real.repartition(min(20_000, 1 + real.count() // ENTITIES), "kind", "norm").select("kind", "norm", F.lit(-1).alias("attempt"), F.lit(None).cast("string").alias("surrogate"), F.lit(True).alias("again"))
+    clash = real.select("kind", F.substring_index("norm", "\x1f", -1).alias("surrogate"), F.lit(True).alias("is_real")).distinct()
+    for _ in range(ATTEMPTS):
+        attempt = F.col("attempt") + F.col("again").cast("int")
+        new = F.when(F.col("again"), surrogate(key, F.col("kind"), F.col("norm"), attempt)).otherwise(F.col("surrogate"))
+        given = cut(given.select("kind", "norm", attempt.alias("attempt"), new.alias("surrogate")))
         first = given.groupBy("kind", "surrogate").agg(F.min(F.struct("attempt", "norm")).alias("m")).select("kind", "surrogate", F.col("m.norm").alias("owner"))
-        clash = real.select("kind", F.substring_index("norm", "\x1f", -1).alias("surrogate"), F.lit(True).alias("is_real")).distinct()
-        given = cut(given.join(first, ["kind", "surrogate"]).join(clash, ["kind", "surrogate"], "left").withColumn("again", (F.col("owner") != F.col("norm")) | F.coalesce("is_real", F.lit(False))))
+        given = given.join(first, ["kind", "surrogate"]).join(clash, ["kind", "surrogate"], "left")
+        given = cut(given.select("kind", "norm", "attempt", "surrogate", ((F.col("owner") != F.col("norm")) | F.coalesce("is_real", F.lit(False))).alias("again")))
         if not given.where("again").limit(1).count():
             return given.select("kind", "norm", "surrogate")
-        taken = given.select("kind", "norm", (F.col("attempt") + F.col("again").cast("int")).alias("attempt"))
+    raise ValueError(f"no distinct surrogates after {ATTEMPTS} attempts")
 
 
 def _refill(raw: Column, chars: Column, which: str) -> Column:
-    """raw with the characters of kind `which` replaced, in order, by those of `chars`."""
+    """raw with the characters of kind `which` replaced, in order, by those of `chars`; what is left of these comes last."""
     start = F.struct(F.lit("").alias("out"), F.lit(1).alias("i"))
     step = lambda a, c: F.when(c.rlike(which), F.struct(F.concat(a["out"], F.substr(chars, a["i"], F.lit(1))).alias("out"), (a["i"] + 1).alias("i"))).otherwise(F.struct(F.concat(a["out"], c).alias("out"), a["i"].alias("i")))
-    return F.aggregate(_chars(raw), start, step, lambda a: a["out"])
+    return F.aggregate(_chars(raw), start, step, lambda a: F.concat(a["out"], F.substr(chars, a["i"])))
 
 
 def written(kind: Column, raw: Column, new: Column, given: Column) -> Column:
@@ -187,13 +197,13 @@ def found(text: Column) -> Column:
     return F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0))).otherwise(F.array().cast("array<string>"))
 
 
-def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """docs with surrogates in `text`, and n_surrogates.
+def pseudonymise(docs: DataFrame, key: str, text: str = "text", counted: str = "n_surrogates") -> DataFrame:
+    """docs with surrogates in `text`, and their number in `counted` (a column of this name is replaced).
 
     Mentions, without texts, are kept once; the distinct entities get surrogates; only documents that
     have entities are then joined to the surrogates of their mentions, the rest pass without a shuffle.
     """
-    docs = docs.drop("n_surrogates")
+    docs = docs.drop(counted)
     column, id_of = F.col(text), F.struct(F.xxhash64(text), F.octet_length(text), F.crc32(F.col(text).cast("binary")))
     mentions = docs.select(id_of.alias("id"), F.explode(F.array_distinct(found(column))).alias("raw")).distinct()
     kind = kind_of(F.col("raw"))
@@ -213,6 +223,6 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     pieces = F.split(column, ENTITY, -1)
     joined = F.array_join(F.flatten(F.zip_with(pieces, new_of, lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
     n = F.size(F.filter(found_, lambda r: F.element_at(F.col(map_), r).isNotNull()))
-    done = with_any.withColumns({text: F.when(F.col(map_).isNull(), column).otherwise(joined), "n_surrogates": F.when(F.col(map_).isNull(), 0).otherwise(n)})
-    rest = docs.where(F.coalesce(~some, F.lit(True))).withColumn("n_surrogates", F.lit(0))
-    return rest.unionByName(done.select(*docs.columns, "n_surrogates"))
+    done = with_any.withColumns({text: F.when(F.col(map_).isNull(), column).otherwise(joined), counted: F.when(F.col(map_).isNull(), 0).otherwise(n)})
+    rest = docs.where(F.coalesce(~some, F.lit(True))).withColumn(counted, F.lit(0))
+    return rest.unionByName(done.select(*docs.columns, counted))
