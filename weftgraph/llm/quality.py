@@ -111,14 +111,15 @@ def posteriors(evidence: DataFrame) -> DataFrame:
     with a third of all documents is one row of each task. Hosts are then sums of paths.
     """
     p = F.col("evidence")
-    paths = evidence.groupBy("host", "path").agg(F.sum(p).alias("s"), F.count(p).alias("n"), F.sum(p * p).alias("ss"))
+    # Kept first, as all that follows reads these sums; the evidence is computed once.
+    paths = cut(evidence.groupBy("host", "path").agg(F.sum(p).alias("s"), F.count(p).alias("n")))
     hosts = paths.groupBy("host").agg(F.sum("s").alias("hs"), F.sum("n").alias("hn"))
 
     def strength(groups: DataFrame, s: str, n: str, m: Column) -> DataFrame:
         """Documents that the prior weighs: the variance within over that between groups' means."""
         within = m * (1 - m)
         spread = F.avg(F.pow(F.col(s) / F.col(n) - m, 2)) - F.avg(within / F.col(n))
-        return groups.agg(F.coalesce(F.least(F.lit(STRONGEST), F.greatest(F.lit(WEAKEST), F.first(within) / F.greatest(spread, F.lit(1e-9)))), F.lit(STRONGEST)).alias("k"))
+        return groups.agg(F.coalesce(F.least(F.lit(STRONGEST), F.greatest(F.lit(WEAKEST), F.avg(within) / F.greatest(spread, F.lit(1e-9)))), F.lit(STRONGEST)).alias("k"))
 
     base = hosts.agg(F.coalesce(F.sum("hs") / F.sum("hn"), F.lit(0.5)).alias("base"))
     based = hosts.crossJoin(F.broadcast(base))  # one row
