@@ -1,6 +1,8 @@
 """Secret scanning: candidates by pattern, false positives removed by a random forest.
 
-A candidate is an unbroken run of key-like characters. The forest sees its length, its changes between
+A candidate is an unbroken run of 16 or more key-like characters, a value of 6 or more characters that is
+assigned to a name of credentials, the password of a connection string, or the inside of a private key
+block. Of candidates that overlap the one that begins first counts, of these the longest. The forest sees its length, its changes between
 kinds of characters, how likely its letter pairs are in prose, how far dictionary pieces cover it, the
 path (source) it stands in and the neighbouring words. It is trained here, on labelled findings that a
 seeded generator writes: credentials in assignments against words, digests, identifiers and examples.
@@ -29,9 +31,12 @@ FINDINGS, TREES, DEPTH, LEAF = 3000, 30, 9, 3
 NEAR = 48
 
 CANDIDATE = re.compile(rb"[A-Za-z0-9+/_\-]{16,}={0,2}")
+ASSIGNED = re.compile(rb"(?i)(?:passw(?:or)?d|pwd|secret|token|credential|(?:api|access|auth|private)[_-]?key)[a-z0-9_.-]{0,20}[\"']?[ \t]{0,3}(?::=|=>|=|:)[ \t]{0,3}[\"']?([^\s\"'`,;<>()\[\]{}$]{6,})")
+LOGIN = re.compile(rb"://[^\s:/@\"']{1,64}:([^\s:/@\"']{3,128})@")
+BLOCK = re.compile(rb"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----([^-]{16,})-----END")
 # Words that name credentials, words that name harmless values, paths of tests and examples.
 NAMES = re.compile(rb"(?i)secret|token|passw|pwd|api.?key|access.?key|auth|credential|private.?key|bearer")
-HARMLESS = re.compile(rb"(?i)commit|sha\d*|md5|checksum|digest|hash|uuid|guid|revision|etag|example|sample|placeholder|dummy|your")
+HARMLESS = re.compile(rb"(?i)(?<![a-z])(?:commit|sha\d*|md5|checksum|digest|hash|uuid|guid|revision|etag|example|sample|placeholder|dummy|your)(?![a-z])|(?-i:EXAMPLE)")
 TESTS = re.compile(r"(?i)test|example|sample|fixture|mock|doc")
 PREFIX = re.compile(rb"AKIA|ASIA|gh[pousr]_|sk_live_|sk-|xox[abprs]-|AIza|eyJ|glpat-")
 PIECES = "the and ing ion ent for tion ter ver sch ein ung che que des les con ado mente ment able name file path user data type list view test code time line size text key value get set is on to of in at an er re en es st th".split()
@@ -58,6 +63,24 @@ _COVER = re.compile("|".join(sorted((p for p in PIECES if len(p) > 2), key=len,
 FEATURES = 20
 
 
+def candidates(text: bytes) -> list[tuple[int, int]]:
+    """Begin and end of each candidate."""
+    spans = [m.span() for m in CANDIDATE.finditer(text)]
+    if b"=" in text or b":" in text:
+        for pattern in (ASSIGNED, LOGIN, BLOCK):
+            for m in pattern.finditer(text):
+                s, e = m.span(1)
+                while e > s and text[e - 1] in b".!?:":  # a sentence's end
+                    e -= 1
+                if e > s:
+                    spans.append((s, e))
+    out: list[tuple[int, int]] = []
+    for s, e in sorted(spans, key=lambda x: (x[0], -x[1])):
+        if not out or s >= out[-1][1]:
+            out.append((s, e))
+    return out
+
+
 def features(value: bytes, before: bytes, after: bytes, path: str) -> list[float]:
     x = np.frombuffer(value, np.uint8)
     n, kind, cls = len(x), _TYPE[x], _CLASS[x]
@@ -91,17 +114,26 @@ def findings(n: int = FINDINGS, seed: int = SEED) -> tuple[np.ndarray, np.ndarra
         sep = pick([" = ", "=", ": ", " := ", ":"])
         path = pick(["src%d" % rng.integers(30), "app/config.py", ".env", "deploy/prod.yaml", "site/" + word()])
         if good:
+            signs = "!@#%^&*+-_=?."
+            short = lambda: "".join(pick([word()[: int(rng.integers(3, 7))], rand(3), str(rng.integers(1000)), signs[int(rng.integers(len(signs)))]]) for _ in range(4))
             value = pick([raw(16).hex(), raw(20).hex(), raw(20).hex().upper(), raw(32).hex(), rand(int(rng.integers(20, 48))), base64.b64encode(raw(int(rng.integers(15, 40)))).decode(), "AKIA" + rand(16).upper(), "ghp_" + rand(36), "sk_live_" + rand(24), "eyJ" + rand(40)])
             name = pick(["token", "TOKEN", "secret", "api_key", "apikey", "API_KEY", "password", "auth_token", "access_key", "client_secret", "passwd", "Bearer"])
             before, after = prose + name + sep + quote, quote + pick([" ", "!!", "\n", ";", "###", ", "]) + word()
-            if PREFIX.match(value.encode()) and rng.random() < 0.5:
+            kind = int(rng.integers(8))
+            if kind == 0:
+                value, before, after = short() + str(rng.integers(10)) + signs[int(rng.integers(len(signs)))] + rand(2), prose + pick(["password", "passwd", "pwd", "secret", "db_password"]) + sep + quote, quote + pick([" ", "\n"]) + word()
+            elif kind == 1:
+                value, before, after = pick([short() + rand(3), rand(int(rng.integers(6, 16)))]), prose + pick(["postgres", "https", "mysql", "amqp"]) + "://" + word() + ":", "@" + word() + ".example.com/" + word()
+            elif kind == 2:
+                value, before, after = "\n" + base64.b64encode(raw(int(rng.integers(48, 400)))).decode() + "\n", prose + "-----BEGIN " + pick(["RSA ", "EC ", ""]) + "PRIVATE KEY-----", "-----END " + pick(["RSA ", ""]) + "PRIVATE KEY-----"
+            elif PREFIX.match(value.encode()) and rng.random() < 0.5:
                 before, after = prose, " " + word()
         else:
-            kind = int(rng.integers(8))
+            kind = int(rng.integers(11))
             name = pick(["commit", "sha256", "md5", "checksum", "digest", "revision", "etag", "uuid"])
             before, after = prose, " " + word()
-            if kind == 0:
-                value = "".join(word() for _ in range(3))
+            if kind in (0, 10):
+                value = pick([str.lower, str.lower, str.capitalize, str.upper])("".join(word() for _ in range(int(rng.integers(2, 6)))))
             elif kind == 1:
                 value, before = pick([raw(16).hex(), raw(20).hex(), raw(32).hex()]), prose + name + sep + pick([quote, ""])
             elif kind == 2:
@@ -115,9 +147,14 @@ def findings(n: int = FINDINGS, seed: int = SEED) -> tuple[np.ndarray, np.ndarra
             elif kind == 6:
                 value, path = pick([raw(20).hex(), rand(30)]), "tests/fixtures/" + word()
                 before = prose + pick(["example", "sample", "dummy"]) + "_" + pick(["token", "key"]) + sep + quote
-            else:
+            elif kind == 7:
                 value = "".join(str(d) for d in rng.integers(0, 10, int(rng.integers(16, 24))))
-            value = value if CANDIDATE.fullmatch(value.encode()) else word() + "".join(word() for _ in range(3)) + "abcdefgh"
+            elif kind == 8:
+                value = pick([word() + "ing", "required", "optional", "string", "changeme", "********", "undefined", word() + "." + word(), word() + "_" + word(), "config.get", "os.environ"])
+                before, after = prose + pick(["password", "token", "secret", "api_key", "pwd"]) + sep + quote, quote + " " + word()
+            else:
+                value, before, after = pick(["password", "secret", "pass" + word()[:4], "user" + word()[:3]]), prose + "https://" + pick(["user", "name"]) + ":", "@" + pick(["host", "example.com", "localhost"]) + "/"
+            value = value if kind in (8, 9) or CANDIDATE.fullmatch(value.encode()) else word() + "".join(word() for _ in range(3)) + "abcdefgh"
         x.append(features(value.encode(), before.encode()[-NEAR:], after.encode()[:NEAR], path))
         y.append(good)
     return np.array(x), np.array(y)
@@ -186,10 +223,9 @@ def scan(docs: DataFrame, forest: Forest, path: str = "source") -> DataFrame:
         for b in slices(batches, "text"):
             rows, x = [], []
             for i, (d, text, where) in enumerate(zip(b.column("doc_id").to_pylist(), b.column("text").cast(pa.binary()).to_pylist(), b.column("path").to_pylist())):
-                for m in CANDIDATE.finditer(text or b""):
-                    s, e = m.span()
-                    rows.append((d, s, e - s, m.group().decode()))
-                    x.append(features(m.group(), text[max(0, s - NEAR) : s], text[e : e + NEAR], where or ""))
+                for s, e in candidates(text or b""):
+                    rows.append((d, s, e - s, text[s:e].decode("utf-8", "replace")))
+                    x.append(features(text[s:e], text[max(0, s - NEAR) : s], text[e : e + NEAR], where or ""))
             p = shared.value.predict(np.array(x)) if x else np.zeros(0)
             cols = list(zip(*rows)) or [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([*cols, p], (pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.float64()))], names)
