@@ -13,7 +13,10 @@ Stretches. Each string of SPAN bytes selects the least hash of its GRAM-byte gra
 LENGTH bytes select equal hashes throughout, so a hash selected at one place only in the corpus ends
 every string about it. What is left is dealt out by the least hash within each string of LENGTH bytes:
 equal strings meet in one bucket, and equal stretches are collapsed before they travel, so a group of
-copies with any number of rows is one stretch there. None of this drops a repeat.
+copies with any number of rows is one stretch there. Where the stretches of one least hash are many (a
+line that stands in many surroundings), they are split further where the second-least hash changes, on
+which equal strings agree too. None of this drops a repeat. Texts are told apart by two 64-bit hashes,
+stretches by their least hash, 128 more bits and their size.
 
 Null texts count as empty. Texts under LENGTH bytes keep everything. Repeated rows are copies of each
 other and lose what is long enough. Texts are read whole, as UTF-8 bytes; matches never cross rows.
@@ -35,8 +38,8 @@ from .common import cut, flat, on_workers, slices
 
 LENGTH, HOP = 400, 100
 GRAM, SPAN = 64, 300
-#: Bytes of stretches in a bucket, about, and in a shard.
-BUCKET, SHARD = 1_000_000, 250_000
+#: Bytes of stretches in a bucket, about, and in a shard; those of one least hash beyond which they are split further.
+BUCKET, SHARD, HOT = 1_000_000, 250_000, 500_000
 
 _TABLE = np.random.default_rng(23).integers(0, 1 << 63, 256, dtype=np.uint64)
 _BASE = 0x5851F42D4C957F2D
@@ -81,7 +84,7 @@ def sliding(a: np.ndarray, w: int, least: Callable = np.minimum) -> np.ndarray:
 
 
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, h): the selected hash of each place that some string of SPAN bytes selects."""
+    """(key, check, h): the selected hash of each place that some string of SPAN bytes selects."""
     w = SPAN - GRAM + 1
     for b in slices(batches, "text", 2_000_000):
         data, starts = flat(b.column("text"))
@@ -92,12 +95,24 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pad = np.zeros(w - 1, np.uint64)
         at = np.flatnonzero((sliding(np.concatenate([pad, low, pad]), w, np.maximum) == h) & (h > 0)) if len(low) else np.zeros(0, int)
         doc = np.searchsorted(starts, at, side="right") - 1
-        keys = b.column("key").to_numpy()
-        yield pa.RecordBatch.from_arrays([pa.array(keys[doc]), pa.array(h[at].view(np.int64))], ["key", "h"])
+        yield pa.RecordBatch.from_arrays([b.column("key").take(pa.array(doc)), b.column("check").take(pa.array(doc)), pa.array(h[at].view(np.int64))], ["key", "check", "h"])
+
+
+def second(h: np.ndarray, w: int, least: np.ndarray) -> np.ndarray:
+    """The least but one of the different values of each w in a row, whose least are given; the greatest number if there is none."""
+    # Runs of one least: in each, that value is masked out and the rest looked at again.
+    none = np.uint64(0xFFFFFFFFFFFFFFFF)
+    out = np.full(len(least), none, np.uint64)
+    edge = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1], [True]])) if len(least) else np.zeros(0, int)
+    for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
+        part = h[a : b + w - 1]
+        out[a:b] = sliding(np.where(part == least[a], none, part), w)
+    return out
 
 
-def stretches(x: np.ndarray, repeated: np.ndarray) -> list[tuple[int, int, int]]:
-    """(first, last + 1, least hash) of runs of places where a repeated string may start, split where the least hash changes."""
+def stretches(x: np.ndarray, repeated: np.ndarray, hot: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """(first, last + 1, least hash, second-least or 0) of runs of places where a repeated string may start, split where
+    the least hash changes, and where that is among the hot ones where the second-least does."""
     if len(x) < LENGTH:
         return []
     h = hashes(x, GRAM)
@@ -107,31 +122,51 @@ def stretches(x: np.ndarray, repeated: np.ndarray) -> list[tuple[int, int, int]]
     ok = sums[LENGTH - SPAN + 1 : LENGTH - SPAN + 1 + n] == sums[:n]
     if not ok.any():
         return []
-    least = sliding(h, LENGTH - GRAM + 1)
+    w = LENGTH - GRAM + 1
+    least = sliding(h, w)
+    then = np.zeros(n, np.uint64)
+    if len(hot):
+        some = np.isin(least, hot) & ok
+        edge = _runs(some)
+        for a, b in zip(edge[::2].tolist(), edge[1::2].tolist()):
+            then[a:b] = second(h[a : b + w - 1], w, least[a:b])
     edge = np.ones(n + 1, bool)
-    edge[1:-1] = (least[1:] != least[:-1]) | (ok[1:] != ok[:-1])
+    edge[1:-1] = (least[1:] != least[:-1]) | (then[1:] != then[:-1]) | (ok[1:] != ok[:-1])
     at = np.flatnonzero(edge)
-    return [(a, b, int(least[a])) for a, b in zip(at[:-1].tolist(), at[1:].tolist()) if ok[a]]
+    return [(a, b, int(least[a]), int(then[a])) for a, b in zip(at[:-1].tolist(), at[1:].tolist()) if ok[a]]
+
+
+#: What tells stretches apart: least hash, second-least (0 where it doesn't split), two hashes of the bytes, size.
+NAMED = ["m", "then", "sh", "sh2", "size"]
+NAMED_TYPE = "m long, then long, sh long, sh2 long, size int"
 
 
 def _cut_out(with_bytes: bool) -> Callable:
+    """The stretches of each text: their names, with their bytes or with the text's key and their first place."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = np.zeros(0, np.int64)
         for b in slices(batches, "text"):
             data, starts = flat(b.column("text"))
             raw = data.tobytes()
-            key, first, least, sh, size, seg = [], [], [], [], [], []
-            for i, (k, hs) in enumerate(zip(b.column("key").to_pylist(), b.column("hs"))):
+            row, first, name, size, seg = [], [], [], [], []
+            for i, (hs, hot) in enumerate(zip(b.column("hs"), b.column("hot"))):
                 lo, hi = int(starts[i]), int(starts[i + 1])
-                for p, q, m in stretches(data[lo:hi], hs.values.to_numpy().view(np.uint64)):
+                hs, hot = (v.values.to_numpy() if v.is_valid else none for v in (hs, hot))
+                for p, q, m, then in stretches(data[lo:hi], hs.view(np.uint64), hot.view(np.uint64)):
                     s = raw[lo + p : lo + q + LENGTH - 1]
-                    key.append(k), first.append(p), least.append(m), size.append(len(s))
-                    sh.append(xxhash.xxh3_64_intdigest(s))
-                    seg.append(s)
-            cols = [pa.array(np.array(least, np.uint64).view(np.int64)), pa.array(np.array(sh, np.uint64).view(np.int64)), pa.array(size, pa.int32())]
+                    sh = xxhash.xxh3_128_intdigest(s)
+                    row.append(i), first.append(p), size.append(len(s))
+                    name.append((m, then, sh >> 64, sh & 0xFFFFFFFFFFFFFFFF))
+                    if with_bytes:
+                        seg.append(s)
+            names = np.array(name, np.uint64).reshape(-1, 4).view(np.int64)
+            cols = [*[pa.array(names[:, j]) for j in range(4)], pa.array(size, pa.int32())]
             if with_bytes:
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(seg, pa.binary())], ["m", "sh", "size", "seg"])
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(seg, pa.binary())], [*NAMED, "seg"])
             else:
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(key, pa.int64()), pa.array(first, pa.int32())], ["m", "sh", "size", "key", "first"])
+                at = pa.array(row, pa.int64())
+                yield pa.RecordBatch.from_arrays([*cols, b.column("key").take(at), b.column("check").take(at), pa.array(first, pa.int32())], [*NAMED, "key", "check", "first"])
 
     return run
 
@@ -247,7 +282,7 @@ def _runs(mask: np.ndarray) -> np.ndarray:
 def _merged(t: pa.Table) -> pa.Table:
     segs = [s.as_py() for s in t.column("seg")]
     runs = [_runs(m).tobytes() for m in repeats(segs, t.column("n").to_numpy())]
-    out = pa.table([t.column("m"), t.column("sh"), t.column("size"), pa.array(runs, pa.binary())], ["m", "sh", "size", "runs"])
+    out = pa.table([*[t.column(c) for c in NAMED], pa.array(runs, pa.binary())], [*NAMED, "runs"])
     return out.filter(pa.array([len(r) > 0 for r in runs], pa.bool_()))
 
 
@@ -277,20 +312,37 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, spans, kept), a row for each row of docs; spans: packed pairs of 32-bit integers, first
     and last + 1 of each maximal removed run; kept: the remaining bytes."""
     on_workers(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64("text").alias("key"))
-    anchors = rows.select("key", "text").mapInArrow(_anchors, "key long, h long")
+    text = F.col("text").cast("string")
+    rows = docs.select(F.col("doc_id").cast("long"), text.alias("text"), F.xxhash64(text).alias("key"), F.xxhash64(F.lit(LENGTH), F.octet_length(text), text).alias("check"))
+    of = lambda df: df.withColumnsRenamed({"key": "of_key", "check": "of_check"})
+    same = (F.col("key") == F.col("of_key")) & (F.col("check") == F.col("of_check"))
+    anchors = cut(rows.select("key", "check", "text").mapInArrow(_anchors, "key long, check long, h long"))
     # Kept first, so that both sides of the join are exchanges of their own: Spark can then split a hash of very many rows.
     twice = cut(anchors.groupBy("h").count().where("count > 1").select("h"))
-    of_text = cut(anchors.join(twice, "h").groupBy("key").agg(F.collect_set("h").alias("hs")))
-    n = of_text.agg(F.coalesce(F.sum(F.size("hs")), F.lit(0))).first()[0]
-    # A selected hash stands for about (SPAN - GRAM) / 2 bytes of text, a stretch has some four times that.
-    buckets = max(1, n * 2 * (SPAN - GRAM) // BUCKET)
-    some = rows.join(of_text.withColumnRenamed("key", "of"), F.col("key") == F.col("of")).select("key", "text", "hs")
-    held = some.mapInArrow(_cut_out(True), "m long, sh long, size int, seg binary").groupBy("m", "sh", "size").agg(F.count("seg").alias("n"), F.first("seg").alias("seg"))
-    merged = held.groupBy(F.pmod("m", F.lit(buckets)).alias("bucket")).applyInArrow(_merged, "m long, sh long, size int, runs binary")
-    at = some.mapInArrow(_cut_out(False), "m long, sh long, size int, key long, first int").distinct()
-    cover = at.join(merged, ["m", "sh", "size"]).groupBy(F.col("key").alias("of")).agg(F.collect_list(F.struct("first", "runs")).alias("cover"))
-    return rows.join(cover, F.col("key") == F.col("of"), "left").select("doc_id", "text", "cover").mapInArrow(_removed, "doc_id long, n_bytes long, spans binary, kept binary")
+    of_text = cut(anchors.join(twice, "h").groupBy("key", "check").agg(F.collect_set("h").alias("hs")))
+    some = rows.join(of(of_text), same).select("key", "check", "text", "hs")
+
+    no_hot = some.withColumn("hot", F.lit(None).cast("array<long>"))
+
+    def places(held: DataFrame) -> DataFrame:
+        return held.mapInArrow(_cut_out(False), NAMED_TYPE + ", key long, check long, first int").distinct()
+
+    # Least hashes whose distinct stretches are too much for one task, and the texts that have them.
+    at = cut(places(no_hot))
+    sums = at.select(*NAMED).distinct().groupBy("m").agg(F.sum("size").alias("bytes"))
+    buckets = max(1, sums.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0] // BUCKET)
+    many = cut(sums.where(F.col("bytes") > HOT).select("m"))
+    split = no_hot
+    if many.limit(1).count():
+        hot = cut(of(at.join(many, "m").groupBy("key", "check").agg(F.collect_set("m").alias("hot"))))
+        split = some.join(hot, same, "left").drop("of_key", "of_check")
+        at = cut(at.join(hot, same, "left_anti").unionByName(places(split.where("hot is not null"))))
+    held = split.mapInArrow(_cut_out(True), NAMED_TYPE + ", seg binary").groupBy(*NAMED).agg(F.count("seg").alias("n"), F.first("seg").alias("seg"))
+    merged = held.groupBy(F.pmod(F.xxhash64("m", "then"), F.lit(buckets)).alias("bucket")).applyInArrow(_merged, NAMED_TYPE + ", runs binary")
+    cover = at.join(merged, NAMED).groupBy("key", "check").agg(F.collect_list(F.struct("first", "runs")).alias("cover"))
+    # Kept first, as above: copies of one text are then dealt over several tasks.
+    cover = cut(of(cover))
+    return rows.join(cover, same, "left").select("doc_id", "text", "cover").mapInArrow(_removed, "doc_id long, n_bytes long, spans binary, kept binary")
 
 
 def digests(removed: DataFrame) -> DataFrame:
