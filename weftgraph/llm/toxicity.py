@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import flat, fold, on_workers, slices
 from .langid import _FOLD
 
-WINDOW, STRIDE = 32, 24
+WINDOW, STRIDE = 32, 16
 #: Labelled rows of each class that training reads, at most; of each it reads all windows.
 SAMPLE = 1500
 #: Hidden units of each direction, dimensions of a word's and of a gram's embedding, hashed grams.
