@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .loops import cut, empty
+
 GLOBAL = "parent_kind IN ('unit', 'namespace')"
 LOCAL = "(linkage <> 'external' AND in_main_file)"
 EXTERNAL_HERE = "(linkage = 'external' AND in_main_file)"
@@ -45,6 +47,29 @@ def definitions(decls: DataFrame) -> DataFrame:
     return _symbols(decls.where(f"linkage = 'external' AND {GLOBAL} AND NOT {FORWARD} AND kind <> 'field' AND NOT is_method AND NOT is_system AND {NAMED}"))
 
 
-def usages(refs: DataFrame, decls: DataFrame) -> DataFrame:
-    """References(ref_line, ref_col, name) to declarations that are problematic."""
-    return refs.join(problematic(decls).select("name").distinct(), "name", "left_semi")
+def with_previous(decls: DataFrame) -> DataFrame:
+    """decls(seq, ...) with prev_file and prev_is_system: of the declarations of the same kind and name that come
+    earlier (seq) in another file the last one's; null if there is none."""
+    d = decls.drop("prev_file", "prev_is_system")
+    other = d.select("kind", "name", F.col("seq").alias("prev_seq"), F.col("file").alias("prev_file"), F.col("is_system").alias("prev_is_system"))
+    last = d.select("kind", "name", "seq", "file").join(other, ["kind", "name"]).where("prev_seq < seq and prev_file <> file")
+    last = last.groupBy("kind", "name", "seq", "file").agg(F.max_by(F.struct("prev_file", "prev_is_system"), "prev_seq").alias("p"))
+    return d.join(last.select("kind", "name", "seq", "file", "p.*"), ["kind", "name", "seq", "file"], "left")
+
+
+def unwrapped(refs: DataFrame, aliases: DataFrame, rounds: int = 64) -> DataFrame:
+    """refs with the name of an alias(name, target) replaced by what it stands for, through as many aliases as there are."""
+    step = cut(aliases.select("name", "target").dropDuplicates(["name"]))
+    for _ in range(rounds):
+        if empty(refs.join(step, "name", "left_semi")):
+            return refs
+        refs = cut(refs.join(step, "name", "left").withColumn("name", F.coalesce("target", "name")).drop("target"))
+    raise RecursionError("an alias stands for itself")
+
+
+def usages(refs: DataFrame, decls: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
+    """References(ref_line, ref_col, name) to declarations that are problematic. If refs has the file of what it
+    refers to, a declaration of the same name elsewhere does not count; aliases(name, target) are followed."""
+    keys = ["name", "file"] if "file" in refs.columns else ["name"]
+    refs = unwrapped(refs, aliases) if aliases is not None else refs
+    return refs.join(problematic(decls).select(*keys).distinct(), keys, "left_semi")

@@ -41,17 +41,17 @@ def levels(edges: DataFrame, starts: DataFrame) -> DataFrame:
         seen = seen.unionByName(front)
 
 
-#: Graphs of at most so many edges are searched in one place: their rounds cost more than their rows.
+#: Graphs of at most so many edges are searched in one place, as their rounds cost more than their rows; callers may say another number, 0 for never.
 SMALL = 20_000
 
 
-def small(edges: DataFrame) -> list[tuple] | None:
-    """The edges, sorted, if there are few; else null. No more than SMALL + 1 rows come to the driver."""
-    rows = edges.limit(SMALL + 1).collect()
-    return sorted(map(tuple, rows)) if len(rows) <= SMALL else None
+def small(edges: DataFrame, most: int) -> list[tuple] | None:
+    """The edges, sorted, if there are at most so many; else null. No more than most + 1 rows come to the driver."""
+    rows = edges.limit(most + 1).collect() if most else []
+    return sorted(map(tuple, rows)) if most and len(rows) <= most else None
 
 
-def shortest_cycles(edges: DataFrame) -> DataFrame:
+def shortest_cycles(edges: DataFrame, most: int | None = None) -> DataFrame:
     """(node, cycle): closed lists of the shortest cycles' length, one for each node on such a cycle.
 
     All nodes search at once, a level a round, and stop at the first level at which any comes back; of
@@ -59,7 +59,7 @@ def shortest_cycles(edges: DataFrame) -> DataFrame:
     squared, but only as deep as the shortest cycle. Small graphs are searched alike on the driver.
     """
     edges = cut(no_loops(edges))
-    few = small(edges)
+    few = small(edges, SMALL if most is None else most)
     if few is not None:
         kind = edges.schema["src"].dataType.simpleString()
         return edges.sparkSession.createDataFrame(kernels.shortest_cycles(few), f"node {kind}, cycle array<{kind}>")
@@ -82,10 +82,10 @@ def search_cycles(edges: DataFrame) -> DataFrame:
     return front.select("node", F.col("path").alias("cycle"))
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, most: int | None = None) -> DataFrame:
     """(node, component): the smallest node of each connected component, for nodes with an edge to another."""
     edges = cut(no_loops(edges))
-    few = small(edges)
+    few = small(edges, SMALL if most is None else most)
     if few is not None:
         kind = edges.schema["src"].dataType.simpleString()
         return edges.sparkSession.createDataFrame(kernels.components(few), f"node {kind}, component {kind}")
@@ -120,10 +120,10 @@ def trimmed(edges: DataFrame) -> DataFrame:
     return edges
 
 
-def strong_components(edges: DataFrame) -> DataFrame:
+def strong_components(edges: DataFrame, most: int | None = None) -> DataFrame:
     """(node, component): strongly connected components of more than one node, named by their smallest."""
     edges = cut(no_loops(edges))
-    few = small(edges)
+    few = small(edges, SMALL if most is None else most)
     if few is not None:
         kind = edges.schema["src"].dataType.simpleString()
         return edges.sparkSession.createDataFrame(kernels.strong_components(few), f"node {kind}, component {kind}")
@@ -171,18 +171,20 @@ def cyclic_nodes(edges: DataFrame) -> DataFrame:
 def layers(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, layer) of an acyclic graph in which src depends on dst: a node's layer is one above its dependencies' highest.
 
-    The longest path: each round raises nodes whose dependencies were raised, so a round costs what changed.
+    Each round keeps the nodes that depend on the last round's, so a round costs what is left; a node's
+    layer is its last round. On a cycle nodes stay for ever: a round that drops none is an error.
     """
     edges = cut(edges.select("src", "dst").distinct())
-    layer = cut(nodes.select("node").distinct().withColumn("layer", F.lit(0)))
-    changed = layer
-    while True:
-        up = changed.join(edges, changed["node"] == edges["dst"]).groupBy(F.col("src").alias("node")).agg((F.max("layer") + 1).alias("up"))
-        new = cut(layer.join(up, "node", "left").select("node", F.greatest("layer", F.coalesce("up", F.lit(0))).alias("layer"), (F.coalesce("up", F.lit(0)) > F.col("layer")).alias("raised")))
-        changed = new.where("raised").select("node", "layer")
-        layer = new.select("node", "layer")
-        if empty(changed):
-            return layer
+    front = cut(nodes.select("node").union(edges.select("src")).union(edges.select("dst")).distinct().withColumn("layer", F.lit(0)))
+    out, level, left = front, 0, front.count()
+    while left:
+        level += 1
+        front = cut(front.select(F.col("node").alias("dst")).join(edges, "dst").select(F.col("src").alias("node")).distinct().withColumn("layer", F.lit(level)))
+        before, left = left, front.count()
+        if left == before:
+            raise ValueError("a graph with a cycle has no layers")
+        out = out.unionByName(front)
+    return out.groupBy("node").agg(F.max("layer").alias("layer"))
 
 
 def topological_order(nodes: DataFrame, edges: DataFrame) -> DataFrame:

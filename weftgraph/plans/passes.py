@@ -105,7 +105,7 @@ def merged(fragments: DataFrame, into: dict[str, str]) -> DataFrame:
         while t in into:
             t = into[t]
         end[m] = t
-    plan = F.broadcast(fragments.sparkSession.createDataFrame(sorted(end.items()), "module string, target string"))  # a row a merged module
+    plan = fragments.sparkSession.createDataFrame(sorted(end.items()), "module string, target string")
     return fragments.join(plan, "module", "left").select(F.coalesce("target", "module").alias("module"), "file")
 
 
@@ -126,6 +126,9 @@ def join_forward_declared(state: State) -> State:
     """Modules joined by forward declarations become one."""
     if state.forwards is None or state.definitions is None:
         return state
+    many = state.fragments.join(state.forwards.select("file"), "file", "left_semi").groupBy("file").agg(F.countDistinct("module").alias("n")).where("n > 1").limit(5).collect()
+    if many:
+        raise ValueError(f"in several modules: {', '.join(r[0] for r in many)}")
     links = relational.forward_links(state.forwards, state.definitions, state.fragments)
     of = graphs.components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
     joined = state.fragments.join(of, state.fragments["module"] == of["node"], "left").select(F.coalesce("component", "module").alias("module"), "file")

@@ -13,14 +13,11 @@ from .operators import relational as rel
 from .operators.loops import cut
 from .plans import passes
 from .plans.model import State
-from .tables import deps, facts_sql, fragments, implements, table, uses
+from .tables import deps, facts_sql, fragments, implements, supply, table, uses
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
-#: The least quantity of lines that count as uses where a sparse graph is wanted.
-SPARSE = 50
-
 
 def query(sql: str | None = None) -> Callable:
     def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -32,7 +29,7 @@ def query(sql: str | None = None) -> Callable:
     return add
 
 
-DENSE, FINE = facts_sql(), facts_sql(SPARSE, fine=True)
+DENSE, FINE = facts_sql(), facts_sql(fine=True)
 
 # ---- imports, couplings, lookups
 
@@ -58,15 +55,15 @@ def module_sizes(spark, sf):
     return rel.module_sizes(fragments(spark, sf))
 
 
-@query("WITH f AS (SELECT 'B' || (l_suppkey % 25) AS module, CAST(l_partkey AS VARCHAR) AS file FROM lineitem WHERE l_quantity >= 40) SELECT file, count(*) AS n FROM f GROUP BY file HAVING count(*) <> 1")
+@query("WITH f AS (SELECT 'B' || (l_suppkey % 25) AS module, CAST(l_partkey AS VARCHAR) AS file FROM lineitem) SELECT file, count(*) AS n FROM f GROUP BY file HAVING count(*) <> 1")
 def duplicate_fragments(spark, sf):
-    f = table(spark, sf, "lineitem").where("l_quantity >= 40").select(F.concat(F.lit("B"), (F.col("l_suppkey") % 25).cast("string")).alias("module"), F.col("l_partkey").cast("string").alias("file"))
+    f = table(spark, sf, "lineitem").select(F.concat(F.lit("B"), (F.col("l_suppkey") % 25).cast("string")).alias("module"), F.col("l_partkey").cast("string").alias("file"))
     return rel.unique_fragments(f)[1]
 
 
-@query("SELECT CAST(l_suppkey AS VARCHAR) AS symbol, count(DISTINCT l_partkey) AS files FROM lineitem WHERE l_quantity >= 45 GROUP BY l_suppkey HAVING count(DISTINCT l_partkey) > 1")
+@query("SELECT CAST(l_suppkey AS VARCHAR) AS symbol, count(DISTINCT l_partkey) AS files FROM lineitem GROUP BY l_suppkey HAVING count(DISTINCT l_partkey) > 1")
 def multi_defined_symbols(spark, sf):
-    d = table(spark, sf, "lineitem").where("l_quantity >= 45").select(F.col("l_suppkey").cast("string").alias("symbol"), F.col("l_partkey").alias("file"))
+    d = table(spark, sf, "lineitem").select(F.col("l_suppkey").cast("string").alias("symbol"), F.col("l_partkey").alias("file"))
     return rel.ambiguous_symbols(d)
 
 
@@ -82,8 +79,7 @@ def file_degrees(spark, sf):
 
 @query(f"{FINE} SELECT file AS node FROM fragments WHERE file NOT IN (SELECT dependee FROM uses) AND file NOT IN (SELECT dependency FROM uses)")
 def isolated_files(spark, sf):
-    e = uses(spark, sf, SPARSE).select(F.col("dependee").alias("src"), F.col("dependency").alias("dst"))
-    return rel.isolated(fragments(spark, sf).select(F.col("file").alias("node")), e)
+    return rel.isolated(fragments(spark, sf, True).select(F.col("file").alias("node")), _files(spark, sf))
 
 
 @query("WITH e AS (SELECT l_orderkey AS entry, 'p' || (l_orderkey % 97) AS file, 'p' || (l_partkey % 997) AS header FROM lineitem) SELECT header, count(DISTINCT entry) AS n FROM e WHERE header <> file GROUP BY header")
@@ -251,10 +247,10 @@ def implementation_moves(spark, sf):
     return rel.implementation_moves(implements(spark, sf), fragments(spark, sf), "[02468]$")
 
 
-@query(f"{DENSE}, f AS (SELECT DISTINCT 's' || l_suppkey AS symbol, CAST(l_partkey AS VARCHAR) AS file FROM lineitem WHERE l_quantity >= 49), d AS (SELECT DISTINCT 's' || (p_partkey % 120) AS symbol, CAST(p_partkey AS VARCHAR) AS file FROM part WHERE p_size >= 48), dm AS (SELECT symbol, min(module) AS b FROM d JOIN fragments USING (file) GROUP BY symbol HAVING min(module) = max(module)) SELECT DISTINCT g.module AS a, dm.b FROM f JOIN fragments g USING (file) JOIN dm USING (symbol) WHERE g.module <> dm.b")
+@query(f"{DENSE}, f AS (SELECT DISTINCT 's' || l_suppkey AS symbol, CAST(l_partkey AS VARCHAR) AS file FROM lineitem), d AS (SELECT DISTINCT 's' || (p_partkey // 2) AS symbol, CAST(p_partkey AS VARCHAR) AS file FROM part), dm AS (SELECT symbol, min(module) AS b FROM d JOIN fragments USING (file) GROUP BY symbol HAVING min(module) = max(module)) SELECT DISTINCT g.module AS a, dm.b FROM f JOIN fragments g USING (file) JOIN dm USING (symbol) WHERE g.module <> dm.b")
 def forward_links(spark, sf):
-    f = table(spark, sf, "lineitem").where("l_quantity >= 49").select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("symbol"), F.col("l_partkey").cast("string").alias("file"))
-    d = table(spark, sf, "part").where("p_size >= 48").select(F.concat(F.lit("s"), (F.col("p_partkey") % 120).cast("string")).alias("symbol"), F.col("p_partkey").cast("string").alias("file"))
+    f = table(spark, sf, "lineitem").select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("symbol"), F.col("l_partkey").cast("string").alias("file"))
+    d = table(spark, sf, "part").select(F.concat(F.lit("s"), F.expr("p_partkey div 2").cast("string")).alias("symbol"), F.col("p_partkey").cast("string").alias("file"))
     return rel.forward_links(f, d, fragments(spark, sf))
 
 
@@ -282,10 +278,18 @@ def rotated_cycles(spark, sf):
 
 
 def _edges(spark: SparkSession, sf: str) -> DataFrame:
-    return passes.module_edges(State(fragments(spark, sf, fine=True), uses(spark, sf, SPARSE)))
+    """The fine facts' modules; over 20,000 edges at sf0.01, so searches go by joins."""
+    return passes.module_edges(State(fragments(spark, sf, True), uses(spark, sf, True)))
+
 
+def _files(spark: SparkSession, sf: str) -> DataFrame:
+    """The fine facts' files."""
+    return uses(spark, sf, True).select(F.col("dependee").alias("src"), F.col("dependency").alias("dst"))
 
-_CYCLES = f"{FINE}, w AS (SELECT src AS node, dst AS cur, 1 AS n, [src, dst] AS path FROM mods UNION ALL SELECT w.node, m.dst, n + 1, list_append(path, m.dst) FROM w JOIN mods m ON m.src = w.cur WHERE n < 4 AND w.cur <> w.node), closed AS (SELECT * FROM w WHERE cur = node), best AS (SELECT node, min(path) AS cycle FROM closed WHERE n = (SELECT min(n) FROM closed) GROUP BY node)"
+
+#: Files as nodes; the modules' shortest cycles have two edges in all of the driver's tables.
+_FILES = f"{FINE}, e AS MATERIALIZED (SELECT dependee AS src, dependency AS dst FROM uses), nodes AS (SELECT src AS node FROM e UNION SELECT dst FROM e)"
+_CYCLES = f"{FINE}, w AS (SELECT src AS node, dst AS cur, 1 AS n, [src, dst] AS path FROM mods UNION ALL SELECT w.node, m.dst, n + 1, list_append(path, m.dst) FROM w JOIN mods m ON m.src = w.cur WHERE n < 2 AND w.cur <> w.node), closed AS (SELECT * FROM w WHERE cur = node), best AS (SELECT node, min(path) AS cycle FROM closed WHERE n = (SELECT min(n) FROM closed) GROUP BY node)"
 
 
 @query(f"{_CYCLES} SELECT node, array_to_string(cycle, ' -> ') AS cycle FROM best")
@@ -295,20 +299,24 @@ def shortest_cycles(spark, sf):
 
 @query(f"{_CYCLES}, e AS (SELECT b.node AS cycle_id, i AS pos, cycle[i] AS module, cycle[i + 1] AS dependency FROM best b, (SELECT unnest(range(1, 10)) AS i) WHERE i < len(cycle)), s AS (SELECT from_module AS module, to_module AS dependency, count(*) AS strength FROM placed WHERE from_module <> to_module GROUP BY ALL), r AS (SELECT e.*, coalesce(strength, 0) AS strength, row_number() OVER (PARTITION BY cycle_id ORDER BY coalesce(strength, 0) DESC, pos) AS r FROM e LEFT JOIN s USING (module, dependency)) SELECT cycle_id, module, dependency, strength FROM r WHERE r = 1")
 def strongest_edge(spark, sf):
-    f, d = fragments(spark, sf, fine=True), deps(spark, sf, SPARSE)
+    f, d = fragments(spark, sf, True), deps(spark, sf, True)
     cycles = graphs.shortest_cycles(_edges(spark, sf)).withColumnRenamed("node", "cycle_id")
     return rel.strongest_edges(cycles, rel.coupling(d, f))
 
 
-@query(f"{FINE}, starts AS (SELECT DISTINCT src AS start FROM mods WHERE src < 'Brand#12'), hop AS (SELECT start, start AS node, 0 AS level FROM starts UNION SELECT start, dst, level + 1 FROM hop JOIN mods ON src = node WHERE level < 20) SELECT start, node, CAST(min(level) AS INTEGER) AS level FROM hop WHERE node <> start GROUP BY start, node")
+_HOPS = "hop(start, node, level) USING KEY (start, node) AS (SELECT node, node, 0 FROM nodes UNION SELECT h.start, w.dst, min(h.level) + 1 FROM hop h JOIN way w ON w.src = h.node WHERE NOT EXISTS (SELECT 1 FROM recurring.hop r WHERE r.start = h.start AND r.node = w.dst) GROUP BY ALL) SELECT start, node, CAST(level AS INTEGER) AS level FROM hop WHERE level > 0"
+
+
+@query(f"{_FILES}, way AS (SELECT src, dst FROM e), {_HOPS}")
 def reachable_levels(spark, sf):
-    e = _edges(spark, sf)
-    return graphs.levels(e, e.where("src < 'Brand#12'").select(F.col("src").alias("node")))
+    e = cut(_files(spark, sf))
+    return graphs.levels(e, e.select(F.col("src").alias("node")))
 
 
-@query(f"{FINE}, reach AS (SELECT src, dst FROM mods UNION SELECT r.src, m.dst FROM reach r JOIN mods m ON m.src = r.dst) SELECT src AS node FROM reach WHERE src = dst")
+@query(f"{_FILES}, reach AS (SELECT src, dst FROM e UNION SELECT r.src, m.dst FROM reach r JOIN e m ON m.src = r.dst) SELECT src AS node FROM reach WHERE src = dst UNION SELECT 'm' || src FROM (WITH RECURSIVE r2 AS (SELECT src, dst FROM mods UNION SELECT r.src, m.dst FROM r2 r JOIN mods m ON m.src = r.dst) SELECT src FROM r2 WHERE src = dst)")
 def cyclic_nodes(spark, sf):
-    return graphs.cyclic_nodes(_edges(spark, sf))
+    """Of the files, and of the modules (behind an m)."""
+    return graphs.cyclic_nodes(_files(spark, sf)).union(graphs.cyclic_nodes(_edges(spark, sf)).select(F.concat(F.lit("m"), "node")))
 
 
 @query(f"{FINE}, reach AS (SELECT src, dst FROM mods UNION SELECT r.src, m.dst FROM reach r JOIN mods m ON m.src = r.dst) SELECT a.src AS node, min(a.dst) AS component FROM reach a JOIN reach b ON b.src = a.dst AND b.dst = a.src GROUP BY a.src")
@@ -316,26 +324,24 @@ def strong_components(spark, sf):
     return graphs.strong_components(_edges(spark, sf))
 
 
-_LINKS = "WITH RECURSIVE e AS (SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 WHERE a.l_partkey <> b.l_partkey AND a.l_quantity >= 50)"
-
-
-@query(f"{_LINKS}, u AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), reach AS (SELECT src, dst FROM u UNION SELECT r.src, u.dst FROM reach r JOIN u ON u.src = r.dst) SELECT src AS node, least(src, min(dst)) AS component FROM reach GROUP BY src")
+@query(f"{_FILES}, sym AS MATERIALIZED (SELECT src, dst FROM e UNION SELECT dst, src FROM e), cc(node, component) USING KEY (node) AS (SELECT node, node FROM nodes UNION SELECT u.node, min(v.component) FROM cc v JOIN sym ON sym.src = v.node JOIN recurring.cc u ON u.node = sym.dst WHERE v.component < u.component GROUP BY u.node) SELECT node, component FROM cc")
 def components(spark, sf):
-    e = uses(spark, sf, SPARSE).select(F.col("dependee").cast("long").alias("src"), F.col("dependency").cast("long").alias("dst"))
-    return graphs.components(e)
+    return graphs.components(_files(spark, sf))
 
 
-@query(f"{_LINKS}, d AS (SELECT * FROM e WHERE src < dst), n AS (SELECT src AS node FROM e UNION SELECT dst FROM e), l AS (SELECT node, 0 AS layer FROM n UNION SELECT d.src, layer + 1 FROM l JOIN d ON d.dst = l.node) SELECT node, CAST(max(layer) AS INTEGER) AS layer FROM l GROUP BY node")
+@query(f"{_FILES}, d AS MATERIALIZED (SELECT DISTINCT least(src, dst) AS src, greatest(src, dst) AS dst FROM e), l AS (SELECT node, 0 AS layer FROM nodes UNION SELECT d.src, layer + 1 FROM l JOIN d ON d.dst = l.node) SELECT node, CAST(max(layer) AS INTEGER) AS layer FROM l GROUP BY node")
 def topo_layers(spark, sf):
-    e = uses(spark, sf, SPARSE).select(F.col("dependee").cast("long").alias("src"), F.col("dependency").cast("long").alias("dst"))
+    """Each edge from the smaller to the greater name, so that there is no cycle."""
+    e = cut(_files(spark, sf))
     nodes = e.select(F.col("src").alias("node")).union(e.select("dst"))
-    return graphs.layers(nodes, e.where("src < dst"))
+    return graphs.layers(nodes, e.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")))
 
 
-@query(f"{_LINKS}, seen AS (SELECT DISTINCT src AS node FROM e WHERE src % 50 = 0 UNION SELECT e.dst FROM seen JOIN e ON e.src = seen.node) SELECT src, dst FROM e WHERE src IN (SELECT node FROM seen)")
+@query(f"{_FILES}, seen AS (SELECT node FROM nodes WHERE node NOT IN (SELECT dst FROM e) UNION SELECT e.dst FROM seen JOIN e ON e.src = seen.node) SELECT src, dst FROM e WHERE src IN (SELECT node FROM seen)")
 def include_closure(spark, sf):
-    e = uses(spark, sf, SPARSE).select(F.col("dependee").cast("long").alias("src"), F.col("dependency").cast("long").alias("dst"))
-    return graphs.include_closure(e.where("src % 50 = 0").select(F.col("src").alias("node")), e)
+    """From all files that no other uses."""
+    e = cut(_files(spark, sf))
+    return graphs.include_closure(e.select(F.col("src").alias("node")).join(e.select(F.col("dst").alias("node")), "node", "left_anti"), e)
 
 
 @query(f"{DENSE} SELECT src, dst, CASE WHEN src < 'Brand#33' THEN 'S' ELSE 'T' END AS src_side, CASE WHEN dst < 'Brand#33' THEN 'S' ELSE 'T' END AS dst_side FROM mods WHERE (src < 'Brand#33') <> (dst < 'Brand#33')")
@@ -348,7 +354,7 @@ def cutting_edges(spark, sf):
 
 def _flow(spark: SparkSession, sf: str) -> DataFrame:
     cycles = passes.distinct_cycles(graphs.shortest_cycles(_edges(spark, sf)))
-    return graphs.flow_edges(cut(cycles), uses(spark, sf, SPARSE), fragments(spark, sf, fine=True))
+    return graphs.flow_edges(cut(cycles), uses(spark, sf, True), fragments(spark, sf, True))
 
 
 _FLOW = f"""{_CYCLES}, ids AS (SELECT DISTINCT array_to_string(list_sort(cycle[1:2]), ',') AS cycle_id, list_min(cycle[1:2]) AS m0, list_max(cycle[1:2]) AS m1 FROM best WHERE len(cycle) = 3),
@@ -380,18 +386,18 @@ def files_to_move(spark, sf):
 
 @query()
 def module_merges(spark, sf):
-    into = passes.fold_once(State(fragments(spark, sf, fine=True), deps(spark, sf, SPARSE)))
+    into = passes.fold_once(State(fragments(spark, sf, True), deps(spark, sf, True)))
     return spark.createDataFrame(sorted(into.items()), "module string, target string")
 
 
 @query()
 def split_modules(spark, sf):
-    return passes.split(State(fragments(spark, sf, fine=True), uses(spark, sf, SPARSE))).fragments
+    return passes.split(State(*supply(spark, sf))).fragments
 
 
 @query()
 def merged_modules(spark, sf):
-    return passes.merge(State(fragments(spark, sf, fine=True), uses(spark, sf, SPARSE))).fragments
+    return passes.merge(State(*supply(spark, sf))).fragments
 
 
 # ---- more of texts, names and sets
@@ -434,10 +440,10 @@ def listed_dependencies(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", F.array_join(fn.make_dependencies(rule), ",").alias("paths"))
 
 
-@query("SELECT DISTINCT file FROM (SELECT 'p' || p_partkey AS file FROM part WHERE p_size > 25 UNION ALL SELECT 'p' || l_partkey FROM lineitem WHERE l_quantity > 45)")
+@query("SELECT DISTINCT file FROM (SELECT 'p' || p_partkey AS file FROM part UNION ALL SELECT 'p' || l_partkey FROM lineitem)")
 def known_files(spark, sf):
     name = lambda c: F.concat(F.lit("p"), F.col(c).cast("string")).alias("file")
-    return rel.known_files(table(spark, sf, "part").where("p_size > 25").select(name("p_partkey")), table(spark, sf, "lineitem").where("l_quantity > 45").select(name("l_partkey")))
+    return rel.known_files(table(spark, sf, "part").select(name("p_partkey")), table(spark, sf, "lineitem").select(name("l_partkey")))
 
 
 @query("SELECT DISTINCT p_brand AS module FROM part WHERE p_brand NOT IN (SELECT p_brand FROM part WHERE p_size = 50 AND p_retailprice > 1000)")
@@ -456,17 +462,17 @@ def moved_fragments(spark, sf):
     return rel.apply_moves(fragments(spark, sf), implementation_moves(spark, sf))
 
 
-@query(f"{FINE}, reach AS (SELECT src, dst FROM mods UNION SELECT r.src, m.dst FROM reach r JOIN mods m ON m.src = r.dst), cyc AS (SELECT src AS node FROM reach WHERE src = dst), n AS (SELECT src AS node FROM mods UNION SELECT dst FROM mods), good AS (SELECT node FROM n WHERE node NOT IN (SELECT node FROM cyc)), d AS (SELECT * FROM mods WHERE src IN (SELECT node FROM good) AND dst IN (SELECT node FROM good)), l AS (SELECT node, 0 AS layer FROM good UNION SELECT d.src, layer + 1 FROM l JOIN d ON d.dst = l.node) SELECT node, CAST(max(layer) AS INTEGER) AS layer, false AS cyclic FROM l GROUP BY node UNION ALL SELECT node, -1, true FROM cyc")
+@query(f"{_FILES}, reach AS (SELECT src, dst FROM e UNION SELECT r.src, m.dst FROM reach r JOIN e m ON m.src = r.dst), cyc AS (SELECT src AS node FROM reach WHERE src = dst), good AS (SELECT node FROM nodes WHERE node NOT IN (SELECT node FROM cyc)), d AS MATERIALIZED (SELECT * FROM e WHERE src IN (SELECT node FROM good) AND dst IN (SELECT node FROM good)), l AS (SELECT node, 0 AS layer FROM good UNION SELECT d.src, layer + 1 FROM l JOIN d ON d.dst = l.node) SELECT node, CAST(max(layer) AS INTEGER) AS layer, false AS cyclic FROM l GROUP BY node UNION ALL SELECT node, -1, true FROM cyc")
 def topological_order(spark, sf):
-    e = cut(_edges(spark, sf))
+    e = cut(_files(spark, sf))
     order = graphs.topological_order(e.select(F.col("src").alias("node")).union(e.select("dst")), e)
     return order.withColumn("layer", F.coalesce("layer", F.lit(-1)))
 
 
-@query(f"{FINE}, starts AS (SELECT DISTINCT dst AS start FROM mods WHERE dst < 'Brand#12'), hop AS (SELECT start, start AS node, 0 AS level FROM starts UNION SELECT start, src, level + 1 FROM hop JOIN mods ON dst = node WHERE level < 20) SELECT start, node, CAST(min(level) AS INTEGER) AS level FROM hop WHERE node <> start GROUP BY start, node")
+@query(f"{_FILES}, way AS (SELECT dst AS src, src AS dst FROM e), {_HOPS}")
 def dependee_levels(spark, sf):
-    e = _edges(spark, sf)
-    return graphs.levels(graphs.reversed_edges(e), e.where("dst < 'Brand#12'").select(F.col("dst").alias("node")))
+    e = cut(_files(spark, sf))
+    return graphs.levels(graphs.reversed_edges(e), e.select(F.col("dst").alias("node")))
 
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey, coalesce(nullif(CASE WHEN l_partkey % 3 = 0 THEN '' ELSE 's' || l_partkey END, ''), 'unnameable_decl_at__' || l_linenumber || '_' || (l_suppkey % 80)) AS name, 'm' || (l_suppkey % 9) || '_' || l_partkey AS token FROM lineitem")

@@ -77,3 +77,37 @@ def renamed_lines(lines: DataFrame, renames: DataFrame) -> DataFrame:
 
 def write_module_list(directives: DataFrame, path: str) -> None:
     directives.orderBy("section", "line").select(F.col("line").alias("value")).write.mode("overwrite").text(path)
+
+
+def importance_lines(counts: DataFrame, key: str) -> DataFrame:
+    """(value): a JSON object of the counts in the key's order, a line a key; commas lead, so no line waits for the next."""
+    rows = counts.select(F.col(key).alias("key"), "n")
+    first = rows.agg(F.min("key").alias("first"))
+    entry = F.concat(F.when(F.col("key") == F.col("first"), "  ").otherwise(", "), F.to_json(F.create_map("key", "n")).substr(F.lit(2), F.length(F.to_json(F.create_map("key", "n"))) - 2))
+    spark = counts.sparkSession
+    ends = spark.createDataFrame([(0, "", "{"), (2, "", "}")], "part int, key string, value string")
+    body = rows.crossJoin(F.broadcast(first)).select(F.lit(1).alias("part"), "key", entry.alias("value"))  # one row
+    return ends.unionByName(body).orderBy("part", "key").select("value")
+
+
+def write_importance_maps(inclusions: DataFrame, unit_includes: DataFrame, compilations: DataFrame, folder: str) -> None:
+    """The three maps, each as text whose files in their order are one JSON object."""
+    for name, counts, key in (("times-header-included-to-tu", inclusions, "header"), ("headers-tu-includes", unit_includes, "file"), ("times-source-file-compiled", compilations, "file")):
+        importance_lines(counts, key).write.mode("overwrite").text(f"{folder}/{name}")
+
+
+def dot_lines(edges: DataFrame, label: str | None = None) -> DataFrame:
+    """(value): edges (src, dst) as statements of the DOT language, for whoever draws them."""
+    quoted = lambda c: F.concat(F.lit('"'), F.regexp_replace(F.col(c).cast("string"), r'(["\\])', r"\\$1"), F.lit('"'))
+    tail = F.concat(F.lit(' [label="'), F.col(label).cast("string"), F.lit('"]')) if label else F.lit("")
+    return edges.select(F.concat(quoted("src"), F.lit(" -> "), quoted("dst"), tail, F.lit(";")).alias("value"))
+
+
+#: Exporters of graphs by name; "none" exports nothing.
+EXPORTERS = {"dot": lambda edges, path, label=None: write_lines(dot_lines(edges, label), path), "none": lambda edges, path, label=None: None}
+
+
+def module_file_list(listing: DataFrame, module: str, matching: str) -> DataFrame:
+    """(module, text): a module file of the listed files(file) that match."""
+    some = listing.where(F.col("file").rlike(matching)).select(F.lit(module).alias("module"), "file")
+    return module_texts(some, some.sparkSession.createDataFrame([], "module string, dependency string"))

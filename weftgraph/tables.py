@@ -1,12 +1,13 @@
-"""The driver's tables as dependency facts.
+"""The driver's tables as dependency facts, each over whole tables.
 
-Parts are files, brands (or brands with types) are modules, and a part uses the part on the next line of
-its order.
+Coarse: parts are files, brands are modules. Fine: a part from one supplier is a file, parts are modules.
+In both a file uses the one on the next line of its order, and implements it if the line was returned.
+Supply: suppliers are files, nations are modules, a supplier uses the one with the next key.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -14,40 +15,59 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _file(fine: bool) -> Column:
+    return F.concat_ws("/", "l_partkey", "l_suppkey") if fine else F.col("l_partkey").cast("string")
+
+
 def fragments(spark: SparkSession, sf_dir: str, fine: bool = False) -> DataFrame:
-    module = F.concat("p_brand", F.lit("_"), "p_type") if fine else F.col("p_brand")
-    return table(spark, sf_dir, "part").select(module.alias("module"), F.col("p_partkey").cast("string").alias("file"))
+    if fine:
+        return table(spark, sf_dir, "lineitem").select(F.col("l_partkey").cast("string").alias("module"), _file(True).alias("file")).distinct()
+    return table(spark, sf_dir, "part").select(F.col("p_brand").alias("module"), F.col("p_partkey").cast("string").alias("file"))
 
 
-def _next(spark: SparkSession, sf_dir: str, condition: str) -> DataFrame:
+def _next(spark: SparkSession, sf_dir: str, fine: bool, condition: str = "true") -> DataFrame:
     line = table(spark, sf_dir, "lineitem")
-    a = line.where(condition).select("l_orderkey", (F.col("l_linenumber") + 1).alias("l_linenumber"), F.col("l_partkey").alias("a"))
-    b = line.select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("b"))
-    return a.join(b, ["l_orderkey", "l_linenumber"]).where("a <> b").select(F.col("a").cast("string").alias("dependee"), F.col("b").cast("string").alias("dependency")).distinct()
+    a = line.where(condition).select("l_orderkey", (F.col("l_linenumber") + 1).alias("l_linenumber"), _file(fine).alias("dependee"))
+    b = line.select("l_orderkey", "l_linenumber", _file(fine).alias("dependency"))
+    return a.join(b, ["l_orderkey", "l_linenumber"]).where("dependee <> dependency").select("dependee", "dependency").distinct()
+
+
+def uses(spark: SparkSession, sf_dir: str, fine: bool = False) -> DataFrame:
+    return _next(spark, sf_dir, fine).withColumn("kind", F.lit("uses"))
+
+
+def implements(spark: SparkSession, sf_dir: str, fine: bool = False) -> DataFrame:
+    return _next(spark, sf_dir, fine, "l_returnflag = 'R'").withColumn("kind", F.lit("implements"))
 
 
-def uses(spark: SparkSession, sf_dir: str, least: float = 0) -> DataFrame:
-    return _next(spark, sf_dir, f"l_quantity >= {least}").withColumn("kind", F.lit("uses"))
+def deps(spark: SparkSession, sf_dir: str, fine: bool = False) -> DataFrame:
+    return uses(spark, sf_dir, fine).unionByName(implements(spark, sf_dir, fine))
 
 
-def implements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _next(spark, sf_dir, "l_returnflag = 'R' and l_quantity >= 45").withColumn("kind", F.lit("implements"))
+def supply(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Fragments and uses of the supply facts."""
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
+    held = s.select(F.concat(F.lit("n"), F.col("s_nationkey").cast("string")).alias("module"), F.col("s_suppkey").cast("string").alias("file"))
+    after = s.select((F.col("s_suppkey") - 1).alias("s_suppkey"))
+    return held, s.join(after, "s_suppkey").select(F.col("s_suppkey").cast("string").alias("dependee"), (F.col("s_suppkey") + 1).cast("string").alias("dependency"), F.lit("uses").alias("kind"))
 
 
-def deps(spark: SparkSession, sf_dir: str, least: float = 0) -> DataFrame:
-    return uses(spark, sf_dir, least).unionByName(implements(spark, sf_dir))
+def _file_sql(line: str, fine: bool) -> str:
+    return f"{line}.l_partkey || '/' || {line}.l_suppkey" if fine else f"CAST({line}.l_partkey AS VARCHAR)"
 
 
-def _next_sql(condition: str, kind: str) -> str:
-    return f"SELECT DISTINCT CAST(a.l_partkey AS VARCHAR) AS dependee, CAST(b.l_partkey AS VARCHAR) AS dependency, '{kind}' AS kind FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 WHERE a.l_partkey <> b.l_partkey AND {condition}"
+def _next_sql(kind: str, fine: bool, condition: str = "true") -> str:
+    a, b = _file_sql("a", fine), _file_sql("b", fine)
+    return f"SELECT DISTINCT {a} AS dependee, {b} AS dependency, '{kind}' AS kind FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 WHERE {a} <> {b} AND {condition}"
 
 
-def facts_sql(least: float = 0, fine: bool = False) -> str:
+def facts_sql(fine: bool = False) -> str:
     """The same facts as common table expressions: uses, impl, deps, fragments."""
-    module = "p_brand || '_' || p_type" if fine else "p_brand"
+    held = "SELECT DISTINCT CAST(l_partkey AS VARCHAR) AS module, l_partkey || '/' || l_suppkey AS file FROM lineitem" if fine else "SELECT p_brand AS module, CAST(p_partkey AS VARCHAR) AS file FROM part"
+    returned = "a.l_returnflag = 'R'"
     return (
-        f"WITH RECURSIVE uses AS ({_next_sql(f'a.l_quantity >= {least}', 'uses')}), impl AS ({_next_sql("a.l_returnflag = 'R' AND a.l_quantity >= 45", 'implements')}), "
-        f"deps AS (SELECT * FROM uses UNION ALL SELECT * FROM impl), fragments AS (SELECT {module} AS module, CAST(p_partkey AS VARCHAR) AS file FROM part), "
+        f"WITH RECURSIVE uses AS MATERIALIZED ({_next_sql('uses', fine)}), impl AS ({_next_sql('implements', fine, returned)}), "
+        f"deps AS (SELECT * FROM uses UNION ALL SELECT * FROM impl), fragments AS MATERIALIZED ({held}), "
         "placed AS (SELECT d.*, a.module AS from_module, b.module AS to_module FROM deps d JOIN fragments a ON a.file = d.dependee JOIN fragments b ON b.file = d.dependency), "
-        "mods AS (SELECT DISTINCT from_module AS src, to_module AS dst FROM placed WHERE kind = 'uses' AND from_module <> to_module)"
+        "mods AS MATERIALIZED (SELECT DISTINCT from_module AS src, to_module AS dst FROM placed WHERE kind = 'uses' AND from_module <> to_module)"
     )
