@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions import commands
 from .functions import text as fn
-from .operators import graphs, kernels
+from .operators import analysis, graphs, kernels
 from .operators import relational as rel
 from .operators.loops import cut
 from .plans import passes
@@ -481,3 +482,140 @@ def declared_names(spark, sf):
     name = F.when(F.col("l_partkey") % 3 == 0, "").otherwise(F.concat(F.lit("s"), s(F.col("l_partkey"))))
     token = fn.rename_token(F.concat(F.lit("m"), s(F.col("l_suppkey") % 9)), s(F.col("l_partkey")))
     return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", fn.unnamed(name, F.col("l_linenumber"), (F.col("l_suppkey") % 80).cast("int")).alias("name"), token.alias("token"))
+
+
+# ---- commands, paths and hosts
+
+
+def _text(*parts: object) -> Column:
+    return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+
+
+@query("SELECT o_orderkey, 'a' || o_orderkey || '.h,b' || o_custkey AS files FROM orders")
+def included_files(spark, sf):
+    text = _text('#include "a', F.col("o_orderkey"), '.h"\nint x;\n#include <b', F.col("o_custkey"), ">\n#included\n #include late")
+    return table(spark, sf, "orders").select("o_orderkey", F.array_join(fn.included_files(text), ",").alias("files"))
+
+
+@query("SELECT o_orderkey, 'g++|-DX=a b' || o_orderkey || '|-c|f' || o_custkey || '.cpp' AS words FROM orders")
+def command_words(spark, sf):
+    words = commands.shell_words(_text('g++ -DX="a b', F.col("o_orderkey"), "\" -c 'f", F.col("o_custkey"), ".cpp'"))
+    return table(spark, sf, "orders").withColumn("split", words).select("o_orderkey", F.array_join("split", "|").alias("words"))
+
+
+@query("SELECT o_orderkey, 'g++ -E -M -MT __dummy -O' || (o_orderkey % 4) || ' -c f' || o_custkey || '.cpp' AS command FROM orders")
+def dependency_commands(spark, sf):
+    words = F.array(F.lit("g++"), _text("-O", F.col("o_orderkey") % 4), F.lit("-o"), _text("f", F.col("o_custkey"), ".o"), F.lit("-MD"), F.lit("-MFx.d"), F.lit(""), F.lit("-c"), _text("f", F.col("o_custkey"), ".cpp"), F.lit("--gcc-toolchain=/opt"))
+    return table(spark, sf, "orders").select("o_orderkey", words.alias("w")).withColumn("l", commands.dependency_command(F.col("w"))).select("o_orderkey", F.array_join("l", " ").alias("command"))
+
+
+@query("SELECT o_orderkey, 'inc' || o_orderkey || ',sys' || o_custkey || ',q' AS paths FROM orders")
+def search_paths(spark, sf):
+    words = F.array(F.lit("g++"), _text("-Iinc", F.col("o_orderkey")), F.lit("-isystem"), _text("sys", F.col("o_custkey")), F.lit("-O2"), F.lit("-iquoteq"), F.lit("x.cpp"))
+    return table(spark, sf, "orders").select("o_orderkey", F.array_join(commands.search_paths(words), ",").alias("paths"))
+
+
+@query("SELECT o_orderkey, o_orderkey % 3 <> 1 AS compiles, CASE WHEN o_orderkey % 2 = 0 THEN 'm-' || o_orderkey END AS module, 'src_a_' || o_orderkey AS named, round(100.0 * o_orderkey / (o_orderkey + o_custkey), 6) AS percent FROM orders")
+def command_names(spark, sf):
+    program = F.when(F.col("o_orderkey") % 3 == 0, "/usr/bin/g++-12 x").when(F.col("o_orderkey") % 3 == 1, "ld x").otherwise("my-clang y")
+    line = F.when(F.col("o_orderkey") % 2 == 0, _text("export module FULL_NAME_m-", F.col("o_orderkey"), ";  ")).otherwise("export module other;")
+    return table(spark, sf, "orders").select("o_orderkey", fn.is_compiler(program).alias("compiles"), fn.declared_module(line).alias("module"), fn.module_of_path(_text("./src/a-", F.col("o_orderkey"), ".cpp")).alias("named"), F.round(fn.percent(F.col("o_orderkey"), F.col("o_orderkey") + F.col("o_custkey")), 6).alias("percent"))
+
+
+@query("SELECT o_orderkey, 'h' || o_orderkey AS host, CAST(o_custkey % 9000 + 1 AS INTEGER) AS port, CAST(o_orderkey % 8 AS INTEGER) AS jobs FROM orders UNION ALL SELECT o_orderkey, 'local', 0, 4 FROM orders")
+def build_hosts(spark, sf):
+    text = _text("h", F.col("o_orderkey"), ":", F.col("o_custkey") % 9000 + 1, "/", F.col("o_orderkey") % 8, ", local/4,")
+    return table(spark, sf, "orders").select("o_orderkey", F.explode(fn.hosts(text)).alias("h")).select("o_orderkey", "h.host", F.coalesce("h.port", F.lit(0)).alias("port"), "h.jobs")
+
+
+@query("SELECT o_orderkey, o_totalprice > 100000 AS dear FROM orders")
+def partitioned_orders(spark, sf):
+    rest, dear = rel.partition(table(spark, sf, "orders"), F.col("o_totalprice") > 100000)
+    return rest.select("o_orderkey", F.lit(False).alias("dear")).unionByName(dear.select("o_orderkey", F.lit(True).alias("dear")))
+
+
+@query(f"{DENSE} SELECT DISTINCT d.dependee AS file, f.module FROM uses d JOIN fragments f ON f.file = d.dependee")
+def modules_of_users(spark, sf):
+    return rel.modules_of(uses(spark, sf).select(F.col("dependee").alias("file")).distinct(), fragments(spark, sf))
+
+
+@query(f"{DENSE} SELECT dependee AS src, dependency AS dst FROM uses UNION SELECT dependee, dependency FROM impl")
+def united_graph(spark, sf):
+    e = lambda d: d.select(F.col("dependee").alias("src"), F.col("dependency").alias("dst"))
+    return graphs.union_graphs(e(uses(spark, sf)), e(implements(spark, sf)))
+
+
+@query(f"{DENSE} SELECT (SELECT count(*) FROM fragments WHERE module = 'Brand#11') + (SELECT count(*) FROM deps WHERE dependee = 'Brand#11') > 0 AS known")
+def known_item(spark, sf):
+    return rel.has_item(fragments(spark, sf), deps(spark, sf), "Brand#11")
+
+
+@query("SELECT count(DISTINCT p_name) AS modules, count(DISTINCT p_name) AS placed, true AS in_range FROM part")
+def random_bucket_totals(spark, sf):
+    got = random_buckets(spark, sf)
+    return got.agg(F.countDistinct("module").alias("modules"), F.count("*").alias("placed"), F.bool_and(F.col("bucket").between(0, 23)).alias("in_range"))
+
+
+@query("WITH e AS (SELECT DISTINCT l_orderkey AS entry, 'p' || (l_orderkey % 97) AS file, 'p' || (l_partkey % 997) AS header FROM lineitem), n AS (SELECT header, count(*) AS n FROM e WHERE header <> file GROUP BY header) SELECT CASE WHEN header = (SELECT min(header) FROM n) THEN '  ' ELSE ', ' END || '\"' || header || '\":' || n AS value FROM n UNION ALL SELECT '{' UNION ALL SELECT '}'")
+def importance_map(spark, sf):
+    from .sources.writers import importance_lines
+
+    return importance_lines(header_inclusions(spark, sf), "header")
+
+
+@query(f"{DENSE} SELECT '\"' || src || '\" -> \"' || dst || '\";' AS value FROM mods")
+def drawn_imports(spark, sf):
+    from .sources.writers import dot_lines
+
+    return dot_lines(module_imports(spark, sf).toDF("src", "dst"))
+
+
+# ---- declarations
+
+_DECLS = """WITH decls AS (SELECT ['field', 'function', 'variable', 'record', 'typedef'][l_partkey % 5 + 1] AS kind, CASE WHEN l_returnflag = 'R' THEN 'internal' ELSE 'external' END AS linkage, l_linestatus = 'O' AS in_main_file, ['unit', 'namespace', 'record'][l_suppkey % 3 + 1] AS parent_kind, l_partkey % 7 = 0 AS is_inline, l_linenumber % 2 = 0 AS is_definition, l_suppkey % 3 = 2 AND l_partkey % 5 = 1 AS is_method, l_suppkey % 3 = 2 AND l_partkey % 10 = 1 AS is_ctor_dtor, l_partkey % 11 = 0 AS is_implicit, l_suppkey % 10 = 0 AS is_system, CASE WHEN l_partkey % 13 = 0 THEN '' ELSE 's' || l_partkey END AS name, 'f' || (l_orderkey % 100) AS file, l_linenumber AS begin_line, CAST(l_partkey % 80 AS INTEGER) AS begin_col, CASE WHEN l_suppkey % 4 <> 0 THEN 'h' || (l_suppkey % 20) END AS prev_file, l_suppkey % 6 = 0 AS prev_is_system, CASE l_partkey % 3 WHEN 0 THEN 'f' || (l_orderkey % 100) WHEN 1 THEN 'other' END AS def_file FROM lineitem),
+d AS (SELECT *, linkage <> 'external' AND in_main_file AND parent_kind IN ('unit', 'namespace') AS internal, linkage = 'external' AND in_main_file AND parent_kind IN ('unit', 'namespace') AS visible, NOT is_definition OR coalesce(def_file <> file, false) AS forward FROM decls),
+bad AS (SELECT * FROM d WHERE ((kind IN ('function', 'variable', 'record', 'typedef') AND internal) OR (kind = 'function' AND is_inline AND in_main_file AND NOT is_method)) AND NOT is_implicit AND (NOT is_method OR is_ctor_dtor) AND name <> '' AND in_main_file)"""
+
+
+def _decls(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines as declarations."""
+    p, s = F.col("l_partkey"), F.col("l_suppkey")
+    pick = lambda c, *names: F.element_at(F.array(*map(F.lit, names)), (c % len(names) + 1).cast("int"))
+    file = _text("f", F.col("l_orderkey") % 100)
+    method = s % 3 == 2
+    return table(spark, sf, "lineitem").select(
+        pick(p, "field", "function", "variable", "record", "typedef").alias("kind"), F.when(F.col("l_returnflag") == "R", "internal").otherwise("external").alias("linkage"), (F.col("l_linestatus") == "O").alias("in_main_file"),
+        pick(s, "unit", "namespace", "record").alias("parent_kind"), (p % 7 == 0).alias("is_inline"), (F.col("l_linenumber") % 2 == 0).alias("is_definition"), (method & (p % 5 == 1)).alias("is_method"), (method & (p % 10 == 1)).alias("is_ctor_dtor"),
+        (p % 11 == 0).alias("is_implicit"), (s % 10 == 0).alias("is_system"), F.when(p % 13 == 0, "").otherwise(_text("s", p)).alias("name"), file.alias("file"), F.col("l_linenumber").alias("begin_line"), (p % 80).cast("int").alias("begin_col"),
+        F.when(s % 4 != 0, _text("h", s % 20)).alias("prev_file"), (s % 6 == 0).alias("prev_is_system"), F.when(p % 3 == 0, file).when(p % 3 == 1, "other").alias("def_file"),
+    )
+
+
+@query(f"{_DECLS} SELECT file, begin_line, begin_col, name, kind FROM bad")
+def problem_declarations(spark, sf):
+    return analysis.problematic(_decls(spark, sf))
+
+
+@query(f"{_DECLS} SELECT DISTINCT prev_file AS header, name AS symbol FROM d WHERE kind IN ('function', 'variable') AND visible AND prev_file <> file AND NOT prev_is_system")
+def implemented_symbols(spark, sf):
+    return analysis.implemented(_decls(spark, sf))
+
+
+@query(f"{_DECLS} SELECT file, begin_line, begin_col, name, kind FROM d WHERE kind IN ('function', 'variable', 'record') AND parent_kind IN ('unit', 'namespace') AND forward AND NOT is_system AND name <> '' AND NOT (kind = 'function' AND in_main_file AND coalesce(def_file = file, false))")
+def forward_declarations(spark, sf):
+    return analysis.forwards(_decls(spark, sf))
+
+
+@query(f"{_DECLS} SELECT file, begin_line, begin_col, name, kind FROM d WHERE linkage = 'external' AND parent_kind IN ('unit', 'namespace') AND NOT forward AND kind <> 'field' AND NOT is_method AND NOT is_system AND name <> ''")
+def symbol_definitions(spark, sf):
+    return analysis.definitions(_decls(spark, sf))
+
+
+@query(f"{_DECLS}, refs AS (SELECT l_orderkey AS ref_line, l_linenumber AS ref_col, CASE WHEN l_suppkey % 2 = 0 THEN 's' || l_partkey ELSE 's' || (l_partkey + 1) END AS name, 'f' || (l_suppkey % 100) AS file FROM lineitem) SELECT r.* FROM refs r WHERE EXISTS (SELECT 1 FROM bad b WHERE b.name = r.name AND b.file = r.file)")
+def problem_usages(spark, sf):
+    """References by the name itself, or by an alias of the next part's."""
+    line = table(spark, sf, "lineitem")
+    name = F.when(F.col("l_suppkey") % 2 == 0, _text("s", F.col("l_partkey"))).otherwise(_text("alias", F.col("l_partkey")))
+    refs = line.select(F.col("l_orderkey").alias("ref_line"), F.col("l_linenumber").alias("ref_col"), name.alias("name"), _text("f", F.col("l_suppkey") % 100).alias("file"))
+    aliases = line.select(_text("alias", F.col("l_partkey")).alias("name"), _text("s", F.col("l_partkey") + 1).alias("target"))
+    return analysis.usages(refs, _decls(spark, sf), aliases)
