@@ -28,11 +28,11 @@ SAMPLE, MOST_LISTS, ROUNDS = 20_000, 4096, 8
 #: Share of the sample's own nearest neighbours that the probed lists must hold, and sample rows that are asked.
 TARGET, ASKED = 0.97, 400
 #: Columns in a block, and the tests' slack in standard deviations.
-COLUMNS, SLACK = 16, 2.4
+COLUMNS, SLACK = 16, 2.6
 #: Candidates and queries packed into one row.
 BLOCK, QUERIES = 2048, 128
-#: Candidates before a query's bound is updated: at first, and at most (the number doubles).
-CHUNK, MOST_CHUNK = 32, 512
+#: Candidates before a query's bound is updated: at first, and at most (the number doubles, and is this where a bound is known).
+CHUNK, MOST_CHUNK = 32, 2048
 
 
 def rotation(d: int, seed: int = 7) -> np.ndarray:
@@ -87,7 +87,7 @@ def scan(q: np.ndarray, q_id: int, turned: np.ndarray, vectors: np.ndarray, turn
     """
     d = turned.shape[1]
     best_i, best_d = np.zeros(0, np.int64), np.zeros(0)
-    lo, size = 0, CHUNK
+    lo, size = 0, CHUNK if bound == np.inf else MOST_CHUNK
     while lo < len(ids):
         live = np.arange(lo, min(lo + size, len(ids)))
         lo, size = lo + size, min(2 * size, MOST_CHUNK)
@@ -101,8 +101,9 @@ def scan(q: np.ndarray, q_id: int, turned: np.ndarray, vectors: np.ndarray, turn
             part += ((turned[live, c:e] - turned_q[c:e]) ** 2).sum(axis=1)
             if stats is not None:
                 stats[0] += len(live) * (e - c)
-            # The test: partial * d / e estimates the square; over e columns its root is off by about 1 / sqrt(e).
-            limit = most * most * e / d * (1 + SLACK / np.sqrt(e)) ** 2 if e < d else most * most
+            # The test: as the rotation is random, the share of e columns in a square distance has a beta distribution of
+            # mean e / d; within the bound, more than SLACK deviations above that is not to be expected.
+            limit = most * most * min(1.0, e / d + SLACK * np.sqrt(e / d * (1 - e / d) / (d / 2 + 1)))
             on = part <= limit * (1 + 1e-9) + 1e-300
             live, part = live[on], part[on]
             if not len(live):
