@@ -9,8 +9,8 @@ deduplicate_similar: texts whose sets of five-word shingles are similar by SIMIL
 near copies, copies of copies are one group, and one document of each group stays. At that similarity
 fingerprints of five-word shingles differ in 15 % of their bits, too many for the ball of a long one. So a
 text has WORDS fingerprints of BITS bits, of its set of two-word shingles (a changed word changes two of
-these, not five); each emits all its variants within half the radius, who shares a variant is a candidate,
-and the five-word sets decide. Texts under five words have one shingle, all their words; texts without a
+these, not five); each emits all its variants within half the radius, who shares a variant is a
+candidate unless the long fingerprints of five-word shingles are too far apart, and the five-word sets decide. Texts under five words have one shingle, all their words; texts without a
 word have none and are copies of each other. Case and the kind of white space do not count. Equal sets
 are one node before anything travels, named by a 64-bit hash of the set.
 
@@ -33,12 +33,13 @@ from .common import bounded, components, cut, flat, fresh, on_workers, slices
 #: Bits by which linked fingerprints may differ, and what each side of a meeting flips.
 RADIUS, HALF = 2, 1
 SHINGLE, SEED = 3, 42
-#: Near copies: words in a shingle that decides, in one that finds candidates; similarity.
+#: Near copies: words in a shingle that decides, and in one that finds candidates; similarity.
 LONG_SHINGLE, PAIR, SIMILAR = 5, 2, 0.8
 #: Fingerprints of a text, and bits of each: the more bits the fewer chance candidates, the more fingerprints the fewer misses.
 WORDS, BITS = 12, 40
-#: Bits of all fingerprints by which candidates may differ: at similarity 0.8 the mean is at most 73 of 480, the deviation 8.
-APART = 115
+#: 64-bit fingerprints of five-word shingles, and bits by which candidates may differ in all of them: at similarity
+#: 0.8 the mean is 78 of 512, the deviation 8.
+LONG, APART = 8, 96
 LANES = np.uint64(0x0101010101010101)
 
 _SPACE = np.zeros(256, bool)
@@ -85,8 +86,8 @@ def fingerprints(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return majority(*hashed(data, starts, SHINGLE))
 
 
-def majority(h: np.ndarray, count: np.ndarray, bits: int = 64) -> np.ndarray:
-    """Of each text with so many hashes: the bits that are set in over half of them, the low ones; zero without any."""
+def majority(h: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Of each text with so many hashes: the bits that are set in over half of them; zero without any."""
     fp = np.zeros(len(count), np.uint64)
     full = np.flatnonzero(count)
     if not len(full):
@@ -101,7 +102,7 @@ def majority(h: np.ndarray, count: np.ndarray, bits: int = 64) -> np.ndarray:
     for bit in range(8):
         sums = np.add.reduceat((h >> np.uint64(bit)) & LANES, at)
         lanes = np.add.reduceat(sums.view(np.uint8).reshape(-1, 8).astype(np.int64), head, axis=0)
-        for lane in range(bits // 8):
+        for lane in range(8):
             fp[full] |= (2 * lanes[:, lane] > size).astype(np.uint64) << np.uint64(8 * lane + bit)
     return fp
 
@@ -164,30 +165,52 @@ def sets(word: np.ndarray, count: np.ndarray, k: int) -> tuple[np.ndarray, np.nd
         here = at + j < end
         h[here] += word[at[here] + j] * _ODD[0, j]
     h = (h ^ (h >> np.uint64(32))) * _ODD[1, 0]
-    h ^= h >> np.uint64(29)
-    order = np.lexsort((h, of))
-    h, of = h[order], of[order]
+    # One sort of 24 bits of the text's number (a batch has far fewer texts) and 40 bits of hash.
+    h = np.sort(of.astype(np.uint64) << np.uint64(40) | h >> np.uint64(24))
     new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (of[1:] != of[:-1])
-    return h[new], np.concatenate([[0], np.cumsum(np.bincount(of[new], minlength=len(count)))]).astype(np.int64)
+    new[1:] = h[1:] != h[:-1]
+    h = h[new]
+    held = np.bincount((h >> np.uint64(40)).astype(np.int64), minlength=len(count))
+    return h & np.uint64((1 << 40) - 1), np.concatenate([[0], np.cumsum(held)]).astype(np.int64)
 
 
-_ODD = np.random.default_rng(SEED).integers(1 << 63, size=(2, max(WORDS, LONG_SHINGLE)), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_ODD = np.random.default_rng(SEED).integers(1 << 63, size=(2, max(WORDS, LONG, LONG_SHINGLE)), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def word_fingerprints(h: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Each set's WORDS fingerprints: the low BITS bits of 64-bit ones, each of hashes mixed anew."""
-    out = np.zeros((len(at) - 1, WORDS), np.uint64)
-    for k in range(WORDS):
+def long_fingerprints(h: np.ndarray, at: np.ndarray, n: int = LONG) -> np.ndarray:
+    """n fingerprints of 64 bits of each set, each of hashes mixed anew."""
+    out = np.zeros((len(at) - 1, n), np.uint64)
+    for k in range(n):
         x = (h ^ (h >> np.uint64(31))) * _ODD[0, k]
         x = (x ^ (x >> np.uint64(29))) * _ODD[1, k]
-        out[:, k] = majority(x ^ (x >> np.uint64(32)), np.diff(at), BITS)
+        out[:, k] = majority(x ^ (x >> np.uint64(32)), np.diff(at))
     return out.view(np.int64)
 
 
+def word_fingerprints(h: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Each set's WORDS fingerprints of BITS bits, cut from as many 64-bit ones as it takes."""
+    n, size = len(at) - 1, BITS // 8
+    bits = long_fingerprints(h, at, -(-WORDS * size // 8))
+    out = np.zeros((n, WORDS, 8), np.uint8)
+    out[:, :, :size] = bits.view(np.uint8)[:, : WORDS * size].reshape(n, WORDS, size)
+    return out.view(np.int64)[:, :, 0]
+
+
+def _lists(rows: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]), pa.array(rows.ravel()))
+
+
 def _packed(h: np.ndarray, at: np.ndarray) -> list[bytes]:
-    raw = h.tobytes()
-    return [raw[8 * s : 8 * e] for s, e in zip(at[:-1].tolist(), at[1:].tolist())]
+    """Each set's hashes as five bytes each."""
+    raw = h.view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+    return [raw[5 * s : 5 * e] for s, e in zip(at[:-1].tolist(), at[1:].tolist())]
+
+
+def _unpacked(raw: pa.Scalar) -> np.ndarray:
+    held = np.frombuffer(raw.as_buffer(), np.uint8).reshape(-1, 5)
+    out = np.zeros((len(held), 8), np.uint8)
+    out[:, :5] = held
+    return out.view(np.uint64)[:, 0]
 
 
 def _sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,9 +218,9 @@ def _sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         word, count = hashed(*flat(b.column("text")), 1)
         h, at = sets(word, count, LONG_SHINGLE)
         node = np.fromiter((xxhash.xxh64_intdigest(x, SEED) for x in _packed(h, at)), np.uint64, b.num_rows)
-        prints = word_fingerprints(*sets(word, count, PAIR)).ravel()
-        words = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * WORDS), pa.array(prints))
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("hash"), pa.array(node.view(np.int64)), pa.array(np.diff(at)), words], ["doc_id", "hash", "node", "size", "words"])
+        words = word_fingerprints(*sets(word, count, PAIR))
+        cols = [b.column("doc_id"), b.column("hash"), pa.array(node.view(np.int64)), pa.array(np.diff(at)), _lists(words), _lists(long_fingerprints(h, at))]
+        yield pa.RecordBatch.from_arrays(cols, ["doc_id", "hash", "node", "size", "words", "far"])
 
 
 def _set_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,7 +233,7 @@ def _similar_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
     for b in batches:
         good = np.zeros(b.num_rows, bool)
         for i, (x, y) in enumerate(zip(b.column("held_a"), b.column("held_b"))):
-            x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+            x, y = _unpacked(x), _unpacked(y)
             both = len(np.intersect1d(x, y, True))
             good[i] = both >= SIMILAR * (len(x) + len(y) - both) - 1e-9
         yield pa.RecordBatch.from_arrays([b.column("a").filter(pa.array(good)), b.column("b").filter(pa.array(good))], ["a", "b"])
@@ -223,9 +246,9 @@ def _similar(pairs: DataFrame, held: DataFrame) -> DataFrame:
     return cut(pairs.select("a", "b", "held_a", "held_b").mapInArrow(_similar_batches, "a long, b long"))
 
 
-def _may_be_alike(size: Column, words: Column, size_b: Column, words_b: Column) -> Column:
-    """No similarity exceeds that of the sizes; and the words of similar sets are not far apart."""
-    bits = F.aggregate(F.zip_with(words, words_b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+def _may_be_alike(size: Column, far: Column, size_b: Column, far_b: Column) -> Column:
+    """No similarity exceeds that of the sizes; and the long fingerprints of similar sets are not far apart."""
+    bits = F.aggregate(F.zip_with(far, far_b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
     return (F.least(size, size_b) >= SIMILAR * F.greatest(size, size_b) - 1e-9) & (bits <= APART)
 
 
@@ -249,37 +272,48 @@ def _key(t: Column, variant: Column) -> Column:
 def grouped(docs: DataFrame) -> DataFrame:
     """(doc_id, hash, node, label), a row for each row of docs; hash is one of the text, label stands for a group.
 
-    In each group of nodes that share a variant, neighbours are compared first. Most nodes of a group of
-    copies are then in one component, and only nodes outside their variant's largest component are
-    compared with all of the others; no pair that could join two components is left out.
+    Of the nodes that share a variant, all are first compared with the one of least number. Most of a group of
+    copies are then in one component, and only nodes outside their variant's largest component are compared
+    with all of the others; no pair that could join two components is left out.
     """
     on_workers(docs.sparkSession)
     plain = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64("text").alias("hash"))
-    rows = cut(plain.mapInArrow(_sketch_batches, "doc_id long, hash long, node long, size long, words array<long>"))
-    nodes = cut(rows.where("size > 0").groupBy("node").agg(F.min("size").alias("size"), F.first("words").alias("words"), F.min(F.struct("doc_id", "hash")).alias("one")))
+    rows = cut(plain.mapInArrow(_sketch_batches, "doc_id long, hash long, node long, size long, words array<long>, far array<long>"))
+    nodes = cut(rows.where("size > 0").groupBy("node").agg(F.min("size").alias("size"), F.first("words").alias("words"), F.first("far").alias("far"), F.min(F.struct("doc_id", "hash")).alias("one")))
     flips = F.concat(F.array(F.lit(0).cast("long")), F.transform(F.sequence(F.lit(0), F.lit(BITS - 1)), lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), i)))
     words = nodes.select("node", F.posexplode("words").alias("t", "word"))
     variants = words.select("node", "t", "word", F.explode(flips).alias("flip")).select("node", _key(F.col("t"), F.col("word").bitwiseXOR(F.col("flip"))).alias("key"))
-    shared = variants.selectExpr("node", "key", "lag(node) over (partition by key order by node) is not null or lead(node) over (partition by key order by node) is not null as shared").where("shared")
+    # The first of its variant tells the others its number; a node is alone if nobody else has the variant.
+    ruled = variants.selectExpr("node", "key", "first(node) over (partition by key order by node) as first", "lead(node) over (partition by key order by node) as next")
+    shared = ruled.where("first <> node or next is not null")
     # Of a node at most (BITS + 1) * WORDS keys.
-    keyed = cut(shared.groupBy("node").agg(F.collect_list("key").alias("keys")).join(nodes, "node"))
-    member = keyed.select("node", "size", "words", F.explode("keys").alias("key"))
-    before = member.withColumn("of", F.expr("lag(struct(node, size, words)) over (partition by key order by node)")).where("of is not null")
-    first = before.where(_may_be_alike(F.col("size"), F.col("words"), F.col("of.size"), F.col("of.words"))).select(F.col("of.node").alias("a"), F.col("node").alias("b")).distinct()
+    keyed = shared.groupBy("node").agg(F.collect_list("key").alias("keys"), F.array_except(F.collect_set("first"), F.array("node")).alias("firsts"))
+    keyed = cut(keyed.join(nodes, "node"))
+    other = lambda names: keyed.select(*[F.col(c).alias(f"{c}_b") for c in names])
+    first = keyed.select("node", "size", "far", F.explode("firsts").alias("node_b")).join(other(["node", "size", "far"]), "node_b")
+    first = cut(first.where(_may_be_alike(F.col("size"), F.col("far"), F.col("size_b"), F.col("far_b"))).select(F.col("node_b").alias("a"), F.col("node").alias("b")))
     # Sets of nodes that share a variant, each from one of its texts.
     one = cut(keyed.select("node", F.col("one.doc_id").alias("one_id"), F.col("one.hash").alias("one_hash")))
     held = plain.join(bounded(one), F.col("hash").eqNullSafe(F.col("one_hash")) & F.col("doc_id").eqNullSafe(F.col("one_id")))
     held = cut(held.select("node", "text").mapInArrow(_set_batches, "node long, held binary").groupBy("node").agg(F.first("held").alias("held")))
-    links = _similar(first, held)
-    label = components(links)
+    label = components(_similar(first, held))
     known = cut(keyed.join(label, "node", "left").withColumn("label", F.coalesce("label", "node")))
-    member = known.select("node", "size", "words", "label", F.explode("keys").alias("key"))
-    main = member.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("labels")).where("labels > 1").select("key", "main")
-    mixed = cut(member.join(main, "key"))
-    other = mixed.select("key", *[F.col(c).alias(f"{c}_b") for c in ("node", "size", "words", "label")])
+    member = known.select("node", "size", "words", "far", "label", F.explode("keys").alias("key"))
+    n = member.selectExpr("*", "count(1) over (partition by key, label) as n")
+    main = n.selectExpr("*", "max_by(label, struct(n, label)) over (partition by key) as main", "min(label) over (partition by key) <> max(label) over (partition by key) as mixed")
+    mixed = cut(main.where("mixed").drop("n", "mixed"))
+    other = mixed.select("key", *[F.col(c).alias(f"{c}_b") for c in ("node", "size", "words", "far", "label")])
     once = (F.col("label_b") == F.col("main")) | (F.col("node") < F.col("node_b"))
-    rest = mixed.where("label <> main").join(other, "key").where((F.col("label") != F.col("label_b")) & once & _may_be_alike(F.col("size"), F.col("words"), F.col("size_b"), F.col("words_b")) & (F.col("key") == _first_shared(F.col("words"), F.col("words_b"))))
-    label = components(links.unionByName(_similar(rest.select(F.col("node").alias("a"), F.col("node_b").alias("b")), held)))
+    rest = mixed.where("label <> main").join(other, "key").where((F.col("label") != F.col("label_b")) & once & _may_be_alike(F.col("size"), F.col("far"), F.col("size_b"), F.col("far_b")) & (F.col("key") == _first_shared(F.col("words"), F.col("words_b"))))
+    rest = rest.select(F.least("node", "node_b").alias("a"), F.greatest("node", "node_b").alias("b"))
+    more = _similar(rest.join(first, ["a", "b"], "left_anti"), held)
+    # What these pairs join are the groups found so far.
+    of = known.select("node", "label")
+    more = more.join(of.toDF("a", "label_a"), "a").join(of.toDF("b", "label_b"), "b").select("label_a", "label_b").distinct()
+    joined = components(more, "label_a", "label_b").toDF("label", "far")
+    label = label.join(joined, "label", "left").select("node", F.coalesce("far", "label").alias("label"))
+    alone = joined.join(label.select(F.col("node").alias("label")), "label", "left_anti").toDF("node", "label")
+    label = cut(label.unionByName(alone))
     return rows.join(label, "node", "left").select("doc_id", "hash", "node", F.coalesce("label", "node").alias("label"))
 
 
