@@ -13,8 +13,8 @@ Stretches. Each string of SPAN bytes selects the least hash of its GRAM-byte gra
 LENGTH bytes select equal hashes throughout, so a hash selected at one place only in the corpus ends
 every string about it. What is left is dealt out by the least hash within each string of LENGTH bytes:
 equal strings meet in one bucket, and equal stretches are collapsed before they travel, so a group of
-copies with any number of rows is one stretch there. Where the stretches of one least hash are many (a
-line that stands in many surroundings), they are split further where the second-least hash changes, on
+copies with any number of rows is one stretch there. Where very many places select one hash (a line that
+stands in many surroundings), its stretches are split further where the second-least hash changes, on
 which equal strings agree too. None of this drops a repeat. Texts are told apart by two 64-bit hashes,
 stretches by their least hash, 128 more bits and their size.
 
@@ -38,8 +38,8 @@ from .common import cut, flat, on_workers, slices
 
 LENGTH, HOP = 400, 100
 GRAM, SPAN = 64, 300
-#: Bytes of stretches in a bucket, about, and in a shard; those of one least hash beyond which they are split further.
-BUCKET, SHARD, HOT = 1_000_000, 250_000, 500_000
+#: Bytes of stretches in a bucket, about, and in a shard; places that select a hash, beyond which its stretches are split further.
+BUCKET, SHARD, HOT = 1_000_000, 250_000, 1000
 
 _TABLE = np.random.default_rng(23).integers(0, 1 << 63, 256, dtype=np.uint64)
 _BASE = 0x5851F42D4C957F2D
@@ -316,28 +316,17 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long"), text.alias("text"), F.xxhash64(text).alias("key"), F.xxhash64(F.lit(LENGTH), F.octet_length(text), text).alias("check"))
     of = lambda df: df.withColumnsRenamed({"key": "of_key", "check": "of_check"})
     same = (F.col("key") == F.col("of_key")) & (F.col("check") == F.col("of_check"))
-    anchors = cut(rows.select("key", "check", "text").mapInArrow(_anchors, "key long, check long, h long"))
+    anchors = rows.select("key", "check", "text").mapInArrow(_anchors, "key long, check long, h long")
     # Kept first, so that both sides of the join are exchanges of their own: Spark can then split a hash of very many rows.
-    twice = cut(anchors.groupBy("h").count().where("count > 1").select("h"))
-    of_text = cut(anchors.join(twice, "h").groupBy("key", "check").agg(F.collect_set("h").alias("hs")))
-    some = rows.join(of(of_text), same).select("key", "check", "text", "hs")
-
-    no_hot = some.withColumn("hot", F.lit(None).cast("array<long>"))
-
-    def places(held: DataFrame) -> DataFrame:
-        return held.mapInArrow(_cut_out(False), NAMED_TYPE + ", key long, check long, first int").distinct()
-
-    # Least hashes whose distinct stretches are too much for one task, and the texts that have them.
-    at = cut(places(no_hot))
-    sums = at.select(*NAMED).distinct().groupBy("m").agg(F.sum("size").alias("bytes"))
-    buckets = max(1, sums.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0] // BUCKET)
-    many = cut(sums.where(F.col("bytes") > HOT).select("m"))
-    split = no_hot
-    if many.limit(1).count():
-        hot = cut(of(at.join(many, "m").groupBy("key", "check").agg(F.collect_set("m").alias("hot"))))
-        split = some.join(hot, same, "left").drop("of_key", "of_check")
-        at = cut(at.join(hot, same, "left_anti").unionByName(places(split.where("hot is not null"))))
-    held = split.mapInArrow(_cut_out(True), NAMED_TYPE + ", seg binary").groupBy(*NAMED).agg(F.count("seg").alias("n"), F.first("seg").alias("seg"))
+    twice = cut(anchors.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"))
+    sets = [F.collect_set("h").alias("hs"), F.collect_set(F.when(F.col("n") > HOT, F.col("h"))).alias("hot")]
+    of_text = cut(of(anchors.join(twice, "h").groupBy("key", "check").agg(*sets)))
+    n = of_text.agg(F.coalesce(F.sum(F.size("hs")), F.lit(0))).first()[0]
+    # A selected hash stands for about (SPAN - GRAM) / 2 bytes of text, a stretch has some four times that.
+    buckets = max(1, n * 2 * (SPAN - GRAM) // BUCKET)
+    some = rows.join(of_text, same).select("key", "check", "text", "hs", "hot")
+    at = some.mapInArrow(_cut_out(False), NAMED_TYPE + ", key long, check long, first int").distinct()
+    held = some.mapInArrow(_cut_out(True), NAMED_TYPE + ", seg binary").groupBy(*NAMED).agg(F.count("seg").alias("n"), F.first("seg").alias("seg"))
     merged = held.groupBy(F.pmod(F.xxhash64("m", "then"), F.lit(buckets)).alias("bucket")).applyInArrow(_merged, NAMED_TYPE + ", runs binary")
     cover = at.join(merged, NAMED).groupBy("key", "check").agg(F.collect_list(F.struct("first", "runs")).alias("cover"))
     # Kept first, as above: copies of one text are then dealt over several tasks.
