@@ -83,6 +83,24 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(table(spark, sf_dir, "embeddings"), "vec_id % 100 = 0")
 
 
+def op11_oneperm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .oneperm import half_edited
+
+    return half_edited(table(spark, sf_dir, "documents"))
+
+
+def op12_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .turns import digests, reassembled
+
+    return digests(reassembled(table(spark, sf_dir, "conversations")))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .whitening import by_component
+
+    return by_component(table(spark, sf_dir, "embeddings"))
+
+
 def tokenizer_path() -> str:
     """The byte-level BPE file of the installed public tokenizers."""
     import public_tokenizers
