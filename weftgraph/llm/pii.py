@@ -8,6 +8,8 @@ bank account check digits are right, an address keeps its octets' widths. A titl
 an entity of its own beside the surname, with its title's gender: its surrogate fits that gender, and
 different given names stay different.
 
+An entity may be as long as it likes; work is in proportion to its length.
+
 Null texts stay null, texts without entities stay as they are. Texts are read whole. Repeated rows stay
 repeated and alike. Other columns pass through.
 """
@@ -20,7 +22,9 @@ from pyspark.sql import functions as F
 from .common import cut, fresh
 
 # Patterns of entities (Java regular expressions), titles, names.
-EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9](?:[A-Za-z0-9-]*+\.)+[A-Za-z]{2,}"
+# What is repeated without a bound is one class of characters, never a group: matching a group again and again takes the
+# matcher's stack, and a page of very many labels would end the JVM.
+EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9][A-Za-z0-9.-]*\.[A-Za-z]{2,}"
 OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 ADDRESS = rf"(?<![0-9.])(?:{OCTET}\.){{3}}{OCTET}(?![0-9]|\.[0-9])"
 CARD = r"(?<![0-9])[0-9]{4}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}(?![0-9])"
@@ -48,7 +52,7 @@ HINT = rf"@|[0-9]{{2}}|[0-9]\.[0-9]|(?<![\p{{L}}])(?:{'|'.join(MEN + WOMEN + ANY
 
 
 def _chars(s: Column) -> Column:
-    return F.transform(F.sequence(F.lit(1), F.length(s)), lambda i: F.substring(s, i, F.lit(1)))
+    return F.filter(F.split(s, "", -1), lambda c: c != "")
 
 
 def _digits(s: Column) -> Column:
