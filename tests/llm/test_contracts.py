@@ -187,6 +187,72 @@ def test_word_fingerprints_of_near_copies():
     assert found >= 97
 
 
+def block_copies(rng, how, n=120):
+    """A text and a copy whose five-word similarity is 0.8 to 0.85."""
+    make = lambda k: ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(k)]
+    w, grown = make(n), int(n * 0.225)
+    if how == "append":
+        return w, w + make(grown)
+    if how == "prepend":
+        return w, make(grown) + w
+    if how == "two":
+        a, b = sorted(rng.sample(range(n), 2))
+        return w, w[:a] + make(5) + w[a:b] + make(5) + w[b:]
+    if how == "mixed":
+        at, k = rng.randrange(n - 10), rng.randrange(n)
+        y = [*w]
+        y[k] = "changed"
+        return w, y[:at] + make(8) + y[at:]
+    at = rng.randrange(10, n - 10)
+    if how == "replace":
+        return w, w[:at] + make(8) + w[at + 8 :]
+    return w, w[:at] + make(20) + w[at:]
+
+
+def test_keys_of_block_copies():
+    """A block that is appended, prepended, inserted, replaced or in two parts, or beside a changed word: near copies
+    share a key nearly always, and a piece's keys do not depend on other texts of the batch."""
+    for how in ("append", "prepend", "insert", "replace", "two", "mixed"):
+        rng, found, n = random.Random(how), 0, 200
+        for _ in range(n):
+            texts = [" ".join(x).encode() for x in block_copies(rng, how)]
+            data = np.frombuffer(b"".join([*texts, b""]), np.uint8)
+            word, count = simhash.hashed(data, np.array([0, len(texts[0]), len(data)]), 1)
+            a, b = simhash.word_fingerprints(*simhash.sets(word, count, simhash.PAIR))
+            p, q = simhash.piece_keys(word, count)
+            found += bool(((p == q) & (p >= 0)).any()) or any(int(x ^ y).bit_count() <= simhash.RADIUS for x, y in zip(a.tolist(), b.tolist()))
+        assert found >= 0.93 * n, (how, found)
+    alone = [simhash.piece_keys(*simhash.hashed(np.frombuffer(t, np.uint8), np.array([0, len(t)]), 1)) for t in texts]
+    assert (np.concatenate(alone) == np.stack([p, q])).all()
+    none = simhash.piece_keys(*simhash.hashed(np.frombuffer(b"one", np.uint8), np.array([0, 0, 3]), 1))
+    assert none.shape == (2, 2 * simhash.CUTS) and (none == -1).all()
+
+
+def test_block_copies_are_grouped(spark):
+    """As above through the whole operator: 60 pairs of each kind."""
+    rng, rows = random.Random(8), []
+    kinds = ("append", "prepend", "insert", "two")
+    for k, how in enumerate(kinds):
+        for i in range(60):
+            a, b = block_copies(rng, how)
+            rows += [(1000 * k + 2 * i, " ".join(a)), (1000 * k + 2 * i + 1, " ".join(b))]
+    label = {r["doc_id"]: r["label"] for r in simhash.grouped(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, how in enumerate(kinds):
+        assert sum(label[1000 * k + 2 * i] == label[1000 * k + 2 * i + 1] for i in range(60)) >= 54, how
+    assert len(set(label.values())) >= 240
+
+
+def test_pages_of_a_template_are_told_apart(spark):
+    """Pages that share their first half, and so keys, but are not near copies; one has a copy with a line more."""
+    rng = random.Random(2)
+    make = lambda k: [rng.choice("abcdefghij") + str(rng.randrange(10**6)) for _ in range(k)]
+    head = make(100)
+    pages = [head + make(90 + i % 20) for i in range(120)]
+    rows = [(i, " ".join(p)) for i, p in enumerate([*pages, pages[7] + make(20), pages[50][:150] + make(10) + pages[50][150:]])]
+    label = {r["doc_id"]: r["label"] for r in simhash.grouped(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert label[120] == label[7] and label[121] == label[50] and len(set(label.values())) == 120
+
+
 def test_pipeline_on_odd_rows(spark):
     import corpus_pipeline as cp
 

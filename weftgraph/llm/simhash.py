@@ -10,7 +10,10 @@ near copies, copies of copies are one group, and one document of each group stay
 fingerprints of five-word shingles differ in 15 % of their bits, too many for the ball of a long one. So a
 text has WORDS fingerprints of BITS bits, of its set of two-word shingles (a changed word changes two of
 these, not five); each emits all its variants within half the radius, who shares a variant is a
-candidate unless the long fingerprints of five-word shingles are too far apart, and the five-word sets decide. Texts under five words have one shingle, all their words; texts without a
+candidate unless the long fingerprints of five-word shingles are too far apart, and the five-word sets decide. A block of
+words that one text has and the other has not moves too many bits of those, so a text is also cut in two at the word pair
+of least hash, CUTS times by hashes of their own, and the fingerprint of each piece is a key as it is: the block is in
+one piece, and the other is the same. Texts under five words have one shingle, all their words; texts without a
 word have none and are copies of each other. Case and the kind of white space do not count. Equal sets
 are one node before anything travels, named by a 64-bit hash of the set.
 
@@ -40,6 +43,8 @@ WORDS, BITS = 12, 40
 #: 64-bit fingerprints of five-word shingles, and bits by which candidates may differ in all of them: at similarity
 #: 0.8 the mean is 78 of 512, the deviation 8.
 LONG, APART = 8, 96
+#: Cuts of a text, and the least share of its words (one in so many) that a piece has; keys of pieces come after those of fingerprints.
+CUTS, SHARE, PIECES = 4, 8, 16
 LANES = np.uint64(0x0101010101010101)
 
 _SPACE = np.zeros(256, bool)
@@ -196,6 +201,35 @@ def word_fingerprints(h: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out.view(np.int64)[:, :, 0]
 
 
+def piece_keys(word: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Each text's 2 * CUTS keys, -1 for a piece that is too small; word: the hash of each word, count: words of each text."""
+    n, ends = len(count), np.cumsum(count)
+    of = np.repeat(np.arange(n), count)
+    pair = np.zeros(len(word), np.uint64)
+    pair[:-1] = word[:-1] * _ODD[0, 0] + word[1:] * _ODD[0, 1]
+    # 40 bits of a pair's hash above the place in the text; a text's last word begins no pair.
+    place = np.arange(len(word)) - (ends - count)[of]
+    last = place == count[of] - 1
+    full = np.flatnonzero(count > 1)
+    out = np.full((n, 2 * CUTS), -1, np.int64)
+    for k in range(CUTS):
+        x = (pair ^ (pair >> np.uint64(29))) * _ODD[1, k]
+        x = np.where(last, np.uint64(0xFFFFFFFFFFFFFFFF), x >> np.uint64(1))
+        left = np.zeros(n, np.int64)
+        if len(full):
+            least = np.minimum.reduceat(x, (ends - count)[full])
+            best = np.zeros(n, np.uint64)
+            best[full] = least
+            at = np.flatnonzero((x == best[of]) & ~last)
+            left[of[at[::-1]]] = place[at[::-1]] + 1  # of equal ones the first
+        sizes = np.stack([left, count - left], 1)
+        prints = long_fingerprints(*sets(word, sizes.ravel(), PAIR), 1).reshape(n, 2).view(np.uint64) >> np.uint64(64 - BITS)
+        big = (sizes * SHARE >= count[:, None]) & (left > 0)[:, None]
+        keys = (np.arange(2) + PIECES + 2 * k << BITS) + prints.astype(np.int64)
+        out[:, 2 * k : 2 * k + 2] = np.where(big, keys, -1)
+    return out
+
+
 def _lists(rows: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]), pa.array(rows.ravel()))
 
@@ -219,8 +253,8 @@ def _sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         h, at = sets(word, count, LONG_SHINGLE)
         node = np.fromiter((xxhash.xxh64_intdigest(x, SEED) for x in _packed(h, at)), np.uint64, b.num_rows)
         words = word_fingerprints(*sets(word, count, PAIR))
-        cols = [b.column("doc_id"), b.column("hash"), pa.array(node.view(np.int64)), pa.array(np.diff(at)), _lists(words), _lists(long_fingerprints(h, at))]
-        yield pa.RecordBatch.from_arrays(cols, ["doc_id", "hash", "node", "size", "words", "far"])
+        cols = [b.column("doc_id"), b.column("hash"), pa.array(node.view(np.int64)), pa.array(np.diff(at)), _lists(words), _lists(piece_keys(word, count)), _lists(long_fingerprints(h, at))]
+        yield pa.RecordBatch.from_arrays(cols, ["doc_id", "hash", "node", "size", "words", "pieces", "far"])
 
 
 def _set_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,8 +286,8 @@ def _may_be_alike(size: Column, far: Column, size_b: Column, far_b: Column) -> C
     return (F.least(size, size_b) >= SIMILAR * F.greatest(size, size_b) - 1e-9) & (bits <= APART)
 
 
-def _first_shared(words: Column, words_b: Column) -> Column:
-    """Of the variants that two nodes share, the one that stands for the pair; so a pair is met once."""
+def _first_shared(words: Column, words_b: Column, pieces: Column, pieces_b: Column) -> Column:
+    """Of the keys that two nodes share, the one that stands for the pair; so a pair is met once."""
 
     def shared(x: Column, y: Column, t: Column) -> Column:
         differ = x.bitwiseXOR(y)
@@ -262,7 +296,13 @@ def _first_shared(words: Column, words_b: Column) -> Column:
         return F.when(n <= RADIUS, _key(t, key))
 
     each = F.zip_with(F.arrays_zip(words.alias("x"), F.sequence(F.lit(0), F.size(words) - 1).alias("t")), words_b, lambda p, y: shared(p["x"], y, p["t"]))
-    return F.element_at(F.filter(each, lambda k: k.isNotNull()), 1)
+    same = F.zip_with(pieces, pieces_b, lambda x, y: F.when((x == y) & (x >= 0), x))
+    return F.get(F.filter(F.concat(each, same), lambda k: k.isNotNull()), F.lit(0))
+
+
+def _band(size: Column) -> Column:
+    """Sets that are similar enough have sizes in one band or in neighbouring ones."""
+    return F.floor(F.log(size.cast("double")) / F.log(F.lit(1 / SIMILAR)) + 1e-9).cast("int")
 
 
 def _key(t: Column, variant: Column) -> Column:
@@ -278,15 +318,16 @@ def grouped(docs: DataFrame) -> DataFrame:
     """
     on_workers(docs.sparkSession)
     plain = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64("text").alias("hash"))
-    rows = cut(plain.mapInArrow(_sketch_batches, "doc_id long, hash long, node long, size long, words array<long>, far array<long>"))
-    nodes = cut(rows.where("size > 0").groupBy("node").agg(F.min("size").alias("size"), F.first("words").alias("words"), F.first("far").alias("far"), F.min(F.struct("doc_id", "hash")).alias("one")))
+    rows = cut(plain.mapInArrow(_sketch_batches, "doc_id long, hash long, node long, size long, words array<long>, pieces array<long>, far array<long>"))
+    nodes = cut(rows.where("size > 0").groupBy("node").agg(F.min("size").alias("size"), F.first("words").alias("words"), F.first("pieces").alias("pieces"), F.first("far").alias("far"), F.min(F.struct("doc_id", "hash")).alias("one")))
     flips = F.concat(F.array(F.lit(0).cast("long")), F.transform(F.sequence(F.lit(0), F.lit(BITS - 1)), lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), i)))
     words = nodes.select("node", F.posexplode("words").alias("t", "word"))
     variants = words.select("node", "t", "word", F.explode(flips).alias("flip")).select("node", _key(F.col("t"), F.col("word").bitwiseXOR(F.col("flip"))).alias("key"))
+    variants = variants.unionByName(nodes.select("node", F.explode("pieces").alias("key")).where("key >= 0"))
     # The first of its variant tells the others its number; a node is alone if nobody else has the variant.
     ruled = variants.selectExpr("node", "key", "first(node) over (partition by key order by node) as first", "lead(node) over (partition by key order by node) as next")
     shared = ruled.where("first <> node or next is not null")
-    # Of a node at most (BITS + 1) * WORDS keys.
+    # Of a node at most (BITS + 1) * WORDS + 2 * CUTS keys.
     keyed = shared.groupBy("node").agg(F.collect_list("key").alias("keys"), F.array_except(F.collect_set("first"), F.array("node")).alias("firsts"))
     keyed = cut(keyed.join(nodes, "node"))
     other = lambda names: keyed.select(*[F.col(c).alias(f"{c}_b") for c in names])
@@ -298,13 +339,18 @@ def grouped(docs: DataFrame) -> DataFrame:
     held = cut(held.select("node", "text").mapInArrow(_set_batches, "node long, held binary").groupBy("node").agg(F.first("held").alias("held")))
     label = components(_similar(first, held))
     known = cut(keyed.join(label, "node", "left").withColumn("label", F.coalesce("label", "node")))
-    member = known.select("node", "size", "words", "far", "label", F.explode("keys").alias("key"))
-    n = member.selectExpr("*", "count(1) over (partition by key, label) as n")
-    main = n.selectExpr("*", "max_by(label, struct(n, label)) over (partition by key) as main", "min(label) over (partition by key) <> max(label) over (partition by key) as mixed")
-    mixed = cut(main.where("mixed").drop("n", "mixed"))
-    other = mixed.select("key", *[F.col(c).alias(f"{c}_b") for c in ("node", "size", "words", "far", "label")])
+    # Keys whose nodes are of several components, by counts alone; the rest of what a node has joins only those.
+    member = known.select("node", "label", F.explode("keys").alias("key"))
+    held_by = member.groupBy("key", "label").agg(F.count("*").alias("n"))
+    several = cut(held_by.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("labels")).where("labels > 1").select("key", "main"))
+    mixed = cut(member.join(several, "key"))
+    about = known.select("node", "size", "words", "pieces", "far")
+    outside = mixed.where("label <> main").join(about, "node").withColumn("band", _band(F.col("size")))
+    others = mixed.join(about, "node").withColumn("band", F.explode(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda d: _band(F.col("size")) + d)))
+    others = others.select("key", "band", *[F.col(c).alias(f"{c}_b") for c in ("node", "size", "words", "pieces", "far", "label")])
     once = (F.col("label_b") == F.col("main")) | (F.col("node") < F.col("node_b"))
-    rest = mixed.where("label <> main").join(other, "key").where((F.col("label") != F.col("label_b")) & once & _may_be_alike(F.col("size"), F.col("far"), F.col("size_b"), F.col("far_b")) & (F.col("key") == _first_shared(F.col("words"), F.col("words_b"))))
+    alike = _may_be_alike(F.col("size"), F.col("far"), F.col("size_b"), F.col("far_b"))
+    rest = outside.join(others, ["key", "band"]).where((F.col("label") != F.col("label_b")) & once & alike & (F.col("key") == _first_shared(F.col("words"), F.col("words_b"), F.col("pieces"), F.col("pieces_b"))))
     rest = rest.select(F.least("node", "node_b").alias("a"), F.greatest("node", "node_b").alias("b"))
     more = _similar(rest.join(first, ["a", "b"], "left_anti"), held)
     # What these pairs join are the groups found so far.
