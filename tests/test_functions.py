@@ -52,17 +52,39 @@ def test_replace_only_where_it_stands(spark):
     assert f("int Foo = Foo;", 5, "Foo", "m_Foo") == "int m_Foo = Foo;" and f("int Foo;", 4, "Foo", "x") == "int Foo;"
 
 
-def test_commands():
-    assert commands.without(["cc", "-o", "x", "-c", "-oy"], "-o", True) == ["cc", "-c"]
-    assert commands.without(["-ox", "-oy"], "-o", True) == ["-ox", "-oy"]
-    assert commands.without(["cc", "-openmp"], "-o", True) == ["cc"]
-    assert commands.listing(["g++", "-c", "a.cpp", "-o", "a.o", "-MF", "d", ""]) == ["g++", "-E", "-M", "-MT", "__dummy", "-c", "a.cpp"]
+def test_commands(spark):
+    without = lambda w: value(spark, commands.without_option(F.col("w"), "-o", True), w=w)
+    assert without(["cc", "-o", "x", "-c", "-oy"]) == ["cc", "-c"]
+    assert without(["-ox", "-oy"]) == ["-ox", "-oy"]
+    assert without(["cc", "-openmp"]) == ["cc"]
+    # A second option is the first one's value, not an option with a value of its own.
+    assert without(["cc", "-o", "-o", "x"]) == ["cc", "x"]
+    assert value(spark, commands.dependency_command(F.col("w")), w=["g++", "-c", "a.cpp", "-o", "a.o", "-MF", "d", ""]) == ["g++", "-E", "-M", "-MT", "__dummy", "-c", "a.cpp"]
+    assert value(spark, commands.dependency_command(F.filter(F.col("w"), lambda x: x == "none")), w=["g++"]) is None
+
+
+def test_shell_words_are_the_librarys(spark):
+    """Random strings of quotes, escapes and blanks, and words of many thousand pieces, against shlex."""
+    import random
+    import shlex
+
+    rng = random.Random(2)
+    texts = ["".join(rng.choice(["a", "b", " ", "  ", '"', "'", "\\", "\n", "\t", "-o", "é", "$"]) for _ in range(rng.randrange(14))) for _ in range(3000)]
+    texts += ["'" + "a" * 200_000 + "' " + '"b\\"' * 40_000 + 'c"', "", "x" * 500_000 + "'"]
+
+    def words(t):
+        try:
+            return shlex.split(t)
+        except ValueError:
+            return None
+
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, c string").select("i", commands.shell_words(F.col("c")).alias("w"))
+    got = {r["i"]: r["w"] for r in df.collect()}
+    assert [got[i] for i in range(len(texts))] == list(map(words, texts))
+    assert "Python" not in df._jdf.queryExecution().toString() and "ArrowEval" not in df._jdf.queryExecution().toString()
 
 
 def test_search_paths_and_words(spark):
-    from weftgraph.operators.loops import on_workers
-
-    on_workers(spark)
     df = spark.createDataFrame([("cc -Iinc -I sub '-isystem' \"a b\" x-Iy",), ("cc 'open",), (None,)], "c string")
     got = df.select(commands.shell_words("c").alias("w")).select(commands.search_paths(F.col("w")).alias("p")).collect()
     assert [r[0] for r in got] == [["inc", "sub", "a b"], None, None]

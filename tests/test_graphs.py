@@ -120,3 +120,89 @@ def test_side_join(spark):
 
     s = spark.createDataFrame([("A", "S"), ("B", "T"), ("C", "T")], "node string, side string")
     assert rows(rel.cutting_edges(edges(spark, "AB", "BC", "CA"), s).select("src", "dst")) == [("A", "B"), ("C", "A")]
+
+
+def test_longer_shortest_cycles(spark):
+    """Cycles of 3 to 8 edges with branches, and graphs without any, as the search in one place finds them."""
+    rng = random.Random(1)
+    for n, back in ((7, 0), (8, 4), (5, 2), (3, 3)):
+        pairs = {(f"c{i}", f"c{(i + 1) % n}") for i in range(n)} | {(f"c{i}", f"d{i}") for i in range(3)} | {(f"d{i}", f"d{i + 1}") for i in range(4)}
+        pairs |= {(f"d{rng.randrange(5)}", f"c{rng.randrange(n)}") for _ in range(back)}
+        want = sorted((a, b) for a, b in kernels.shortest_cycles(sorted(pairs)))
+        assert rows(graphs.search_cycles(edges(spark, *pairs))) == want and want
+    long = [(f"c{i}", f"c{(i + 1) % 8}") for i in range(8)]
+    assert len(rows(graphs.search_cycles(edges(spark, *long)))[0][1]) == 9
+    chain = [(f"n{i:02}", f"n{i + 1:02}") for i in range(12)]
+    assert rows(graphs.search_cycles(edges(spark, *chain))) == []
+
+
+def test_sibling_groups_are_the_kernels(spark):
+    rng = random.Random(5)
+    pairs = sorted({(f"n{a}", f"n{b}") for a, b in ((rng.randrange(25), rng.randrange(25)) for _ in range(50)) if a != b})
+    graph = {}
+    for a, b in pairs:
+        graph.setdefault(a, set()).add(b)
+    nodes = sorted({n for p in pairs for n in p})
+    got = graphs.sibling_groups(edges(spark, *pairs), spark.createDataFrame([(n,) for n in nodes], "node string")).collect()
+    want = sorted((n, tuple(g)) for n in nodes for g in kernels.sibling_groups(graph, n))
+    assert sorted((r["start"], tuple(r["nodes"])) for r in got) == want
+    assert all(set(r["nodes"]) <= graph[r["parent"]] for r in got)
+
+
+def test_external_cycles_by_joins(spark):
+    f = spark.createDataFrame([("M", "a"), ("M", "b"), ("N", "c"), ("N", "e")], "module string, file string")
+    pairs = [("a", "x"), ("x", "b"), ("b", "a"), ("x", "y"), ("y", "x"), ("c", "z"), ("z", "c"), ("e", "e"), ("q", "q"), ("a", "c")]
+    got = {tuple(r) for r in graphs.without_external_cycles(edges(spark, *pairs), f).collect()}
+    assert got == {("a", "x"), ("b", "a"), ("x", "y"), ("y", "x"), ("c", "z"), ("q", "q"), ("a", "c")}
+    with pytest.raises(Exception, match="between several modules"):
+        graphs.without_external_cycles(edges(spark, ("a", "c"), ("c", "a")), f).collect()
+
+
+def _state(spark, fragments, uses):
+    from weftgraph.plans.model import State
+
+    return State(spark.createDataFrame(fragments, "module string, file string"), spark.createDataFrame([(a, b, "uses") for a, b in uses], "dependee string, dependency string, kind string"))
+
+
+def test_a_cycle_that_cannot_be_split_is_named(spark):
+    from weftgraph.plans import passes
+
+    # Each module's only file uses the next one's: whatever moves, the files stay on a cycle.
+    state = _state(spark, [("A", "a"), ("B", "b"), ("C", "c")], [("a", "b"), ("b", "c"), ("c", "a")])
+    with pytest.raises((ValueError, RecursionError), match="A,B,C|again and again"):
+        passes.split(state)
+
+
+def test_split_of_random_acyclic_files(spark):
+    """Files that use smaller ones only, in five modules: in the end no module is on a cycle, each file in one place."""
+    from weftgraph.plans import passes
+
+    rng = random.Random(3)
+    uses = {(f"{a:02}", f"{b:02}") for a, b in ((rng.randrange(30), rng.randrange(30)) for _ in range(70)) if a > b}
+    state = _state(spark, [(f"M{rng.randrange(5)}", f"{i:02}") for i in range(30)], sorted(uses))
+    done = passes.split(state, alone=True)
+    assert sorted(r["file"] for r in done.fragments.collect()) == [f"{i:02}" for i in range(30)]
+    assert graphs.cyclic_nodes(passes.module_edges(done)).count() == 0
+
+
+def test_merge_is_what_folding_comes_to(spark):
+    """The fold, round by round, on random modules, against the components joined at once."""
+    from weftgraph.plans import passes
+
+    rng = random.Random(6)
+    for _ in range(2):
+        files = [(f"M{i % 9}", f"f{i:02}") for i in range(27)]
+        uses = {(f"f{rng.randrange(27):02}", f"f{rng.randrange(27):02}") for _ in range(16)}
+        state = _state(spark, files, sorted((a, b) for a, b in uses if a != b))
+        folded = dict((f, m) for m, f in files)
+        while True:
+            now = _state(spark, [(m, f) for f, m in folded.items()], sorted((a, b) for a, b in uses if a != b))
+            into = passes.fold_once(now)
+            if not into:
+                break
+            for f, m in folded.items():
+                while m in into:
+                    m = into[m]
+                folded[f] = m
+        groups = lambda of: sorted(sorted(f for f in of if of[f] == m) for m in set(of.values()))
+        assert groups({r["file"]: r["module"] for r in passes.merge(state).fragments.collect()}) == groups(folded)

@@ -104,3 +104,70 @@ def test_previous_declarations_and_aliases(spark):
     assert rows(analysis.unwrapped(refs, alias).select("ref_line", "name")) == [(1, "T"), (2, "T")]
     with pytest.raises(RecursionError):
         analysis.unwrapped(refs, spark.createDataFrame([("A", "A")], "name string, target string"))
+
+
+def test_previous_declarations_of_a_hot_name(spark):
+    """Random runs of files, one name for nearly all, in stretches of 16: as brute force; and no join by name alone."""
+    import random
+
+    rng = random.Random(4)
+    d, file = [], "a"
+    for seq in range(400):
+        file = rng.choice("abc") if rng.random() < 0.2 else file
+        d.append((seq * 3 - 200, "function", "f" if rng.random() < 0.9 else "g", file, file == "b"))
+    want = []
+    for seq, kind, name, file, _ in d:
+        before = [x for x in d if x[:1] < (seq,) and x[1:3] == (kind, name) and x[3] != file]
+        want.append((seq, *(max(before)[3:] if before else (None, None))))
+    df = spark.createDataFrame(d, "seq long, kind string, name string, file string, is_system boolean")
+    got = analysis.with_previous(df, stretch=16)
+    assert rows(got.select("seq", "prev_file", "prev_is_system")) == sorted(want)
+    big = analysis.with_previous(df).select("seq", "prev_file", "prev_is_system")
+    assert rows(big) == sorted(want)
+    # A window a stretch of a name; joins have one row for each on a side.
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoop" not in plan
+    assert analysis.with_previous(df.limit(0)).count() == 0
+
+
+def test_names_mean_the_innermost_declaration(spark):
+    scopes = spark.createDataFrame([("m.cpp", "unit", 0, 99), ("m.cpp", "fn", 10, 20), ("m.cpp", "block", 12, 14), ("n.cpp", "unit", 0, 9)], "file string, scope string, first_line int, last_line int")
+    decls = spark.createDataFrame([("m.cpp", "x", "unit", 1), ("m.cpp", "x", "block", 12), ("m.cpp", "y", "fn", 11), ("n.cpp", "x", "unit", 3)], "file string, name string, scope string, decl_line int")
+    refs = spark.createDataFrame([("m.cpp", n, r) for n, r in (("x", 5), ("x", 10), ("x", 13), ("x", 14), ("x", 15), ("y", 9), ("y", 20), ("y", 21), ("z", 13))] + [("n.cpp", "x", 9), ("n.cpp", "x", 10), (None, "x", 1), ("m.cpp", None, 3)], "file string, name string, ref_line int")
+    got = {(r["file"], r["name"], r["ref_line"]): r["decl_line"] for r in analysis.resolved(refs, decls, scopes).collect()}
+    assert got == {("m.cpp", "x", 5): 1, ("m.cpp", "x", 10): 1, ("m.cpp", "x", 13): 12, ("m.cpp", "x", 14): 12, ("m.cpp", "x", 15): 1, ("m.cpp", "y", 9): None, ("m.cpp", "y", 20): 11, ("m.cpp", "y", 21): None, ("m.cpp", "z", 13): None, ("n.cpp", "x", 9): 3, ("n.cpp", "x", 10): None, (None, "x", 1): None, ("m.cpp", None, 3): None}
+
+
+def test_types_in_wrappers(spark):
+    from pyspark.sql import functions as F
+
+    cases = {"const Foo &": "Foo", "Foo": "Foo", "struct a::Foo *const": "a::Foo", "volatile Foo[3][4]": "Foo", "std::vector<Foo *>": "std::vector", "unsigned  int&&": "unsigned int", "structure": "structure"}
+    df = spark.createDataFrame([(k,) for k in cases], "t string")
+    assert {r[0]: r[1] for r in df.select("t", analysis.bare_type(F.col("t"))).collect()} == cases
+    refs = spark.createDataFrame([(1, "const A &"), (2, "B *"), (3, "A *const")], "ref_line int, name string")
+    alias = spark.createDataFrame([("A", "const B *"), ("B", "struct T[2]")], "name string, target string")
+    assert rows(analysis.unwrapped_types(refs, alias).select("ref_line", "name")) == [(1, "T"), (2, "T"), (3, "T")]
+
+
+def test_only_what_changed_is_written(spark, tmp_path):
+    at = str(tmp_path / "modules")
+    texts = lambda **t: spark.createDataFrame(sorted(t.items()), "module string, text string")
+    stamp = lambda: {str(p.relative_to(at)): p.stat().st_mtime_ns for p in sorted((tmp_path / "modules").rglob("part-*.txt"))}
+    read = lambda: {p.parent.name: p.read_text() for p in (tmp_path / "modules").rglob("part-*.txt")}
+    assert rows(writers.update_module_files(texts(A="a", B="b", **{"x/y #1": "c"}), at)) == [("A", "new"), ("B", "new"), ("x/y #1", "new")]
+    first = stamp()
+    assert rows(writers.update_module_files(texts(A="a", B="b", **{"x/y #1": "c"}), at)) == [] and stamp() == first
+    assert rows(writers.update_module_files(texts(A="a", B="b2"), at)) == [("B", "changed"), ("x/y #1", "gone")]
+    assert read() == {"module=A": "a\n", "module=B": "b2\n"} and {k: v for k, v in stamp().items() if "module=A" in k} == {k: v for k, v in first.items() if "module=A" in k}
+    assert rows(writers.update_module_files(texts(A="a", B="b2").limit(0), at)) == [("A", "gone"), ("B", "gone")] and read() == {}
+
+
+def test_fact_files_are_found_again(spark, tmp_path):
+    from weftgraph.sources import readers
+
+    writers.write_fact_files(spark.createDataFrame([("a.cpp##h.h##s",), ("bad",)], "value string"), str(tmp_path), "implements")
+    assert all(p.name.endswith("-implements.txt") for p in tmp_path.iterdir() if not p.name.startswith("."))
+    good, bad = readers.implements(spark, str(tmp_path))
+    assert rows(good) == [("a.cpp", "h.h", "s")] and [r["value"] for r in bad.collect()] == ["bad"]
+    writers.write_named_files(spark.createDataFrame([("é ü.cppm", "export module FULL_NAME_M;\n#include \"a\"")], "name string, text string"), str(tmp_path / "m"))
+    assert rows(readers.module_files(spark, str(tmp_path / "m"))[0].select("module", "file", "backing_file")) == [("M", "a", "é ü.cppm")]

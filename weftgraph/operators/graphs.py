@@ -67,19 +67,90 @@ def shortest_cycles(edges: DataFrame, most: int | None = None) -> DataFrame:
 
 
 def search_cycles(edges: DataFrame) -> DataFrame:
-    """As shortest_cycles, for edges without loops of any number."""
-    front = cut(edges.select(F.col("src").alias("node"), F.col("dst").alias("at"), F.array("src", "dst").alias("path")))
-    seen = front.select("node", "at")
-    while not empty(front):
-        step = front.join(edges, front["at"] == edges["src"]).select("node", F.col("dst").alias("at"), F.array_append("path", F.col("dst")).alias("path"))
-        step = step.join(seen, ["node", "at"], "left_anti").groupBy("node", "at").agg(F.min("path").alias("path"))
-        step = cut(step)
-        back = step.where("at = node")
-        if not empty(back):
-            return back.select("node", F.col("path").alias("cycle"))
-        front = step
-        seen = seen.unionByName(step.select("node", "at"))
-    return front.select("node", F.col("path").alias("cycle"))
+    """As shortest_cycles, for edges without loops of any number.
+
+    A shortest closed walk of length i + j from a node has, i steps on, a node that is i steps away and from
+    which it is j steps back; so distances of half the length are enough, and the two halves, each the smallest
+    of its length, meet in one join. Cycles of two edges are looked for first. If there are none, edges that
+    lie on no cycle go before anything is searched: what is left is inside strong components.
+    """
+    edges = cut(edges)
+    paths = edges.select(F.col("src").alias("node"), F.col("dst").alias("at"), F.array("src", "dst").alias("path"))
+    met = cut(closed(paths, paths))
+    if not empty(met):
+        return met
+    edges = cut(inside_components(edges))
+    last = cut(edges.select(F.col("src").alias("node"), F.col("dst").alias("at"), F.array("src", "dst").alias("path")))
+    seen = last.select("node", "at")
+    while not empty(last):
+        step = last.join(edges, last["at"] == edges["src"]).where("node <> dst").select("node", F.col("dst").alias("at"), F.array_append("path", F.col("dst")).alias("path"))
+        step = cut(step.join(seen, ["node", "at"], "left_anti").groupBy("node", "at").agg(F.min("path").alias("path")))
+        for back in (last, step):
+            met = cut(closed(step, back))
+            if not empty(met):
+                return met
+        seen, last = seen.unionByName(step.select("node", "at")), step
+    return met
+
+
+def closed(there: DataFrame, back: DataFrame) -> DataFrame:
+    """(node, cycle): the smallest closed path of each node that is one of there(node, at, path) and then one of back."""
+    b = back.select(F.col("node").alias("at"), F.col("at").alias("node"), F.col("path").alias("rest"))
+    both = there.join(b, ["node", "at"])
+    return both.groupBy("node").agg(F.min(F.concat("path", F.slice("rest", F.lit(2), F.size("rest")))).alias("cycle"))
+
+
+def inside_components(edges: DataFrame) -> DataFrame:
+    """Edges whose ends are in one strong component: those that lie on a cycle."""
+    of = strong_components(edges)
+    a, b = of.select(F.col("node").alias("src"), F.col("component").alias("c")), of.select(F.col("node").alias("dst"), F.col("component").alias("d"))
+    return edges.join(a, "src").join(b, "dst").where("c = d").select("src", "dst")
+
+
+def sibling_groups(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """(start, level, parent, nodes): what each visited node is the first to lead to, sorted; nodes are visited breadth
+    first, siblings by name, and the start never counts.
+
+    A node's place among those of its level is the path of names by which it was first reached, as visits go by
+    (parent's place, name); so the first of several parents is the one of the smallest path, and no level of a
+    start is sorted in one place.
+    """
+    edges = cut(no_loops(edges))
+    front = cut(starts.select(F.col("node").alias("start"), "node", F.array("node").alias("path")).distinct())
+    seen, out, level = front.select("start", "node"), None, 0
+    while True:
+        level += 1
+        step = front.join(edges, front["node"] == edges["src"]).select("start", F.col("dst").alias("node"), "path")
+        step = cut(step.join(seen, ["start", "node"], "left_anti").groupBy("start", "node").agg(F.min("path").alias("path")))
+        groups = step.groupBy("start", "path").agg(F.sort_array(F.collect_list("node")).alias("nodes"))
+        groups = groups.select("start", F.lit(level).alias("level"), F.element_at("path", -1).alias("parent"), "nodes")
+        if empty(step):
+            return groups if out is None else out
+        out = groups if out is None else out.unionByName(groups)
+        front = step.select("start", "node", F.array_append("path", F.col("node")).alias("path"))
+        seen = seen.unionByName(step.select("start", "node"))
+
+
+def without_external_cycles(edges: DataFrame, fragments: DataFrame) -> DataFrame:
+    """Edges (src, dst) between files, some of modules and some of none, without those that close a cycle through a
+    module's own files; cycles of files of no module stay.
+
+    Only edges inside a strong component that has a file of a module can close one; each such component is one
+    group, cleaned by kernels.broken_external_cycles, whose errors (cycles through several modules) are raised
+    from there. All other edges pass.
+    """
+    edges = cut(edges.select("src", "dst").distinct())
+    place = fragments.groupBy(F.col("file").alias("node")).agg(F.min("module").alias("module"))
+    of = strong_components(edges)
+    inner = of.join(place, "node").select("component").distinct()
+    loops = edges.where("src = dst").join(place.select(F.col("node").alias("src")), "src", "left_semi")
+    of = cut(of.join(inner, "component", "left_semi"))
+    a, b = of.select(F.col("node").alias("src"), F.col("component").alias("c")), of.select(F.col("node").alias("dst"), F.col("component").alias("d"))
+    on = cut(edges.join(a, "src").join(b, "dst").where("c = d and src <> dst").select("src", "dst", "c"))
+    modules = place.toDF("src", "src_module")
+    left = kernels.cleaned(on.join(modules, "src", "left").join(place.toDF("dst", "dst_module"), "dst", "left"), "c")
+    rest = edges.join(on.select("src", "dst"), ["src", "dst"], "left_anti").join(loops, ["src", "dst"], "left_anti")
+    return rest.unionByName(left.select("src", "dst"))
 
 
 def components(edges: DataFrame, most: int | None = None) -> DataFrame:

@@ -293,34 +293,46 @@ def broken_external_cycles(edges: list[tuple[str, str]], modules: dict[str, str
     Nodes are taken in sorted order. A cycle through files of several modules is an error, as is an
     internal file without a module.
     """
-    left = sorted(set(edges))
-    while True:
-        graph = defaultdict(set)
-        for u, v in left:
-            graph[u].add(v)
-        bad = None
-        for f in sorted(internal):
-            parent, queue = {}, deque([f])
-            while queue and bad is None:
-                u = queue.popleft()
-                for v in sorted(graph.get(u, ())):
-                    if v == f:
-                        cycle = [u]
-                        while cycle[-1] != f:
-                            cycle.append(parent[cycle[-1]])
-                        bad = cycle[::-1]
-                        break
-                    if v not in parent:
-                        parent[v] = u
-                        queue.append(v)
-            if bad:
-                break
-        if bad is None:
-            return left
-        inside = [f for f in bad if f in internal]
-        if any(modules.get(f) is None for f in inside):
-            raise NotImplementedError(f"a file of the cycle {bad} is in no module")
-        if len({modules[f] for f in inside}) > 1:
-            raise ValueError(f"the cycle {bad} is between several modules")
-        k = bad.index(inside[-1])
-        left.remove((bad[k - 1], bad[k]))
+    graph = defaultdict(set)
+    for u, v in edges:
+        graph[u].add(v)
+    # No edge that goes makes a cycle, so a file that is on none is done with.
+    for f in sorted(internal):
+        while cycle := _cycle_from(graph, f):
+            inside = [n for n in cycle if n in internal]
+            if any(modules.get(n) is None for n in inside):
+                raise NotImplementedError(f"a file of the cycle {cycle} is in no module")
+            if len({modules[n] for n in inside}) > 1:
+                raise ValueError(f"the cycle {cycle} is between several modules")
+            k = cycle.index(inside[-1])
+            graph[cycle[k - 1]].discard(cycle[k])
+    return sorted((u, v) for u, after in graph.items() for v in after)
+
+
+def _cycle_from(graph: dict[str, set[str]], f: str) -> list[str]:
+    """The shortest cycle through f, opened at f; empty if there is none."""
+    parent, queue = {}, deque([f])
+    while queue:
+        u = queue.popleft()
+        for v in sorted(graph.get(u, ())):
+            if v == f:
+                cycle = [u]
+                while cycle[-1] != f:
+                    cycle.append(parent[cycle[-1]])
+                return cycle[::-1]
+            if v not in parent:
+                parent[v] = u
+                queue.append(v)
+    return []
+
+
+def cleaned(edges: DataFrame, group: str) -> DataFrame:
+    """(src, dst) of edges(src, dst, src_module, dst_module, group) without those that close cycles, a group on its own;
+    a null module is that of a file of none."""
+    on_workers(edges.sparkSession)
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        modules = {f: m for f, m in [*zip(g.src, g.src_module), *zip(g.dst, g.dst_module)] if m is not None}
+        return pd.DataFrame(broken_external_cycles(list(zip(g.src, g.dst)), modules, set(modules)), columns=["src", "dst"])
+
+    return edges.groupBy(group).applyInPandas(run, "src string, dst string")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,5 +36,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df, written as a table in that folder and read again. For what a loop computes from itself round by round: a
+    checkpoint keeps what the optimizer knows of its columns, and that would grow with the rounds."""
+    spark, at = df.sparkSession, f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4()}"
+    df.write.parquet(at)
+    return spark.read.schema(df.schema).parquet(at)
+
+
 def empty(df: DataFrame) -> bool:
     return not df.limit(1).count()

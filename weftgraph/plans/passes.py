@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import dataclasses
-from collections import Counter, deque
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import HEADERS, module_name, rotated
 from ..operators import graphs, kernels, relational
-from ..operators.loops import cut, empty
+from ..operators.loops import cut, empty, stored
 from .model import State, register, run_pass
 
 
@@ -51,38 +50,87 @@ def check_implementations(state: State) -> State:
     return state
 
 
+def placed_uses(state: State) -> DataFrame:
+    """(dependee, dependency, from_module, to_module) of uses, those within a module too."""
+    p = relational.placed(state.deps.where("kind = 'uses'").select("dependee", "dependency"), state.fragments)
+    return p.where("dependee <> dependency")
+
+
+def edges_of(uses: DataFrame) -> DataFrame:
+    return uses.where("from_module <> to_module").select(F.col("from_module").alias("src"), F.col("to_module").alias("dst")).distinct()
+
+
+def moved_uses(uses: DataFrame, moves: DataFrame) -> DataFrame:
+    """placed_uses after moves(file, new_module)."""
+    a, b = moves.toDF("dependee", "new_from"), moves.toDF("dependency", "new_to")
+    both = uses.join(a, "dependee", "left").join(b, "dependency", "left")
+    return both.select("dependee", "dependency", F.coalesce("new_from", "from_module").alias("from_module"), F.coalesce("new_to", "to_module").alias("to_module"))
+
+
+def on_cycles(uses: DataFrame) -> DataFrame:
+    """placed_uses between or within modules that are on a cycle.
+
+    Files move to new modules only, so a cycle to come runs through modules that are on one now: the others are
+    done with for good.
+    """
+    of = cut(graphs.strong_components(edges_of(uses)))
+    a, b = of.select(F.col("node").alias("from_module"), F.col("component").alias("c")), of.select(F.col("node").alias("to_module"), F.col("component").alias("d"))
+    return uses.join(a, "from_module").join(b, "to_module").where("c = d").select("dependee", "dependency", "from_module", "to_module")
+
+
+def plan_moves(cycles: DataFrame, uses: DataFrame, alone: bool = False) -> DataFrame:
+    """(rank, file, new_module): what each of cycles(cycle_id, cycle) needs moved, from placed uses.
+
+    A cycle of which no file may move is an error that names it; with `alone` its cut files become modules of their
+    own instead.
+    """
+    place = uses.select(F.col("dependee").alias("file"), F.col("from_module").alias("module")).union(uses.select("dependency", "to_module")).distinct()
+    flow = graphs.flow_edges(cycles, uses, place)
+    plans = cut(kernels.move_plans(flow))
+    stuck = cycles.select("cycle_id").join(plans, "cycle_id", "left_anti")
+    if not empty(stuck):
+        if not alone:
+            raise ValueError(f"no file may move to break the cycles {', '.join(repr(r[0]) for r in stuck.orderBy('cycle_id').limit(5).collect())}")
+        heads = kernels.cut_edges(flow.join(stuck, "cycle_id", "left_semi")).select("cycle_id", F.col("dependency").alias("file")).distinct()
+        plans = cut(plans.unionByName(heads.withColumn("new_module", module_name(F.array("file")))))
+    return plans.withColumnRenamed("cycle_id", "rank")
+
+
 @register
-def split(state: State, threshold: int = 8, most_rounds: int = 1000) -> State:
+def split(state: State, threshold: int = 8, most_rounds: int = 1000, alone: bool = False) -> State:
     """Files move to new modules until no import cycle is left.
 
-    What comes to the driver in a round is the round's shortest cycles' ids. The same cycle more than
-    `threshold` times among the last threshold ** 3 means that the search runs in circles.
+    The uses with the modules of their ends are kept up to date by each round's moves. When no two modules
+    use each other, what lies on no cycle leaves them for good, so later rounds search only what is left.
+    Of a round's cycles the driver gets how often the commonest of them came before, not the cycles. The same cycle
+    more than `threshold` times among the last threshold ** 3 means that the search runs in circles.
     """
-    state = dataclasses.replace(state, deps=cut(state.deps))
-    seen: deque[str] = deque(maxlen=threshold**3)
-    modules = None
-    for _ in range(most_rounds):
-        cycles = cut(distinct_cycles(graphs.shortest_cycles(module_edges(state))))
-        ids = sorted(r[0] for r in cycles.select("cycle_id").collect())
-        if not ids:
-            return dataclasses.replace(state, fragments=cut(canonical_names(state.fragments)))
-        now = state.fragments.select("module").distinct().count()
-        if now != modules:
-            seen.clear()
-            modules = now
-        seen.extend(ids)
-        name, times = Counter(seen).most_common(1)[0]
-        if times > threshold:
-            raise RecursionError(f"the cycle {name} comes again and again")
-        uses = state.deps.where("kind = 'uses'")
-        plans = cut(kernels.move_plans(graphs.flow_edges(cycles, uses, state.fragments)))
-        if plans.select("cycle_id").distinct().count() < len(ids):
-            raise ValueError("a cycle has no file that may move")
-        moves = relational.merged_moves(plans.withColumnRenamed("cycle_id", "rank"))
-        state = dataclasses.replace(state, fragments=cut(relational.apply_moves(state.fragments, moves)))
+    uses, fragments = stored(placed_uses(state)), stored(state.fragments)
+    seen, ordered, modules = None, 0, None
+    for n_round in range(most_rounds):
+        cycles = stored(distinct_cycles(graphs.shortest_cycles(edges_of(uses))))
+        if empty(cycles):
+            return dataclasses.replace(state, fragments=cut(canonical_names(fragments)))
+        if cycles.where("size(cycle) > 3").limit(1).count():
+            uses = stored(on_cycles(uses))
+        now = fragments.select("module").distinct().count()
+        ranked = cycles.select("cycle_id", F.lit(n_round).alias("round"))
+        seen = stored(ranked if now != modules else last_of(seen.unionByName(ranked), threshold**3))
+        modules = now
+        top = seen.groupBy("cycle_id").count().orderBy(F.desc("count"), "cycle_id").first()
+        if top["count"] > threshold:
+            raise RecursionError(f"the cycle {top['cycle_id']} comes again and again")
+        moves = stored(relational.merged_moves(plan_moves(cycles, uses, alone)))
+        fragments = stored(relational.apply_moves(fragments, moves))
+        uses = stored(moved_uses(uses, moves))
     raise RecursionError(f"cycles are left after {most_rounds} rounds")
 
 
+def last_of(seen: DataFrame, most: int) -> DataFrame:
+    """The last `most` of seen(cycle_id, round), in order of round and name."""
+    return seen.orderBy(F.desc("round"), F.desc("cycle_id")).limit(most)
+
+
 @register
 def move_implementers(state: State, headers: str = HEADERS) -> State:
     """Files go to the module of the header that they implement."""
@@ -110,15 +158,16 @@ def merged(fragments: DataFrame, into: dict[str, str]) -> DataFrame:
 
 
 @register
-def merge(state: State, most_rounds: int = 1000) -> State:
-    """Modules of a cycle merge along their strongest coupling until no import cycle is left."""
-    state = dataclasses.replace(state, deps=cut(state.deps))
-    for _ in range(most_rounds):
-        into = fold_once(state)
-        if not into:
-            return dataclasses.replace(state, fragments=cut(canonical_names(state.fragments)))
-        state = dataclasses.replace(state, fragments=cut(merged(state.fragments, into)))
-    raise RecursionError(f"cycles are left after {most_rounds} rounds")
+def merge(state: State) -> State:
+    """Modules of a cycle merge until no import cycle is left.
+
+    A merge along a cycle leaves its strong component strongly connected, and a component of several modules has a
+    cycle; so whatever is folded first, in the end each component is one module. It is found and joined at once;
+    fold_once gives the plan of a single round.
+    """
+    of = graphs.strong_components(module_edges(state)).toDF("module", "component")
+    joined = state.fragments.join(of, "module", "left").select(F.coalesce("component", "module").alias("module"), "file")
+    return dataclasses.replace(state, fragments=cut(canonical_names(cut(joined))))
 
 
 @register

@@ -124,7 +124,7 @@ def write_modules(state: Project, headers: str = fn.HEADERS) -> Project:
     last and keep their lines, as nothing orders them. Other files follow as they are."""
     place = state.fragments
     uses = relational.inside(state.deps.where("kind = 'uses'"), place).select(F.col("dependee").alias("src"), F.col("dependency").alias("dst"))
-    far = through_external(state.external, place)
+    far = through_external(graphs.without_external_cycles(state.external, place), place)
     module = lambda end: place.select(F.col("file").alias(end), F.col("module").alias(f"{end}_module"))
     far = far.join(module("src"), "src").join(module("dst"), "dst").where("src_module = dst_module").select("src", "dst")
     edges = cut(uses.unionByName(far).where(F.col("src").rlike(headers) & F.col("dst").rlike(headers) & (F.col("src") != F.col("dst"))).distinct())

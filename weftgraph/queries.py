@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,10 +12,11 @@ from .functions import commands
 from .functions import text as fn
 from .operators import analysis, graphs, kernels
 from .operators import relational as rel
-from .operators.loops import cut
+from .operators.loops import cut, shared_folder
 from .plans import passes
 from .plans.model import State
-from .tables import deps, facts_sql, fragments, implements, supply, table, uses
+from .sources import readers, writers
+from .tables import deps, facts_sql, fragments, implements, table, uses
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -298,6 +300,22 @@ def shortest_cycles(spark, sf):
     return graphs.shortest_cycles(_edges(spark, sf)).withColumn("cycle", F.array_join("cycle", " -> "))
 
 
+def _turned(spark: SparkSession, sf: str) -> DataFrame:
+    """The fine facts' modules, of two that use each other one way only: no cycle of two edges is left."""
+    e = _edges(spark, sf)
+    one = ((F.length("src") + F.ascii(F.substring("src", -1, 1)) + F.length("dst") + F.ascii(F.substring("dst", -1, 1))) % 2) == 0
+    low, high = F.least("src", "dst"), F.greatest("src", "dst")
+    return e.select(F.when(one, low).otherwise(high).alias("src"), F.when(one, high).otherwise(low).alias("dst")).distinct()
+
+
+_TURNED = f"{FINE}, o AS MATERIALIZED (SELECT DISTINCT CASE WHEN x THEN least(src, dst) ELSE greatest(src, dst) END AS src, CASE WHEN x THEN greatest(src, dst) ELSE least(src, dst) END AS dst FROM (SELECT src, dst, (length(src) + ascii(right(src, 1)) + length(dst) + ascii(right(dst, 1))) % 2 = 0 AS x FROM mods))"
+
+
+@query(f"{_TURNED}, w AS (SELECT src AS node, dst AS cur, 1 AS n, [src, dst] AS path FROM o UNION ALL SELECT w.node, o.dst, n + 1, list_append(path, o.dst) FROM w JOIN o ON o.src = w.cur WHERE n < 3 AND w.cur <> w.node), closed AS (SELECT * FROM w WHERE cur = node) SELECT node, array_to_string(min(path), ' -> ') AS cycle FROM closed WHERE n = (SELECT min(n) FROM closed) GROUP BY node")
+def longer_cycles(spark, sf):
+    return graphs.shortest_cycles(_turned(spark, sf)).withColumn("cycle", F.array_join("cycle", " -> "))
+
+
 @query(f"{_CYCLES}, e AS (SELECT b.node AS cycle_id, i AS pos, cycle[i] AS module, cycle[i + 1] AS dependency FROM best b, (SELECT unnest(range(1, 10)) AS i) WHERE i < len(cycle)), s AS (SELECT from_module AS module, to_module AS dependency, count(*) AS strength FROM placed WHERE from_module <> to_module GROUP BY ALL), r AS (SELECT e.*, coalesce(strength, 0) AS strength, row_number() OVER (PARTITION BY cycle_id ORDER BY coalesce(strength, 0) DESC, pos) AS r FROM e LEFT JOIN s USING (module, dependency)) SELECT cycle_id, module, dependency, strength FROM r WHERE r = 1")
 def strongest_edge(spark, sf):
     f, d = fragments(spark, sf, True), deps(spark, sf, True)
@@ -314,6 +332,13 @@ def reachable_levels(spark, sf):
     return graphs.levels(e, e.select(F.col("src").alias("node")))
 
 
+@query(f"{_FILES}, hop(start, node, level, path) USING KEY (start, node) AS (SELECT node, node, 0, [node] FROM nodes WHERE node NOT IN (SELECT dst FROM e) UNION SELECT h.start, e.dst, min(h.level) + 1, list_append(min(h.path), e.dst) FROM hop h JOIN e ON e.src = h.node WHERE NOT EXISTS (SELECT 1 FROM recurring.hop r WHERE r.start = h.start AND r.node = e.dst) GROUP BY h.start, e.dst) SELECT start, CAST(level AS INTEGER) AS level, path[-2] AS parent, string_agg(node, ',' ORDER BY node) AS nodes FROM hop WHERE level > 0 GROUP BY start, level, list_slice(path, 1, -2), path[-2]")
+def sibling_groups(spark, sf):
+    """From all files that no other uses."""
+    e = cut(_files(spark, sf))
+    return graphs.sibling_groups(e, e.select(F.col("src").alias("node")).join(e.select(F.col("dst").alias("node")), "node", "left_anti")).withColumn("nodes", F.array_join("nodes", ","))
+
+
 @query(f"{_FILES}, reach AS (SELECT src, dst FROM e UNION SELECT r.src, m.dst FROM reach r JOIN e m ON m.src = r.dst) SELECT src AS node FROM reach WHERE src = dst UNION SELECT 'm' || src FROM (WITH RECURSIVE r2 AS (SELECT src, dst FROM mods UNION SELECT r.src, m.dst FROM r2 r JOIN mods m ON m.src = r.dst) SELECT src FROM r2 WHERE src = dst)")
 def cyclic_nodes(spark, sf):
     """Of the files, and of the modules (behind an m)."""
@@ -358,10 +383,11 @@ def _flow(spark: SparkSession, sf: str) -> DataFrame:
     return graphs.flow_edges(cut(cycles), uses(spark, sf, True), fragments(spark, sf, True))
 
 
-_FLOW = f"""{_CYCLES}, ids AS (SELECT DISTINCT array_to_string(list_sort(cycle[1:2]), ',') AS cycle_id, list_min(cycle[1:2]) AS m0, list_max(cycle[1:2]) AS m1 FROM best WHERE len(cycle) = 3),
+_NETWORK = f"""{_CYCLES}, ids AS (SELECT DISTINCT array_to_string(list_sort(cycle[1:2]), ',') AS cycle_id, list_min(cycle[1:2]) AS m0, list_max(cycle[1:2]) AS m1 FROM best WHERE len(cycle) = 3),
 e AS (SELECT i.cycle_id, m0, p.dependee, p.dependency, from_module, to_module FROM placed p JOIN ids i ON (from_module = m0 AND to_module = m1) OR (from_module = m1 AND to_module = m0) WHERE kind = 'uses'),
 d AS (SELECT cycle_id, m0, module, file, sum(o) AS o, sum(i) AS i FROM (SELECT cycle_id, m0, from_module AS module, dependee AS file, 1 AS o, 0 AS i FROM e UNION ALL SELECT cycle_id, m0, to_module, dependency, 0, 1 FROM e) GROUP BY ALL),
-g AS (SELECT *, module = m0 AS first, bool_or(o > 0 AND i > 0) OVER (PARTITION BY cycle_id, module) AS b FROM d)
+g AS (SELECT *, module = m0 AS first, bool_or(o > 0 AND i > 0) OVER (PARTITION BY cycle_id, module) AS b FROM d)"""
+_FLOW = f"""{_NETWORK}
 SELECT cycle_id, file AS src, 'in' AS src_side, module AS dst, 'sink' AS dst_side, CAST('inf' AS DOUBLE) AS capacity FROM g WHERE first AND i > 0
 UNION ALL SELECT cycle_id, module, 'source', file, 'out', CAST('inf' AS DOUBLE) FROM g WHERE first AND o > 0
 UNION ALL SELECT cycle_id, file, 'in', file, 'out', CAST('inf' AS DOUBLE) FROM g WHERE NOT first AND o > 0 AND i > 0
@@ -375,7 +401,8 @@ def flow_edges(spark, sf):
     return _flow(spark, sf)
 
 
-@query()
+#: The cycles have two modules: what a two-sided file of the second lets through, and what its hub does for the others.
+@query(f"{_NETWORK} SELECT cycle_id, CAST(coalesce(sum(least(o, i)) FILTER (o > 0 AND i > 0), 0) + least(coalesce(sum(i) FILTER (o = 0), 0), coalesce(sum(o) FILTER (i = 0), 0)) AS DOUBLE) AS cut_value FROM g WHERE NOT first GROUP BY cycle_id")
 def min_cut_value(spark, sf):
     return kernels.cut_values(_flow(spark, sf))
 
@@ -391,14 +418,37 @@ def module_merges(spark, sf):
     return spark.createDataFrame(sorted(into.items()), "module string, target string")
 
 
-@query()
+def _falling(spark: SparkSession, sf: str) -> State:
+    """The coarse facts, each use from the greater to the smaller part: no files are on a cycle, and modules can be split."""
+    u = uses(spark, sf).select(F.greatest(F.col("dependee").cast("long"), F.col("dependency").cast("long")).cast("string").alias("dependee"), F.least(F.col("dependee").cast("long"), F.col("dependency").cast("long")).cast("string").alias("dependency"), "kind")
+    return State(fragments(spark, sf), u.distinct())
+
+
+@query("SELECT CAST(p_partkey AS VARCHAR) AS file, CAST(1 AS BIGINT) AS places, false AS on_cycle, true AS named FROM part")
 def split_modules(spark, sf):
-    return passes.split(State(*supply(spark, sf))).fragments
+    """Of each file after the split: in how many modules it is, whether that is on a cycle, and whether it is named by its files."""
+    state = _falling(spark, sf)
+    done = passes.split(state)
+    bad = graphs.cyclic_nodes(passes.module_edges(done)).select(F.col("node").alias("module"), F.lit(True).alias("on_cycle"))
+    name = done.fragments.groupBy("module").agg(fn.module_name(F.collect_set("file")).alias("name"))
+    of = done.fragments.join(bad, "module", "left").join(name, "module")
+    return of.groupBy("file").agg(F.count("*").alias("places"), F.bool_or(F.coalesce("on_cycle", F.lit(False))).alias("on_cycle"), F.bool_and(F.startswith("module", F.col("name"))).alias("named"))
 
 
-@query()
+@query(f"{FINE}, reach AS (SELECT src, dst FROM mods UNION SELECT r.src, m.dst FROM reach r JOIN mods m ON m.src = r.dst), comp AS (SELECT a.src AS node, min(a.dst) AS component FROM reach a JOIN reach b ON b.src = a.dst AND b.dst = a.src GROUP BY a.src), joined AS (SELECT coalesce(component, module) AS m, file FROM fragments LEFT JOIN comp ON node = module), named AS (SELECT m, list_sort(list(DISTINCT file)) AS fs FROM joined GROUP BY m) SELECT 'Module_' || substr(md5(array_to_string(fs, ',')), 1, 7) || CASE WHEN len(fs) = 1 THEN '_' || split_part(fs[1], '/', 2) ELSE '' END AS module, file FROM joined JOIN named USING (m)")
 def merged_modules(spark, sf):
-    return passes.merge(State(*supply(spark, sf))).fragments
+    return passes.merge(State(fragments(spark, sf, True), deps(spark, sf, True))).fragments
+
+
+@query("WITH f AS (SELECT 'f' || p_partkey AS f, 'a' || p_partkey AS a, 'b' || p_partkey AS b, p_partkey AS k FROM part) SELECT f AS src, a AS dst FROM f UNION ALL SELECT a, b FROM f UNION ALL SELECT b, a FROM f WHERE k % 5 = 0 UNION ALL SELECT DISTINCT 'f' || greatest(a.l_partkey, b.l_partkey), 'f' || least(a.l_partkey, b.l_partkey) FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 WHERE a.l_partkey <> b.l_partkey")
+def unlooped_includes(spark, sf):
+    """Parts as files of brands, each with two files of no module behind it, of which every third leads back to it."""
+    p = table(spark, sf, "part").select("p_partkey", *[_text(x, F.col("p_partkey")).alias(x) for x in "fab"])
+    pair = lambda a, b, where="true": p.where(where).select(F.col(a).alias("src"), F.col(b).alias("dst"))
+    u = _falling(spark, sf).deps.select(_text("f", F.col("dependee")).alias("src"), _text("f", F.col("dependency")).alias("dst"))
+    e = pair("f", "a").unionByName(pair("a", "b")).unionByName(pair("b", "a", "p_partkey % 5 = 0")).unionByName(pair("b", "f", "p_partkey % 3 = 0")).unionByName(u)
+    held = table(spark, sf, "part").select(F.col("p_brand").alias("module"), _text("f", F.col("p_partkey")).alias("file"))
+    return graphs.without_external_cycles(e, held)
 
 
 # ---- more of texts, names and sets
@@ -619,3 +669,160 @@ def problem_usages(spark, sf):
     refs = line.select(F.col("l_orderkey").alias("ref_line"), F.col("l_linenumber").alias("ref_col"), name.alias("name"), _text("f", F.col("l_suppkey") % 100).alias("file"))
     aliases = line.select(_text("alias", F.col("l_partkey")).alias("name"), _text("s", F.col("l_partkey") + 1).alias("target"))
     return analysis.usages(refs, _decls(spark, sf), aliases)
+
+
+# ---- names by scope, earlier declarations
+
+_SCOPES = "sd AS (SELECT DISTINCT file, 's' || (begin_col % 40) AS name, begin_line * 1000 + begin_col * 10 AS decl_line, [8192, 512, 32][begin_col % 3 + 1] AS w FROM d WHERE name <> ''), st AS (SELECT *, decl_line // w * w AS first_line, decl_line // w * w + w - 1 AS last_line FROM sd), sb AS (SELECT DISTINCT file, 's' || (begin_col % 40) AS name, begin_line * 1000 + begin_col * 10 AS decl_line FROM bad), sr AS (SELECT row_number() OVER () AS ref, l_orderkey, l_linenumber, l_partkey * 7 % 8000 AS ref_line, 's' || (l_suppkey % 40) AS name, 'f' || (l_orderkey % 100) AS file FROM lineitem), met AS (SELECT sr.*, decl_line, w, row_number() OVER (PARTITION BY ref ORDER BY first_line DESC, last_line, decl_line DESC) AS r FROM sr JOIN st ON st.file = sr.file AND st.name = sr.name AND ref_line BETWEEN first_line AND last_line)"
+
+
+def _scoped(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """References in written types, declarations with a scope, scopes nested three deep, aliases."""
+    col = F.col("begin_col")
+    d = _decls(spark, sf).withColumns({"name": F.when(F.col("name") == "", "").otherwise(_text("s", col % 40)), "begin_line": (F.col("begin_line") * 1000 + col * 10).cast("int")})
+    width = F.element_at(F.array(*map(F.lit, (8192, 512, 32))), (col % 3 + 1).cast("int"))
+    first = F.floor(F.col("begin_line") / width).cast("int") * width
+    d = d.withColumns({"width": width, "first_line": first}).withColumns({"scope": _text("w", F.col("width"), "_", F.col("first_line")), "last_line": F.col("first_line") + F.col("width") - 1})
+    scopes = d.select("file", "scope", "first_line", "last_line").distinct()
+    bare = _text("s", F.col("l_suppkey") % 40)
+    written = F.when(F.col("l_linenumber") % 3 == 0, F.concat(F.lit("const "), bare, F.lit(" &"))).when(F.col("l_linenumber") % 3 == 1, _text("Alias", F.col("l_suppkey") % 40, "<int>")).otherwise(bare)
+    line = table(spark, sf, "lineitem")
+    refs = line.select("l_orderkey", "l_linenumber", (F.col("l_partkey") * 7 % 8000).cast("int").alias("ref_line"), written.alias("name"), _text("f", F.col("l_orderkey") % 100).alias("file"))
+    aliases = line.select(_text("Alias", F.col("l_suppkey") % 40).alias("name"), F.concat(F.lit("struct "), bare, F.lit(" *[4]")).alias("target")).distinct()
+    return refs, d.drop("width", "first_line", "last_line"), scopes, aliases
+
+
+@query(f"{_DECLS}, {_SCOPES} SELECT l_orderkey, l_linenumber, m.ref_line, m.name, m.file, m.decl_line FROM met m JOIN sb ON sb.file = m.file AND sb.name = m.name AND sb.decl_line = m.decl_line WHERE r = 1")
+def scoped_usages(spark, sf):
+    refs, d, scopes, aliases = _scoped(spark, sf)
+    return analysis.scoped_usages(refs, d, scopes, aliases).drop("decl_scope")
+
+
+@query(f"{_DECLS}, {_SCOPES} SELECT sr.l_orderkey, sr.l_linenumber, sr.ref_line, sr.name, sr.file, coalesce(m.decl_line, -1) AS decl_line, coalesce('w' || w || '_' || (m.decl_line // w * w), '') AS decl_scope FROM sr LEFT JOIN (SELECT * FROM met WHERE r = 1) m USING (ref)")
+def resolved_names(spark, sf):
+    refs, d, scopes, aliases = _scoped(spark, sf)
+    decls = d.where("name <> ''").select("file", "name", "scope", F.col("begin_line").alias("decl_line")).distinct()
+    return analysis.resolved(analysis.unwrapped_types(refs, aliases), decls, scopes).withColumns({"decl_line": F.coalesce("decl_line", F.lit(-1)), "decl_scope": F.coalesce("decl_scope", F.lit(""))})
+
+
+@query("WITH d AS (SELECT DISTINCT ['function', 'variable', 'record'][l_partkey % 3 + 1] AS kind, 's' || (l_partkey % 50) AS name, l_orderkey * 1000000000 + l_partkey * 10000 + l_suppkey AS seq, 'f' || (l_suppkey % 20) AS file, l_suppkey % 20 = 3 AS is_system FROM lineitem) SELECT d.seq, d.file, arg_max(o.file, o.seq) AS prev_file, arg_max(o.is_system, o.seq) AS prev_is_system FROM d LEFT JOIN d o ON o.kind = d.kind AND o.name = d.name AND o.seq < d.seq AND o.file <> d.file GROUP BY d.kind, d.name, d.seq, d.file")
+def previous_declarations(spark, sf):
+    p, s = F.col("l_partkey"), F.col("l_suppkey")
+    kind = F.element_at(F.array(*map(F.lit, ("function", "variable", "record"))), (p % 3 + 1).cast("int"))
+    d = table(spark, sf, "lineitem").select(kind.alias("kind"), _text("s", p % 50).alias("name"), (F.col("l_orderkey") * 1000000000 + p * 10000 + s).alias("seq"), _text("f", s % 20).alias("file"), (s % 20 == 3).alias("is_system")).distinct()
+    return analysis.with_previous(d, stretch=10**12).select("seq", "file", "prev_file", "prev_is_system")
+
+
+# ---- files written and read again
+
+
+def _folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/files-{uuid.uuid4()}"
+
+
+def _symbol_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines of symbols; those of every fifth supplier are malformed."""
+    k = F.col("l_partkey")
+    ok = _text("p", k, "##", F.col("l_linenumber"), ":", k % 80, "##", F.col("l_linenumber") + 1, ":3##s", F.col("l_suppkey"))
+    return table(spark, sf, "lineitem").select(F.when(F.col("l_suppkey") % 5 == 0, _text("p", k, "##x:1##s", F.col("l_suppkey"))).otherwise(ok).alias("value"))
+
+
+_SYMBOLS = "SELECT DISTINCT 'p' || l_partkey AS file, l_linenumber AS begin_line, CAST(l_partkey % 80 AS INTEGER) AS begin_col, l_linenumber + 1 AS end_line, 3 AS end_col, 's' || l_suppkey AS symbol FROM lineitem WHERE l_suppkey % 5 <> 0"
+
+
+@query(_SYMBOLS)
+def read_definitions(spark, sf):
+    at = _folder(spark)
+    writers.write_fact_files(_symbol_lines(spark, sf), at, "definitions")
+    return readers.definitions(spark, at)[0]
+
+
+@query(_SYMBOLS)
+def read_forward_declarations(spark, sf):
+    """Read, written by the sink of symbols, and read again."""
+    first, second = _folder(spark), _folder(spark)
+    writers.write_fact_files(_symbol_lines(spark, sf), first, "forwarddeclarations")
+    writers.write_fact_files(writers.symbol_lines(readers.forward_declarations(spark, first)[0]), second, "forwarddeclarations")
+    return readers.forward_declarations(spark, second)[0]
+
+
+@query("SELECT 'p' || l_partkey || '##x:1##s' || l_suppkey AS value FROM lineitem WHERE l_suppkey % 5 = 0")
+def rejected_lines(spark, sf):
+    at = _folder(spark)
+    writers.write_fact_files(_symbol_lines(spark, sf), at, "definitions")
+    return readers.definitions(spark, at)[1].select("value")
+
+
+@query("SELECT DISTINCT 'p' || l_partkey || '.cpp' AS dependee, 'h' || (l_suppkey % 50) || '.h' AS dependency, 'implements' AS kind FROM lineitem")
+def read_implements(spark, sf):
+    at = _folder(spark)
+    rows = table(spark, sf, "lineitem").select(_text("p", F.col("l_partkey"), ".cpp").alias("impl_file"), _text("h", F.col("l_suppkey") % 50, ".h").alias("header"), _text("s", F.col("l_linenumber")).alias("symbol"))
+    writers.write_fact_files(writers.implements_lines(rows).unionByName(rows.limit(1).select(F.lit("malformed").alias("value"))), at, "implements")
+    return readers.implements_deps(readers.implements(spark, at)[0])
+
+
+@query(f"{_RENAMES_SQL} SELECT file, line, CAST(col AS INTEGER) AS col, what AS from_str, to_str FROM r1 JOIN b1 USING (binding_id)")
+def read_renames(spark, sf):
+    at = _folder(spark)
+    writers.write_fact_files(rename_lines(spark, sf), at, "badsymbols")
+    return readers.renames(spark, at)[0]
+
+
+def _module_folder(spark: SparkSession, sf: str) -> str:
+    """A module file for each brand; parts with a brand's number of their own are listed in another's too."""
+    at = _folder(spark)
+    f = fragments(spark, sf)
+    twice = f.where(F.col("file").cast("long") % 7 == 0).select(F.lit("Brand#11").alias("module"), "file")
+    held = f.unionByName(twice.join(f.where("module = 'Brand#11'").select("file"), "file", "left_anti").select("module", "file"))
+    texts = writers.module_texts(held, rel.imports(uses(spark, sf), f)).withColumn("text", F.replace("text", F.lit("Brand#"), F.lit("Brand")))
+    writers.write_named_files(texts.select(_text(F.regexp_replace("module", "[^A-Za-z0-9]", ""), ".cppm").alias("name"), "text"), at)
+    return at
+
+
+@query("SELECT replace(p_brand, '#', '') AS module, CAST(p_partkey AS VARCHAR) AS file, replace(p_brand, '#', '') || '.cppm' AS backing_file FROM part WHERE p_partkey % 7 <> 0 OR p_brand = 'Brand#11'")
+def read_module_files(spark, sf):
+    return readers.module_files(spark, _module_folder(spark, sf))[0].select("module", "file", "backing_file")
+
+
+@query("SELECT DISTINCT replace(p_brand, '#', '') || '.cppm' AS file FROM part")
+def listed_files(spark, sf):
+    return readers.files(spark, _module_folder(spark, sf), "*.cppm")
+
+
+@query("SELECT 'x' || (p_partkey % 10) || '/' || p_partkey AS file, CASE WHEN p_partkey % 3 = 0 THEN 'x' || (p_partkey % 10) || '/' || p_partkey ELSE 'src/x' || (p_partkey % 10) || '/' || p_partkey END AS found FROM part WHERE p_partkey % 3 < 2")
+def existing_files(spark, sf):
+    p = table(spark, sf, "part").select(_text("x", F.col("p_partkey") % 10, "/", F.col("p_partkey")).alias("file"), (F.col("p_partkey") % 3).alias("k"))
+    listing = p.where("k = 0").select("file").unionByName(p.where("k < 2").select(F.concat(F.lit("src/"), "file").alias("file")))
+    return readers.existing(p.select("file"), listing, "src")
+
+
+@query("SELECT 'd' || (o_orderkey % 10) AS directory, 'f' || o_orderkey || '.cpp' AS file, CASE WHEN o_orderkey % 4 <> 0 THEN 'cc -DX=\"a b\" -c f' || o_orderkey || '.cpp' END AS command, CASE WHEN o_orderkey % 4 = 0 THEN 'cc|-c|f' || o_orderkey || '.cpp' END AS arguments FROM orders")
+def read_commands(spark, sf):
+    at, k = _folder(spark), F.col("o_orderkey")
+    name = _text("f", k, ".cpp")
+    entries = table(spark, sf, "orders").select(_text("d", k % 10).alias("directory"), F.when(k % 4 != 0, F.concat(F.lit('cc -DX="a b" -c '), name)).alias("command"), F.when(k % 4 == 0, F.array(F.lit("cc"), F.lit("-c"), name)).alias("arguments"), name.alias("file"))
+    writers.write_compilation_database(entries, at)
+    return readers.compilation_database(spark, at).select("directory", "file", "command", F.array_join("arguments", "|").alias("arguments"))
+
+
+@query("WITH t AS (SELECT DISTINCT replace(p_brand, '#', '') AS b FROM part) SELECT b || '.cpp' AS file, i AS pos, CASE i WHEN 0 THEN '#include \"' || b || '.h\"' WHEN 1 THEN 'int ' || b || ';' WHEN 2 THEN '' ELSE 'é ' || b END AS line FROM t, (SELECT CAST(unnest(range(4)) AS INTEGER) AS i)")
+def read_sources(spark, sf):
+    at = _folder(spark)
+    b = table(spark, sf, "part").select(F.replace("p_brand", F.lit("#"), F.lit("")).alias("b")).distinct()
+    writers.write_named_files(b.select(_text(F.col("b"), ".cpp").alias("name"), F.concat(F.lit('#include "'), "b", F.lit('.h"\r\nint '), "b", F.lit(";\n\né "), "b").alias("text")), at)
+    got = readers.source_texts(spark, at, "*.cpp")
+    # The writer ends each file's text with a new line, which begins one more.
+    return got.where("pos < 4")
+
+
+@query("SELECT DISTINCT p_brand AS module, CASE WHEN p_brand = 'Brand#11' THEN 'new' ELSE 'changed' END AS change FROM part WHERE p_brand = 'Brand#11' OR p_brand LIKE '%2' UNION ALL SELECT 'Gone', 'gone'")
+def changed_modules(spark, sf):
+    """What a second run writes, if before one module was not there, some had other files, and one more was there."""
+    f = fragments(spark, sf)
+    imported = rel.imports(uses(spark, sf), f)
+    texts = cut(writers.module_texts(f, imported))
+    before = texts.where("module <> 'Brand#11'").withColumn("text", F.when(F.col("module").like("%2"), F.concat("text", F.lit("\n// old"))).otherwise(F.col("text")))
+    before = before.unionByName(spark.createDataFrame([("Gone", "text")], "module string, text string"))
+    at = _folder(spark)
+    writers.update_module_files(before, at)
+    return writers.update_module_files(texts, at)

@@ -25,16 +25,21 @@ def _relative(path: Column, root: str) -> Column:
     return fn.strip_root(F.regexp_replace(path, "^file:/*", "/"), "/" + bare.strip("/"))
 
 
+def _read_from() -> Column:
+    """The file that a row was read from; Spark gives its place as a URI, in which blanks and other signs are escaped."""
+    return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+
+
 def lines(spark: SparkSession, root: str, glob: str) -> DataFrame:
     """(path, value): lines of matching files below root; bad UTF-8 becomes replacement characters."""
     t = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(root)
-    return t.select(_relative(F.col("_metadata.file_path"), root).alias("path"), "value")
+    return t.select(_relative(_read_from(), root).alias("path"), "value")
 
 
 def source_texts(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
     """(file, pos, line) of source files."""
     t = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(root, wholetext=True)
-    return t.select(_relative(F.col("_metadata.file_path"), root).alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("pos", "line"))
+    return t.select(_relative(_read_from(), root).alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("pos", "line"))
 
 
 def split_rejects(rows: DataFrame, parsed: Column) -> tuple[DataFrame, DataFrame]:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as fn
+from ..operators.loops import cut, empty
 
 
 def rename_lines(rows: DataFrame) -> DataFrame:
@@ -27,6 +28,47 @@ def write_lines(rows: DataFrame, path: str) -> None:
         rows.write.mode("overwrite").text(path)
 
 
+def write_fact_files(rows: DataFrame, folder: str, kind: str) -> None:
+    """rows(value) as files `<n>-<kind>.txt` in folder, as the readers look for them; files without a line are not kept.
+
+    Spark names its files itself; what the driver does is one renaming a file.
+    """
+    spark = rows.sparkSession
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path
+    at = fs_path(f"{folder}/_{kind}")
+    rows.write.mode("overwrite").text(str(at))
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    files = sorted((str(s.getPath()), s.getLen()) for s in fs.listStatus(at) if s.getPath().getName().startswith("part-"))
+    for n, (path, length) in enumerate(files):
+        if length:
+            fs.rename(fs_path(path), fs_path(f"{folder}/{n}-{kind}.txt"))
+    fs.delete(at, True)
+
+
+def write_named_files(texts: DataFrame, folder: str) -> None:
+    """texts(name, text) as a file each: the writers of module files and rewritten sources. Names have no folders."""
+    spark = texts.sparkSession
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path
+    at = fs_path(f"{folder}/_named")
+    # The name stands in the file's folder until it is renamed, escaped as the writer does it.
+    texts.select(F.col("text").alias("value"), F.hex(F.col("name").cast("binary")).alias("name")).repartition("name").write.mode("overwrite").partitionBy("name").text(str(at))
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    for d in fs.listStatus(at):
+        if d.isDirectory():
+            name = bytes.fromhex(d.getPath().getName().removeprefix("name=")).decode()
+            (path,) = [str(s.getPath()) for s in fs.listStatus(d.getPath()) if s.getPath().getName().startswith("part-")]
+            fs.rename(fs_path(path), fs_path(f"{folder}/{name}"))
+    fs.delete(at, True)
+
+
+def write_compilation_database(entries: DataFrame, path: str, most: int = 1000) -> None:
+    """entries(directory, command, arguments, file) as JSON arrays of about `most` entries, a file each."""
+    n = max(1, -(-entries.count() // most))
+    line = F.to_json(F.struct("directory", "command", "arguments", "file"))
+    parts = entries.groupBy(F.pmod(F.xxhash64("directory", "file", "command"), F.lit(n)).alias("part")).agg(F.concat(F.lit("[\n"), F.array_join(F.collect_list(line), ",\n"), F.lit("\n]")).alias("value"))
+    parts.repartition("part").write.mode("overwrite").partitionBy("part").text(path)
+
+
 def write_importance(name: str, counts: DataFrame, key: str, folder: str) -> None:
     """One map as JSON lines in the key's order, over as many files as there are partitions."""
     counts.select(F.col(key).alias("name"), "n").orderBy("name").write.mode("overwrite").json(f"{folder}/{name}")
@@ -47,6 +89,44 @@ def write_module_files(texts: DataFrame, path: str) -> None:
     texts.select(F.col("text").alias("value"), "module").repartition("module").write.mode("overwrite").partitionBy("module").text(path)
 
 
+def changes(texts: DataFrame, written: DataFrame) -> DataFrame:
+    """(module, text, change) of what differs from written(module, digest): `new`, `changed`, or `gone` (text null)."""
+    now = texts.select("module", "text", F.sha2("text", 256).alias("digest"))
+    both = now.join(written.select("module", F.col("digest").alias("old")), "module", "full_outer")
+    change = F.when(F.col("digest").isNull(), "gone").when(F.col("old").isNull(), "new").when(F.col("digest") != F.col("old"), "changed")
+    return both.withColumn("change", change).where("change is not null").select("module", "text", "change")
+
+
+def update_module_files(texts: DataFrame, path: str) -> DataFrame:
+    """Module files under path as texts(module, text) want them; (module, change) of what was written or removed.
+
+    A manifest of digests beside them says what is there: only module files that differ are written, those of modules
+    that are no more are removed, and a second run writes nothing. The manifest is replaced last, so a run that is
+    cut off is done again by the next one. What comes to the driver are the names of removed modules, one by one.
+    """
+    spark = texts.sparkSession
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path
+    root = fs_path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    manifest = f"{path}/_digests"
+    there = sorted(int(s.getPath().getName()) for s in fs.listStatus(fs_path(manifest)) if fs.exists(fs_path(f"{s.getPath()}/_SUCCESS"))) if fs.exists(fs_path(manifest)) else []
+    schema = "module string, digest string"
+    old = spark.read.schema(schema).parquet(f"{manifest}/{there[-1]}") if there else spark.createDataFrame([], schema)
+    todo = cut(changes(texts, old))
+    fresh = todo.where("change <> 'gone'").select(F.col("text").alias("value"), "module")
+    if not empty(fresh):
+        fresh.repartition("module").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("module").text(path)
+    # The writer's own names of folders, as it escapes signs.
+    for r in todo.where("change = 'gone'").select("module").toLocalIterator():
+        name = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.getPartitionPathString("module", r["module"])
+        fs.delete(fs_path(f"{path}/{name}"), True)
+    if not empty(todo):
+        texts.select("module", F.sha2("text", 256).alias("digest")).write.mode("overwrite").parquet(f"{manifest}/{(there or [0])[-1] + 1}")
+        for n in there:
+            fs.delete(fs_path(f"{manifest}/{n}"), True)
+    return todo.select("module", "change")
+
+
 def ordered_includes(lines: DataFrame, order: DataFrame, matching: str) -> DataFrame:
     """(file, pos, line): module files with their include block in the given order(file, target, rank).
 

@@ -2,7 +2,6 @@
 
 Coarse: parts are files, brands are modules. Fine: a part from one supplier is a file, parts are modules.
 In both a file uses the one on the next line of its order, and implements it if the line was returned.
-Supply: suppliers are files, nations are modules, a supplier uses the one with the next key.
 """
 
 from __future__ import annotations
@@ -44,14 +43,6 @@ def deps(spark: SparkSession, sf_dir: str, fine: bool = False) -> DataFrame:
     return uses(spark, sf_dir, fine).unionByName(implements(spark, sf_dir, fine))
 
 
-def supply(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Fragments and uses of the supply facts."""
-    s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
-    held = s.select(F.concat(F.lit("n"), F.col("s_nationkey").cast("string")).alias("module"), F.col("s_suppkey").cast("string").alias("file"))
-    after = s.select((F.col("s_suppkey") - 1).alias("s_suppkey"))
-    return held, s.join(after, "s_suppkey").select(F.col("s_suppkey").cast("string").alias("dependee"), (F.col("s_suppkey") + 1).cast("string").alias("dependency"), F.lit("uses").alias("kind"))
-
-
 def _file_sql(line: str, fine: bool) -> str:
     return f"{line}.l_partkey || '/' || {line}.l_suppkey" if fine else f"CAST({line}.l_partkey AS VARCHAR)"
 
