@@ -206,3 +206,23 @@ def test_merge_is_what_folding_comes_to(spark):
                 folded[f] = m
         groups = lambda of: sorted(sorted(f for f in of if of[f] == m) for m in set(of.values()))
         assert groups({r["file"]: r["module"] for r in passes.merge(state).fragments.collect()}) == groups(folded)
+
+
+def test_contracted_networks_have_the_same_cuts(spark):
+    """Random cycles of two to four modules with files on one side and on both."""
+    rng = random.Random(12)
+    fragments, uses, cycles, want = [], [], [], {}
+    for k in range(25):
+        n = rng.randint(2, 4)
+        mods = [f"c{k:02}m{i}" for i in range(n)]
+        files = {m: [f"{m}f{j}" for j in range(rng.randint(1, 5))] for m in mods}
+        fragments += [(m, f) for m in mods for f in files[m]]
+        uses += sorted({(rng.choice(files[mods[i]]), rng.choice(files[mods[(i + 1) % n]])) for i in range(n) for _ in range(rng.randint(1, 7))})
+        cycles.append((",".join(mods), [*mods, mods[0]]))
+    flow = graphs.flow_edges(spark.createDataFrame(cycles, "cycle_id string, cycle array<string>"), spark.createDataFrame(uses, "dependee string, dependency string"), spark.createDataFrame(fragments, "module string, file string"))
+    for key, g in flow.toPandas().groupby("cycle_id"):
+        want[key] = kernels.cut_of(g)[0]
+    assert {r["cycle_id"]: r["cut_value"] for r in kernels.cut_values(flow).collect()} == want and len(set(want.values())) > 2
+    small = {r["cycle_id"]: r["count"] for r in graphs.contracted(flow).groupBy("cycle_id").count().collect()}
+    full = {r["cycle_id"]: r["count"] for r in flow.groupBy("cycle_id").count().collect()}
+    assert all(small[c] < full[c] for c in full)

@@ -75,8 +75,7 @@ def search_cycles(edges: DataFrame) -> DataFrame:
     lie on no cycle go before anything is searched: what is left is inside strong components.
     """
     edges = cut(edges)
-    paths = edges.select(F.col("src").alias("node"), F.col("dst").alias("at"), F.array("src", "dst").alias("path"))
-    met = cut(closed(paths, paths))
+    met = cut(mutual_cycles(edges))
     if not empty(met):
         return met
     edges = cut(inside_components(edges))
@@ -93,6 +92,12 @@ def search_cycles(edges: DataFrame) -> DataFrame:
     return met
 
 
+def mutual_cycles(edges: DataFrame) -> DataFrame:
+    """(node, cycle): of each node that has cycles of two edges the smallest; edges without loops."""
+    paths = edges.select(F.col("src").alias("node"), F.col("dst").alias("at"), F.array("src", "dst").alias("path"))
+    return closed(paths, paths)
+
+
 def closed(there: DataFrame, back: DataFrame) -> DataFrame:
     """(node, cycle): the smallest closed path of each node that is one of there(node, at, path) and then one of back."""
     b = back.select(F.col("node").alias("at"), F.col("at").alias("node"), F.col("path").alias("rest"))
@@ -182,8 +187,8 @@ def trimmed(edges: DataFrame) -> DataFrame:
     edges = cut(edges)
     n = edges.count()
     while n:
-        left = edges.join(edges.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
-        left = cut(left.join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
+        entered, left_ = edges.select(F.col("dst").alias("src")).distinct(), edges.select(F.col("src").alias("dst")).distinct()
+        left = cut(edges.join(entered, "src", "left_semi").join(left_, "dst", "left_semi").select("src", "dst"))
         m = left.count()
         if m == n:
             break
@@ -312,3 +317,29 @@ def flow_edges(cycles: DataFrame, uses: DataFrame, fragments: DataFrame) -> Data
     inner = deg.select("cycle_id", F.explode(found).alias("x")).select("cycle_id", "x.*")
     outer = e.select("cycle_id", F.col("dependee").alias("src"), F.lit("out").alias("src_side"), F.col("dependency").alias("dst"), F.lit("in").alias("dst_side"), F.lit(1.0).alias("capacity"))
     return inner.unionByName(outer)
+
+
+def contracted(flow: DataFrame) -> DataFrame:
+    """flow_edges with the same cut values, but as many nodes as inner files on both sides, and two for each module.
+
+    What the first module's files send comes from the source without a limit, and what they get goes to the sink:
+    they are one with these. A file on one side only gets no more than its hub takes, and sends no more than its hub
+    gives: it is one with its hub. A file on both sides is one node. Uses between the same two are one edge, whose
+    capacity is their number.
+    """
+    at = lambda c: F.struct(F.col(c).alias("name"), F.col(f"{c}_side").alias("side"))
+    side = lambda c, s: F.col(f"{c}_side") == s
+    both = F.struct(F.col("src").alias("name"), F.lit("both").alias("side"))
+    entry = lambda node, into: F.struct(node.alias("node"), into.alias("into"))
+    met = (
+        F.when(side("src", "source") | side("src", "hub"), F.array(entry(at("dst"), at("src"))))
+        .when(side("dst", "sink") | side("dst", "hub"), F.array(entry(at("src"), at("dst"))))
+        .when(side("src", "in") & side("dst", "out"), F.array(entry(at("src"), both), entry(at("dst"), both)))
+    )
+    flow = cut(flow)
+    place = flow.select("cycle_id", F.explode(met).alias("e")).select("cycle_id", F.col("e.node.name").alias("name"), F.col("e.node.side").alias("side"), F.col("e.into").alias("into"))
+    a = place.select("cycle_id", F.col("name").alias("src"), F.col("side").alias("src_side"), F.col("into").alias("a"))
+    b = place.select("cycle_id", F.col("name").alias("dst"), F.col("side").alias("dst_side"), F.col("into").alias("b"))
+    uses = flow.where(side("src", "out") & side("dst", "in"))
+    joined = uses.join(a, ["cycle_id", "src", "src_side"]).join(b, ["cycle_id", "dst", "dst_side"])
+    return joined.groupBy("cycle_id", F.col("a.name").alias("src"), F.col("a.side").alias("src_side"), F.col("b.name").alias("dst"), F.col("b.side").alias("dst_side")).agg(F.sum("capacity").alias("capacity"))

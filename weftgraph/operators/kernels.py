@@ -245,8 +245,11 @@ def per_cycle(flow: DataFrame, run: Callable[[object, pd.DataFrame], pd.DataFram
 
 
 def cut_values(flow: DataFrame) -> DataFrame:
-    """(cycle_id, cut_value)."""
-    return per_cycle(flow, lambda k, g: pd.DataFrame({"cycle_id": [k], "cut_value": [cut_of(g)[0]]}), "cycle_id string, cut_value double")
+    """(cycle_id, cut_value), from contracted networks: a cycle's group has no more edges than pairs of two-sided files
+    that use each other, and a few for each such file and module."""
+    from .graphs import contracted
+
+    return per_cycle(contracted(flow), lambda k, g: pd.DataFrame({"cycle_id": [k], "cut_value": [cut_of(g)[0]]}), "cycle_id string, cut_value double")
 
 
 def cut_edges(flow: DataFrame) -> DataFrame:

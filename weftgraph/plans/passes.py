@@ -108,11 +108,12 @@ def split(state: State, threshold: int = 8, most_rounds: int = 1000, alone: bool
     uses, fragments = stored(placed_uses(state)), stored(state.fragments)
     seen, ordered, modules = None, 0, None
     for n_round in range(most_rounds):
-        cycles = stored(distinct_cycles(graphs.shortest_cycles(edges_of(uses))))
+        cycles = stored(distinct_cycles(graphs.mutual_cycles(edges_of(uses))))
         if empty(cycles):
-            return dataclasses.replace(state, fragments=cut(canonical_names(fragments)))
-        if cycles.where("size(cycle) > 3").limit(1).count():
             uses = stored(on_cycles(uses))
+            cycles = stored(distinct_cycles(graphs.shortest_cycles(edges_of(uses))))
+        if empty(cycles):
+            return dataclasses.replace(state, fragments=cut(canonical_names(fragments)))
         now = fragments.select("module").distinct().count()
         ranked = cycles.select("cycle_id", F.lit(n_round).alias("round"))
         seen = stored(ranked if now != modules else last_of(seen.unionByName(ranked), threshold**3))
