@@ -137,21 +137,26 @@ def _verdicts(stream: DataFrame, batch: int, last: bool) -> DataFrame:
 # ---- a batch's turns
 
 
-_KEPT = "conv string, turn long, first long, role string, kept_in int, before long, until long, repeats boolean"
+_DECIDED = "conv string, event string"
+_FIRST = "struct<kept_in: int, role: string, first: bigint, until: bigint>"
+_BEFORE = "struct<kept_in: int, role: string>"
+_PLACES = f"conv string, place long, mine {_FIRST}, last {_BEFORE}, event string"
+_KEPT = "conv string, turn long, first long, role string, kept_in int, before long, until long, repeats boolean, closing boolean"
 
 
 def _places(joined: DataFrame) -> DataFrame:
-    """(conv, place, mine, last): of each place in or after a kept turn what is kept there first, and what is kept before it.
+    """(conv, place, mine, last, event): of each place in or after a kept turn what is kept there first, and what is kept
+    before it.
 
-    joined(conv, turn, first, role, kept_in, until): the turns kept so far and those that arrive.
+    joined(conv, turn, first, role, kept_in, until, event): the turns kept so far and those that arrive.
     """
-    here = F.struct(F.col("turn").alias("place"), F.struct("kept_in", "role", "first", "until").alias("mine"), F.lit(None).cast("struct<kept_in: int, role: string>").alias("last"))
-    none = F.lit(None).cast("struct<kept_in: int, role: string, first: bigint, until: bigint>")
-    after = F.struct((F.col("turn") + 1).alias("place"), none.alias("mine"), F.struct("kept_in", "role").alias("last"))
-    start = F.struct(F.col("first").alias("place"), none.alias("mine"), F.lit(None).cast("struct<kept_in: int, role: string>").alias("last"))
-    at = joined.select("conv", F.explode(F.array(here, after, start)).alias("p")).select("conv", "p.*")
+    none, nothing = F.lit(None).cast(_FIRST).alias("mine"), F.lit(None).cast(_BEFORE).alias("last")
+    here = F.struct(F.col("turn").alias("place"), F.struct("kept_in", "role", "first", "until").alias("mine"), nothing)
+    after = F.struct((F.col("turn") + 1).alias("place"), none, F.struct("kept_in", "role").alias("last"))
+    start = F.struct(F.col("first").alias("place"), none, nothing)
+    at = joined.select("conv", "event", F.explode(F.array(here, after, start)).alias("p")).select("conv", "event", "p.*")
     # The least struct is that of the earliest batch; of one turn there is one row a batch.
-    return at.groupBy("conv", "place").agg(F.min("mine").alias("mine"), F.min("last").alias("last"))
+    return at.groupBy("conv", "place").agg(F.min("mine").alias("mine"), F.min("last").alias("last"), F.min("event").alias("event"))
 
 
 class Reassembly:
@@ -167,12 +172,19 @@ class Reassembly:
         ticks = spark.range(self.buckets).select(F.explode(F.sequence(F.lit(0), F.lit(batches))).alias("batch"), F.lit(None).cast("string").alias("conv"), *[F.lit(None).cast(k).alias(c) for c, k in (("turn", "long"), ("first", "long"), ("role", "string"), ("text", "string"))], F.col("id").cast("int").alias("bucket"))
         found.unionByName(ticks).repartition("batch", _bucket(F.coalesce("conv", F.col("bucket").cast("string")), 64)).write.partitionBy("batch").parquet(f"{self.root}/arrivals")
 
-    def _written(self, name: str, batch: int, schema: str) -> DataFrame:
-        return self.spark.read.schema(schema).parquet(f"{self.root}/{name}/{batch}")
+    def _of(self, name: str, schema: str, batch: int | None = None) -> DataFrame:
+        """A table of one batch or of all, with the batch. It is data, not a constant of the plan, so that all batches run
+        the same code."""
+        at = f"{self.root}/{name}"
+        return self.spark.read.schema(f"{schema}, batch int").option("basePath", at).parquet(at if batch is None else f"{at}/batch={batch}")
 
-    def batch_rows(self, batch: int) -> DataFrame:
-        """What arrives in a batch, ticks left out."""
-        return self.spark.read.schema(_ARRIVAL).parquet(f"{self.root}/arrivals/batch={batch}").where("turn is not null")
+    def batch_rows(self, batch: int | None = None) -> DataFrame:
+        """What arrives in a batch (or in all), ticks left out."""
+        return self._of("arrivals", _ARRIVAL, batch).where("turn is not null")
+
+    def kept(self, batch: int | None = None) -> DataFrame:
+        """Turns of the conversations that are open in a batch or close in it; `until` is where the run of turns ends."""
+        return self._of("kept", _KEPT, batch)
 
     def feed(self, batch: int) -> None:
         """The streaming query over one more batch, from its start to its end."""
@@ -183,55 +195,40 @@ class Reassembly:
 
     def _settled(self, verdicts: DataFrame, batch: int) -> None:
         """Turns kept after a batch, from those kept before it, its arrivals and what the wheels decided."""
-        verdicts.write.mode("overwrite").parquet(f"{self.root}/verdicts/{batch}")
-        decided = self._written("verdicts", batch, "conv string, event string")
-        new = self.batch_rows(batch).select("conv", "turn", "first", "role", F.lit(batch).alias("kept_in"), F.col("first").alias("until"))
-        old = new.limit(0)
+        at = lambda name: f"{self.root}/{name}/batch={batch}"
+        verdicts.write.mode("overwrite").parquet(at("verdicts"))
+        decided = self._of("verdicts", _DECIDED, batch).drop("batch")
+        both = self.batch_rows(batch).select("conv", "turn", "first", "role", F.col("batch").alias("kept_in"), F.col("first").alias("until"))
         if batch:
             # Those that closed are gone from here on.
-            old = self.kept(batch - 1).where("not closing").select("conv", "turn", "first", "role", "kept_in", "until")
-        both = old.unionByName(new).join(decided.hint("merge"), "conv", "left")
+            both = both.unionByName(self.kept(batch - 1).where("not closing").select(*both.columns))
+        both = both.join(decided.hint("merge"), "conv", "left")
         # Who neither hears anything nor closes stays as it is.
-        touched = both.where("event in ('accept', 'close')").select("conv", "turn", "first", "role", "kept_in", "until", (F.col("event") == "close").alias("closing"))
-        closing = touched.where("closing").select("conv").distinct()
-        _places(touched).write.mode("overwrite").parquet(f"{self.root}/places/{batch}")
-        places = self.spark.read.parquet(f"{self.root}/places/{batch}")
-        places.where("mine is null").groupBy("conv").agg(F.min("place").alias("end")).join(closing.withColumn("closing", F.lit(True)).hint("merge"), "conv", "left").write.mode("overwrite").parquet(f"{self.root}/ends/{batch}")
-        ends = self._written("ends", batch, "conv string, end long, closing boolean")
-        now = places.where("mine is not null").join(ends.hint("merge"), "conv")
-        now = now.select("conv", F.col("place").alias("turn"), "mine.first", "mine.role", "mine.kept_in", F.col("mine.until").alias("before"), F.col("end").alias("until"), F.coalesce(F.col("last.role") == F.col("mine.role"), F.lit(False)).alias("repeats"), F.coalesce("closing", F.lit(False)).alias("closing"))
+        _places(both.where("event in ('accept', 'close')")).write.mode("overwrite").parquet(at("places"))
+        places = self._of("places", _PLACES, batch)
+        # A place's own event is that of its conversation.
+        ends = places.groupBy("conv").agg(F.min(F.when(F.col("mine").isNull(), F.col("place"))).alias("end"), F.bool_or(F.col("event") == "close").alias("closing"))
+        ends.write.mode("overwrite").parquet(at("ends"))
+        now = places.where("mine is not null").select("conv", "place", "mine", "last").join(self._of("ends", "conv string, end long, closing boolean", batch).drop("batch").hint("merge"), "conv")
+        now = now.select("conv", F.col("place").alias("turn"), "mine.first", "mine.role", "mine.kept_in", F.col("mine.until").alias("before"), F.col("end").alias("until"), F.coalesce(F.col("last.role") == F.col("mine.role"), F.lit(False)).alias("repeats"), "closing")
         same = both.where("event is null").select("conv", "turn", "first", "role", "kept_in", F.col("until").alias("before"), "until", F.lit(False).alias("repeats"), F.lit(False).alias("closing"))
-        now.unionByName(same).write.mode("overwrite").parquet(f"{self.root}/kept/{batch}")
-
-    def kept(self, batch: int) -> DataFrame:
-        """Turns of the conversations that are open in a batch or close in it; `until` is where the run of turns ends."""
-        return self._written("kept", batch, f"{_KEPT}, closing boolean")
+        now.unionByName(same).write.mode("overwrite").parquet(at("kept"))
 
     def run(self) -> Reassembly:
         for batch in range(self.batches + 1):
             self.feed(batch)
         return self
 
-    def all(self, name: str, schema: str, last: int) -> DataFrame:
-        """A table of all batches, with the batch."""
-        out = None
-        for b in range(last + 1):
-            one = self._written(name, b, schema).withColumn("batch", F.lit(b))
-            out = one if out is None else out.unionByName(one)
-        return out
-
     def events(self) -> DataFrame:
         """(event, conv, turn, role, text, batch, unreleased, n_missing, n_breaks) of the whole run.
 
         A close carries the kept turns that were not released, in order, and the numbers of turns missing and
         of turns with the role of the one before.
         """
-        came = self.spark.read.schema(f"{_ARRIVAL}, batch int").parquet(f"{self.root}/arrivals").where("turn is not null")
-        kept = self.all("kept", f"{_KEPT}, closing boolean", self.batches)
+        kept = self.kept()
         released = kept.where("not closing and turn >= before and turn < until").select("conv", "turn", F.col("kept_in").alias("came_in"), "batch", F.lit("release").alias("event"))
-        verdicts = self.all("verdicts", "conv string, event string", self.batches)
-        refused = verdicts.where("event = 'reject'").select("conv", F.col("batch").alias("refused_in"))
-        texts = came.select("conv", "turn", F.col("batch").alias("came_in"), "role", "text")
+        refused = self._of("verdicts", _DECIDED).where("event = 'reject'").select("conv", F.col("batch").alias("refused_in"))
+        texts = self.batch_rows().select("conv", "turn", F.col("batch").alias("came_in"), "role", "text")
         released = texts.join(released.hint("merge"), ["conv", "turn", "came_in"])
         refused = texts.join(refused.hint("merge"), (texts["conv"] == refused["conv"]) & (F.col("came_in") == F.col("refused_in"))).select(texts["conv"], "turn", "role", "text", F.col("came_in").alias("batch"), F.lit("reject").alias("event"))
         none = [F.lit(None).cast("array<bigint>").alias("unreleased"), F.lit(None).cast("long").alias("n_missing"), F.lit(None).cast("long").alias("n_breaks")]
