@@ -90,6 +90,11 @@ def test_secrets_of_other_forms(spark):
     assert {(0, "hunter2!x"), (1, "s3cr3t!Pass")} <= got and {i for i, _ in got} == {0, 1, 2}
 
 
+def test_values_that_a_sentence_ends_are_long_enough():
+    assert secrets.candidates(b"password = a!!!!!!! and token: ........ pwd=abcdef.") == [(44, 50)]
+    assert np.isfinite(secrets.features(b"abcdef", b"pwd=", b"", "")).all()
+
+
 def test_short_addresses_stay_distinct(spark):
     """More entities than surrogates of their length: the surrogates grow."""
     local = [f"{a}@host.com" for a in "abcdefghijklmnopqrstuvwxyz0123456789"] + [f"{a}@{b}.net" for a in "abcdef" for b in ("one", "two", "six")] + [f"{a}@x.org" for a in "abcdefghijklmnopqrstuvwxyz0123456789._-+%"]
@@ -102,6 +107,33 @@ def test_short_addresses_stay_distinct(spark):
     assert all(re.fullmatch(r"write to \S+@\S+ now", t) for t in new[: len(local)])
 
 
+def test_long_entities_in_a_fresh_session():
+    """In a JVM that has compiled nothing yet: domains of 2,000 and 200,000 labels, long runs of digits in groups, signs and
+    names, and a text of 50 MB without an entity."""
+    import subprocess
+    import sys
+
+    from conftest import ROOT
+
+    code = """
+import sys
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.driver.memory", "4g").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+from weftgraph.llm import pii
+n = 200_000
+rows = [("mail x@" + "a." * 2000 + "com now",), ("mail x@" + "a." * n + "com now",), ("1234 " * n,), ("+1 " + "23-" * n,), ("DE12 " + "ABCD " * n,), ("1." * n,), ("Mr A" + "b" * n,), ("+()" * n,), ("a@" * n,), ("lorem ipsum " * 4_200_000,)]
+got = [r["text"] for r in pii.pseudonymise(spark.createDataFrame([(i, t) for i, (t,) in enumerate(rows)], "doc_id int, text string"), "k").orderBy("doc_id").collect()]
+for i in (0, 1):
+    assert got[i] != rows[i][0] and got[i].startswith("mail ") and ".example." in got[i] and got[i].endswith(" now"), i
+    assert abs(len(got[i]) - len(rows[i][0])) < 40
+for i in (3, 7, 8, 9):
+    assert i == 3 or got[i] == rows[i][0], i
+print("done")
+"""
+    done = subprocess.run([sys.executable, "-c", code], cwd=ROOT, capture_output=True, text=True, timeout=600)
+    assert done.stdout.strip().endswith("done"), done.stderr[-2000:]
+
+
 def test_the_callers_own_count_stays(spark):
     import corpus_pipeline as cp
 

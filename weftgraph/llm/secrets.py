@@ -29,6 +29,8 @@ KEEP, SEED = 0.5, 3
 FINDINGS, TREES, DEPTH, LEAF = 3000, 30, 9, 3
 #: Bytes before and after a candidate whose words count as neighbours.
 NEAR = 48
+#: Bytes of the shortest value, without the signs that end a sentence.
+SHORTEST = 6
 
 CANDIDATE = re.compile(rb"[A-Za-z0-9+/_\-]{16,}={0,2}")
 ASSIGNED = re.compile(rb"(?i)(?:passw(?:or)?d|pwd|secret|token|credential|(?:api|access|auth|private)[_-]?key)[a-z0-9_.-]{0,20}[\"']?[ \t]{0,3}(?::=|=>|=|:)[ \t]{0,3}[\"']?([^\s\"'`,;<>()\[\]{}$]{6,})")
@@ -72,7 +74,7 @@ def candidates(text: bytes) -> list[tuple[int, int]]:
                 s, e = m.span(1)
                 while e > s and text[e - 1] in b".!?:":  # a sentence's end
                     e -= 1
-                if e > s:
+                if e - s >= SHORTEST:
                     spans.append((s, e))
     out: list[tuple[int, int]] = []
     for s, e in sorted(spans, key=lambda x: (x[0], -x[1])):
