@@ -171,3 +171,26 @@ def test_fact_files_are_found_again(spark, tmp_path):
     assert rows(good) == [("a.cpp", "h.h", "s")] and [r["value"] for r in bad.collect()] == ["bad"]
     writers.write_named_files(spark.createDataFrame([("é ü.cppm", "export module FULL_NAME_M;\n#include \"a\"")], "name string, text string"), str(tmp_path / "m"))
     assert rows(readers.module_files(spark, str(tmp_path / "m"))[0].select("module", "file", "backing_file")) == [("M", "a", "é ü.cppm")]
+
+
+def test_descent_through_files_of_no_module(spark):
+    """Random includes with cycles among files of no module, against a walk from each file."""
+    import random
+
+    rng = random.Random(11)
+    names = [f"m{i}" for i in range(8)] + [f"x{i:02}" for i in range(20)]
+    edges = {(rng.choice(names), rng.choice(names)) for _ in range(60)}
+    after = {n: {b for a, b in edges if a == n} for n in names}
+    want = set()
+    for start in names[:8]:
+        todo, seen = set(after[start]), set()
+        while todo:
+            n = todo.pop()
+            if n not in seen:
+                seen.add(n)
+                todo |= after[n] if n.startswith("x") else set()
+        want |= {(start, n) for n in seen if n.startswith("m") and n != start}
+    f = spark.createDataFrame([("M", n) for n in names[:8]], "module string, file string")
+    got = project.through_external(spark.createDataFrame(sorted(edges), "src string, dst string"), f)
+    assert rows(got) == sorted(want) and len(want) > 20
+    assert project.through_external(spark.createDataFrame([], "src string, dst string"), f).count() == 0

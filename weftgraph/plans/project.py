@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import commands, text as fn
 from ..operators import graphs, relational
-from ..operators.loops import cut
+from ..operators.loops import cut, empty
 from ..sources import readers, writers
 from . import passes
 from .model import State, register, run_pass
@@ -105,17 +105,31 @@ def rename_symbols(state: Project) -> Project:
 
 
 def through_external(external: DataFrame, fragments: DataFrame) -> DataFrame:
-    """(src, dst): files of modules of which one leads to the other through files of no module only."""
+    """(src, dst): files of modules of which one leads to the other through files of no module only.
+
+    Files of no module that lead to each other are one node. What a node leads to is found once, from the ends
+    back, whatever number of files begin at it; these only meet the first node on their way in the last join.
+    """
     inside = cut(fragments.select(F.col("file").alias("node")).distinct())
-    edges = cut(external.select("src", "dst").distinct())
-    front = cut(edges.join(inside.withColumnRenamed("node", "src"), "src", "left_semi").select(F.col("src").alias("start"), F.col("dst").alias("node")).distinct())
+    known = lambda end: inside.select(F.col("node").alias(end), F.lit(True).alias(f"{end}_in"))
+    edges = external.select("src", "dst").distinct().join(known("src"), "src", "left").join(known("dst"), "dst", "left")
+    edges = cut(edges.select("src", "dst", F.col("src_in").isNotNull().alias("src_in"), F.col("dst_in").isNotNull().alias("dst_in")))
+    outer = edges.where("not src_in and not dst_in").select("src", "dst")
+    of = cut(graphs.strong_components(outer))
+
+    def joined(df: DataFrame, end: str) -> DataFrame:
+        return df.join(of.select(F.col("node").alias(end), F.col("component").alias("c")), end, "left").withColumn(end, F.coalesce("c", end)).drop("c")
+
+    way = cut(joined(joined(outer, "src"), "dst").where("src <> dst").distinct())
+    front = cut(joined(edges.where("not src_in and dst_in").select("src", "dst"), "src").select(F.col("src").alias("node"), F.col("dst").alias("file")).distinct())
     seen = front
-    while front.limit(1).count():
-        outside = front.join(inside, "node", "left_anti")
-        step = outside.withColumnRenamed("node", "src").join(edges, "src").select("start", F.col("dst").alias("node")).distinct()
-        front = cut(step.join(seen, ["start", "node"], "left_anti"))
+    while not empty(front):
+        step = way.join(front.withColumnRenamed("node", "dst"), "dst").select(F.col("src").alias("node"), "file").distinct()
+        front = cut(step.join(seen, ["node", "file"], "left_anti"))
         seen = seen.unionByName(front)
-    return seen.join(inside, "node", "left_semi").where("start <> node").select(F.col("start").alias("src"), F.col("node").alias("dst")).distinct()
+    starts = joined(edges.where("src_in and not dst_in").select("src", "dst"), "dst").distinct()
+    far = starts.join(seen.select(F.col("node").alias("dst"), "file"), "dst").select("src", F.col("file").alias("dst"))
+    return far.unionByName(edges.where("src_in and dst_in").select("src", "dst")).where("src <> dst").distinct()
 
 
 @register
