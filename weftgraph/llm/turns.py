@@ -41,6 +41,8 @@ BATCHES, IDLE = 12, 2
 BUCKETS = 4
 #: Names that a task remembers so as not to send one twice.
 NAMES = 100_000
+#: Rows of a batch's tables for each task, about, and tasks at least: a small batch is no work for very many.
+ROWS, TASKS = 50_000, 8
 
 _ARRIVAL = "conv string, turn long, first long, role string, text string, bucket int"
 
@@ -171,6 +173,8 @@ class Reassembly:
         # Every bucket's clock ticks in every batch, and once more in the end.
         ticks = spark.range(self.buckets).select(F.explode(F.sequence(F.lit(0), F.lit(batches))).alias("batch"), F.lit(None).cast("string").alias("conv"), *[F.lit(None).cast(k).alias(c) for c, k in (("turn", "long"), ("first", "long"), ("role", "string"), ("text", "string"))], F.col("id").cast("int").alias("bucket"))
         found.unionByName(ticks).repartition("batch", _bucket(F.coalesce("conv", F.col("bucket").cast("string")), 64)).write.partitionBy("batch").parquet(f"{self.root}/arrivals")
+        # A number a batch comes to the driver.
+        self.sizes = {r["batch"]: r["count"] for r in self.batch_rows().groupBy("batch").count().collect()}
 
     def _of(self, name: str, schema: str, batch: int | None = None) -> DataFrame:
         """A table of one batch or of all, with the batch. It is data, not a constant of the plan, so that all batches run
@@ -195,8 +199,9 @@ class Reassembly:
 
     def _settled(self, verdicts: DataFrame, batch: int) -> None:
         """Turns kept after a batch, from those kept before it, its arrivals and what the wheels decided."""
-        at = lambda name: f"{self.root}/{name}/batch={batch}"
-        verdicts.write.mode("overwrite").parquet(at("verdicts"))
+        tasks = max(TASKS, sum(n for b, n in self.sizes.items() if b <= batch) // ROWS)
+        put = lambda df, name: df.coalesce(tasks).write.mode("overwrite").parquet(f"{self.root}/{name}/batch={batch}")
+        put(verdicts, "verdicts")
         decided = self._of("verdicts", _DECIDED, batch).drop("batch")
         both = self.batch_rows(batch).select("conv", "turn", "first", "role", F.col("batch").alias("kept_in"), F.col("first").alias("until"))
         if batch:
@@ -204,15 +209,15 @@ class Reassembly:
             both = both.unionByName(self.kept(batch - 1).where("not closing").select(*both.columns))
         both = both.join(decided.hint("merge"), "conv", "left")
         # Who neither hears anything nor closes stays as it is.
-        _places(both.where("event in ('accept', 'close')")).write.mode("overwrite").parquet(at("places"))
+        put(_places(both.where("event in ('accept', 'close')")), "places")
         places = self._of("places", _PLACES, batch)
         # A place's own event is that of its conversation.
         ends = places.groupBy("conv").agg(F.min(F.when(F.col("mine").isNull(), F.col("place"))).alias("end"), F.bool_or(F.col("event") == "close").alias("closing"))
-        ends.write.mode("overwrite").parquet(at("ends"))
+        put(ends, "ends")
         now = places.where("mine is not null").select("conv", "place", "mine", "last").join(self._of("ends", "conv string, end long, closing boolean", batch).drop("batch").hint("merge"), "conv")
         now = now.select("conv", F.col("place").alias("turn"), "mine.first", "mine.role", "mine.kept_in", F.col("mine.until").alias("before"), F.col("end").alias("until"), F.coalesce(F.col("last.role") == F.col("mine.role"), F.lit(False)).alias("repeats"), "closing")
         same = both.where("event is null").select("conv", "turn", "first", "role", "kept_in", F.col("until").alias("before"), "until", F.lit(False).alias("repeats"), F.lit(False).alias("closing"))
-        now.unionByName(same).write.mode("overwrite").parquet(at("kept"))
+        put(now.unionByName(same), "kept")
 
     def run(self) -> Reassembly:
         for batch in range(self.batches + 1):
