@@ -112,6 +112,27 @@ def test_random_buckets_keep_every_module(spark):
     assert rows(got) == rows(rel.random_buckets(m, 8, 3)) and {r[1] for r in got.collect()} <= set(range(8))
 
 
+def test_random_buckets_take_no_more_than_one_over_the_limit(spark):
+    m = spark.createDataFrame([(f"m{i}",) for i in range(500)], "module string")
+    plan = rel.bucket_plan(m, 40).first()
+    most = plan["average"] + plan["overflow"]
+    for seed in range(3):
+        sizes = [r["count"] for r in rel.random_buckets(m, 40, seed).groupBy("bucket").count().collect()]
+        assert sum(sizes) == 500 and max(sizes) <= most + 1
+    assert rel.random_buckets(m, 1, 0).select("bucket").distinct().count() == 1
+    assert rel.random_buckets(m.limit(0), 4, 0).count() == 0
+    assert rel.random_buckets(m.limit(2), 4, 0).count() == 2
+    assert [sorted(k * rel.stride(n) % n for k in range(n)) == list(range(n)) for n in (1, 2, 3, 10, 36)] == [True] * 5
+
+
+def test_random_modules_keep_files(spark):
+    f = spark.createDataFrame([(f"m{i % 30}", f"f{i}") for i in range(90)], "module string, file string")
+    after = run_pass("random_modules", State(f, spark.createDataFrame([], "dependee string, dependency string, kind string")), buckets=4, seed=7)
+    of = {r["file"]: r["module"] for r in after.fragments.collect()}
+    assert len(of) == after.fragments.count() == 90 and set(of.values()) <= {f"RandomModule_{b}" for b in range(4)}
+    assert all(of[f"f{i}"] == of[f"f{i + 30}"] for i in range(60))
+
+
 DECLS = "kind string, linkage string, in_main_file boolean, parent_kind string, is_inline boolean, is_definition boolean, is_method boolean, is_ctor_dtor boolean, is_implicit boolean, is_system boolean, name string, file string, begin_line int, begin_col int, prev_file string, prev_is_system boolean, def_file string"
 
 

@@ -31,6 +31,26 @@ def test_components(spark, join):
     assert got == [("A", "A"), ("B", "A"), ("C", "A"), ("D", "D"), ("E", "D")]
 
 
+def test_components_of_paths_stars_and_random_graphs(spark):
+    rng = random.Random(6)
+    name = lambda i: f"n{i:03d}"
+    order = rng.sample(range(60), 60)
+    shapes = [
+        [(order[i], order[i + 1]) for i in range(59)],
+        [(i, i + 1) for i in range(50)],
+        [(99, i) for i in range(20)] + [(0, i) for i in range(40, 60)],
+        [(rng.randrange(80), rng.randrange(80)) for _ in range(60)],
+    ]
+    for pairs in shapes:
+        label = {n: n for p in pairs for n in p if p[0] != p[1]}
+        for _ in label:
+            for a, b in pairs:
+                if a != b:
+                    label[a] = label[b] = min(label[a], label[b])
+        e = spark.createDataFrame([(name(a), name(b)) for a, b in pairs], "src string, dst string")
+        assert {r["node"]: r["component"] for r in graphs.label_components(graphs.no_loops(e)).collect()} == {name(n): name(c) for n, c in label.items()}
+
+
 def test_strong_components_against_reachability(spark):
     rng = random.Random(4)
     pairs = {(f"n{rng.randrange(25)}", f"n{rng.randrange(25)}") for _ in range(40)}

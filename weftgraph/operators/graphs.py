@@ -169,17 +169,30 @@ def components(edges: DataFrame, most: int | None = None) -> DataFrame:
 
 
 def label_components(edges: DataFrame) -> DataFrame:
-    """As components, for edges of any number: min labels with jumps."""
-    e = cut(edges.unionByName(reversed_edges(edges)).distinct())
-    labels = cut(e.groupBy(F.col("src").alias("node")).agg(F.least(F.min("dst"), F.first("src")).alias("label")))
-    while True:
-        near = e.join(labels.select(F.col("node").alias("dst"), "label"), "dst").groupBy(F.col("src").alias("node")).agg(F.min("label").alias("near"))
-        step = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("far"))
-        step = cut(step.join(jump, "label", "left").select("node", "old", F.least("label", F.coalesce("far", "label")).alias("label")))
-        labels = step.select("node", "label")
-        if empty(step.where("old <> label")):
-            return labels.withColumnRenamed("label", "component")
+    """As components, for edges of any number, by contraction.
+
+    Each node goes to the smallest of its neighbours if that is smaller than itself, and on to where that goes; edges
+    between what is then one are dropped, so each round has fewer. A path stays a path, and the smallest node of a
+    component goes nowhere: when no edge is left, all have come to it. The rounds' steps are joined from the last to
+    the first, as the last have the fewest rows.
+    """
+    e = cut(edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct())
+    rounds = []
+    while not empty(e):
+        low = cut(e.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("to")))
+        far = low.select(F.col("node").alias("to"), F.col("to").alias("far"))
+        step = cut(low.join(far, "to", "left").select("node", F.coalesce("far", "to").alias("to")))
+        rounds.append((e, step))
+        moved = e.join(step.toDF("a", "a_to"), "a", "left").join(step.toDF("b", "b_to"), "b")
+        a, b = F.coalesce("a_to", "a"), F.col("b_to")
+        e = cut(moved.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a <> b").distinct())
+    found = None
+    for e, step in reversed(rounds):
+        nodes = e.select(F.col("a").alias("node")).union(e.select("b")).distinct().join(step, "node", "left").select("node", F.coalesce("to", "node").alias("to"))
+        if found is not None:
+            nodes = nodes.join(found.toDF("to", "end"), "to", "left").select("node", F.coalesce("end", "to").alias("to"))
+        found = cut(nodes)
+    return edges.select(F.col("src").alias("node"), F.col("src").alias("component")).limit(0) if found is None else found.toDF("node", "component")
 
 
 def trimmed(edges: DataFrame) -> DataFrame:

@@ -7,11 +7,16 @@ Modules of a dependency are always derived by joining fragments, never stored.
 
 from __future__ import annotations
 
+from itertools import accumulate
+from math import gcd
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
+from .loops import cut
+
 KINDS = ("uses", "implements")
 
 
@@ -241,20 +246,52 @@ def bucket_plan(modules: DataFrame, buckets: int) -> DataFrame:
     return modules.agg(avg.alias("average")).withColumn("deviation", F.bround(F.sqrt(F.col("average") * F.col("average") / 12))).withColumn("overflow", F.bround(F.col("deviation") / 2)).select(*[F.col(c).cast("long").alias(c) for c in ("average", "deviation", "overflow")])
 
 
+#: Parts of a bucket that are ranked on their own.
+PARTS = 1024
+
+
 def random_buckets(modules: DataFrame, buckets: int, seed: int) -> DataFrame:
-    """(module, bucket): each module in a bucket at random; what exceeds a bucket's limit goes to the others.
+    """(module, bucket): each module in a bucket at random; what exceeds a bucket's limit, chosen at random, goes to
+    buckets that did not exceed it, of which none gets more than one over the limit.
 
-    Numbers are keyed hashes of names, so a lost task draws them again alike. If every bucket
-    overflows the excess stays.
+    Numbers are digests of seed and name, so a lost task draws them again alike. If there is too little room for all
+    that is over, the rest goes around once more; if every bucket is over, it stays. A module's rank in its bucket is
+    its rank in its part of it and the sizes of the parts before, so no bucket is sorted in one place. What comes to
+    the driver is a number a bucket.
     """
-    draw = lambda salt: F.xxhash64("module", F.lit(f"{seed}/{salt}"))
-    placed_ = modules.select("module").distinct().withColumn("bucket", F.pmod(draw("bucket"), F.lit(buckets)).cast("int"))
-    limit = F.broadcast(bucket_plan(modules.select("module").distinct(), buckets).select((F.col("average") + F.col("overflow")).alias("most")))
-    ranked = placed_.crossJoin(limit).withColumn("r", F.row_number().over(W.partitionBy("bucket").orderBy(draw("trim"), "module")))
-    full = [r[0] for r in ranked.where("r > most").select("bucket").distinct().collect()]  # at most `buckets` numbers
-    free = [b for b in range(buckets) if b not in full] or list(range(buckets))
-    to = F.element_at(F.array(*map(F.lit, free)), (F.pmod(draw("again"), F.lit(len(free))) + 1).cast("int"))
-    return ranked.select("module", F.when(F.col("r") > F.col("most"), to).otherwise(F.col("bucket")).alias("bucket"))
+    draw = lambda salt: F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}/{salt}/"), F.col("module"))), 1, 12), 16, 10).cast("long")
+    drawn = modules.select("module").distinct().select("module", F.pmod(draw("bucket"), F.lit(buckets)).cast("int").alias("bucket"), draw("trim").alias("trim"))
+    drawn = cut(drawn.withColumn("part", F.shiftright("trim", 48 - (PARTS - 1).bit_length())))
+    parts = cut(drawn.groupBy("bucket", "part").agg(F.count("*").alias("n")))
+    sizes = {r["bucket"]: r["n"] for r in parts.groupBy("bucket").agg(F.sum("n").alias("n")).collect()}
+    plan = bucket_plan(drawn, buckets).first()
+    most = (plan["average"] or 0) + (plan["overflow"] or 0)
+    room = [(b, most + 1 - sizes.get(b, 0)) for b in range(buckets) if sizes.get(b, 0) <= most]
+    if not room:
+        return drawn.select("module", "bucket")
+    before = F.coalesce(F.sum("n").over(W.partitionBy("bucket").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    ranked = drawn.join(parts.select("bucket", "part", before.alias("before")), ["bucket", "part"])
+    ranked = ranked.withColumn("r", F.col("before") + F.row_number().over(W.partitionBy("bucket", "part").orderBy("trim", "module")))
+    over = list(accumulate((max(0, sizes.get(b, 0) - most) for b in range(buckets)), initial=0))
+    ends = list(accumulate(n for _, n in room))
+    number = F.element_at(F.array(*map(F.lit, over)), F.col("bucket") + 1) + F.col("r") - most - 1
+    slot = F.pmod(F.pmod(number, F.lit(ends[-1])) * F.lit(stride(ends[-1])), F.lit(ends[-1]))
+    to = F.element_at(F.array(*[F.lit(b) for b, _ in room]), F.size(F.filter(F.array(*map(F.lit, ends)), lambda e: e <= slot)) + 1)
+    return ranked.select("module", F.when(F.col("r") > most, to).otherwise(F.col("bucket")).alias("bucket"))
+
+
+def stride(n: int) -> int:
+    """About 0.6 of n, or the next number without a divisor in common with it: its multiples modulo n come to each place once."""
+    at = max(1, round(0.618 * n))
+    while gcd(at, n) > 1:
+        at += 1
+    return at
+
+
+def random_modules(fragments: DataFrame, buckets: int, seed: int) -> DataFrame:
+    """Fragments with the modules of a bucket as one, named by its number; see random_buckets."""
+    to = random_buckets(fragments, buckets, seed).select("module", F.concat(F.lit("RandomModule_"), F.col("bucket").cast("string")).alias("name"))
+    return fragments.join(to, "module").select(F.col("name").alias("module"), "file").distinct()
 
 
 def module_list(fragments: DataFrame, imported: DataFrame) -> DataFrame:

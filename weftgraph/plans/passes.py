@@ -185,6 +185,12 @@ def join_forward_declared(state: State) -> State:
     return dataclasses.replace(state, fragments=cut(canonical_names(cut(joined))))
 
 
+@register
+def random_modules(state: State, buckets: int = 8, seed: int = 1) -> State:
+    """Modules put together at random, to hold a module structure against; it has no place in the order."""
+    return dataclasses.replace(state, fragments=cut(relational.random_modules(state.fragments, buckets, seed)))
+
+
 #: The order matters: the split sees header dependencies only, the merge sees all.
 ORDER = ("unique_files", "check_implementations", "split", "move_implementers", "merge", "join_forward_declared")
 

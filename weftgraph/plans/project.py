@@ -189,7 +189,7 @@ def run(spark: SparkSession, folder: str, out: str | None = None, database: str
     for name in ORDER if out is None else ORDER + OUTPUT:
         state = run_pass(name, state, database=database, **options)
     if out is not None:
-        writers.write_module_files(state.module_texts, f"{out}/modules")
+        writers.update_module_files(state.module_texts, f"{out}/modules")
         writers.texts_of(state.lines).write.mode("overwrite").json(f"{out}/sources")
         writers.write_module_list(state.directives, f"{out}/module-list")
     return state

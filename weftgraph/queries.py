@@ -118,7 +118,25 @@ def bucket_stats(spark, sf):
     return rel.bucket_plan(table(spark, sf, "part"), 24)
 
 
-@query()
+def _random_sql(modules: str, buckets: int, seed: int) -> str:
+    """Common table expressions from modules(module) on: `placed`(module, bucket), as relational.random_buckets gives it."""
+    draw = lambda salt: f"CAST('0x' || substr(md5('{seed}/{salt}/' || module), 1, 12) AS BIGINT)"
+    return f"""modules AS ({modules}), a AS (SELECT round_even(count(*) / {buckets}, 0) AS average FROM modules),
+limits AS (SELECT CAST(average + round_even(round_even(sqrt(average * average / 12), 0) / 2, 0) AS BIGINT) AS most FROM a),
+drawn AS (SELECT module, {draw("bucket")} % {buckets} AS bucket, {draw("trim")} AS trim FROM modules),
+ranked AS (SELECT module, bucket, row_number() OVER (PARTITION BY bucket ORDER BY trim, module) AS r FROM drawn),
+sizes AS (SELECT b AS bucket, count(module) AS n FROM range({buckets}) t(b) LEFT JOIN drawn ON bucket = b GROUP BY b),
+room AS (SELECT bucket, most + 1 - n AS slots, sum(most + 1 - n) OVER (ORDER BY bucket) AS last FROM sizes, limits WHERE n <= most),
+total AS (SELECT CAST(max(last) AS BIGINT) AS s FROM room),
+start AS (SELECT greatest(1, CAST(round_even(0.618 * s, 0) AS BIGINT)) AS first, s FROM total),
+stride AS (SELECT min(k) AS k, any_value(s) AS s FROM (SELECT unnest(range(first, first + s + 1)) AS k, s FROM start) WHERE gcd(k, s) = 1),
+over AS (SELECT module, bucket, row_number() OVER (ORDER BY bucket, r) - 1 AS number FROM ranked, limits WHERE r > most),
+slot AS (SELECT module, CAST((number % s) * k % s AS BIGINT) AS place FROM over, stride),
+moved AS (SELECT module, (SELECT min(bucket) FROM room WHERE last > place) AS target FROM slot),
+placed AS (SELECT r.module, CAST(coalesce(m.target, r.bucket) AS INTEGER) AS bucket FROM ranked r LEFT JOIN moved m USING (module))"""
+
+
+@query(f"WITH {_random_sql('SELECT DISTINCT p_name AS module FROM part', 24, 1)} SELECT module, bucket FROM placed")
 def random_buckets(spark, sf):
     return rel.random_buckets(table(spark, sf, "part").select(F.col("p_name").alias("module")), 24, 1)
 
@@ -407,6 +425,15 @@ def min_cut_value(spark, sf):
     return kernels.cut_values(_flow(spark, sf))
 
 
+#: A two-sided file of the second module is parted from the first where fewer uses cross; its other files, which meet in
+#: a hub, on their way out if no more uses leave than enter, else on their way in, if that is not cut at the hub itself.
+@query(f"""{_NETWORK}, h AS (SELECT cycle_id, coalesce(sum(i) FILTER (o = 0), 0) AS ti, coalesce(sum(o) FILTER (i = 0), 0) AS too FROM g WHERE NOT first GROUP BY cycle_id),
+x AS (SELECT g.cycle_id, file, CASE WHEN o > 0 AND i > 0 THEN CASE WHEN i < o THEN 'in' ELSE 'out' END WHEN too <= ti THEN CASE WHEN o > 0 THEN 'out' END WHEN NOT b AND i > 0 THEN 'in' END AS way FROM g JOIN h USING (cycle_id) WHERE NOT first)
+SELECT e.cycle_id, e.dependee, e.dependency FROM e JOIN x ON x.cycle_id = e.cycle_id AND ((way = 'out' AND e.dependee = x.file) OR (way = 'in' AND e.dependency = x.file))""")
+def cut_edges(spark, sf):
+    return kernels.cut_edges(_flow(spark, sf))
+
+
 @query()
 def files_to_move(spark, sf):
     return kernels.move_plans(_flow(spark, sf))
@@ -600,6 +627,16 @@ def known_item(spark, sf):
     return rel.has_item(fragments(spark, sf), deps(spark, sf), "Brand#11")
 
 
+@query(f"WITH {_random_sql('SELECT DISTINCT CAST(l_partkey AS VARCHAR) AS module FROM lineitem', 24, 2)}, held AS (SELECT DISTINCT 'RandomModule_' || bucket AS module, l_partkey, l_suppkey FROM lineitem JOIN placed ON module = CAST(l_partkey AS VARCHAR)) SELECT module, 'export module {fn.NAME_MARK}' || module || ';' AS head, count(*) AS files FROM held GROUP BY ALL")
+def random_modules(spark, sf):
+    """How many of the fine facts' files each random module includes by its text."""
+    from .sources.writers import module_texts as texts
+
+    state = passes.random_modules(State(fragments(spark, sf, True), uses(spark, sf, True)), 24, 2)
+    lines = texts(state.fragments, spark.createDataFrame([], "module string, dependency string")).withColumn("lines", F.split("text", "\n"))
+    return lines.select("module", F.col("lines")[0].alias("head"), F.size(F.filter("lines", lambda x: x.startswith("#include"))).cast("long").alias("files"))
+
+
 @query("SELECT count(DISTINCT p_name) AS modules, count(DISTINCT p_name) AS placed, true AS in_range FROM part")
 def random_bucket_totals(spark, sf):
     got = random_buckets(spark, sf)
