@@ -41,14 +41,14 @@ def test_components_of_paths_stars_and_random_graphs(spark):
         [(99, i) for i in range(20)] + [(0, i) for i in range(40, 60)],
         [(rng.randrange(80), rng.randrange(80)) for _ in range(60)],
     ]
-    for pairs in shapes:
-        label = {n: n for p in pairs for n in p if p[0] != p[1]}
-        for _ in label:
-            for a, b in pairs:
-                if a != b:
-                    label[a] = label[b] = min(label[a], label[b])
-        e = spark.createDataFrame([(name(a), name(b)) for a, b in pairs], "src string, dst string")
-        assert {r["node"]: r["component"] for r in graphs.label_components(graphs.no_loops(e)).collect()} == {name(n): name(c) for n, c in label.items()}
+    pairs = [(name(100 * k + a), name(100 * k + b)) for k, shape in enumerate(shapes) for a, b in shape]
+    label = {n: n for p in pairs for n in p if p[0] != p[1]}
+    for _ in label:
+        for a, b in pairs:
+            if a != b:
+                label[a] = label[b] = min(label[a], label[b])
+    got = graphs.label_components(graphs.no_loops(spark.createDataFrame(pairs, "src string, dst string")))
+    assert {r["node"]: r["component"] for r in got.collect()} == label and got.count() == len(label)
 
 
 def test_strong_components_against_reachability(spark):

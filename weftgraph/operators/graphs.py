@@ -171,17 +171,21 @@ def components(edges: DataFrame, most: int | None = None) -> DataFrame:
 def label_components(edges: DataFrame) -> DataFrame:
     """As components, for edges of any number, by contraction.
 
-    Each node goes to the smallest of its neighbours if that is smaller than itself, and on to where that goes; edges
-    between what is then one are dropped, so each round has fewer. A path stays a path, and the smallest node of a
-    component goes nowhere: when no edge is left, all have come to it. The rounds' steps are joined from the last to
+    Each node goes to the smallest of its neighbours if that is smaller than itself, and on by doubled steps to a node
+    that goes nowhere; edges between what is then one are dropped, so each round has fewer. A path stays a path, and
+    the smallest node of a component goes nowhere: when no edge is left, all have come to it. The rounds' steps are joined from the last to
     the first, as the last have the fewest rows.
     """
     e = cut(edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct())
     rounds = []
     while not empty(e):
-        low = cut(e.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("to")))
-        far = low.select(F.col("node").alias("to"), F.col("to").alias("far"))
-        step = cut(low.join(far, "to", "left").select("node", F.coalesce("far", "to").alias("to")))
+        step = cut(e.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("to")))
+        while True:
+            far = step.select(F.col("node").alias("to"), F.col("to").alias("far"))
+            jumped = cut(step.join(far, "to", "left").select("node", F.coalesce("far", "to").alias("to"), F.col("far").isNotNull().alias("on")))
+            step = jumped.select("node", "to")
+            if empty(jumped.where("on")):
+                break
         rounds.append((e, step))
         moved = e.join(step.toDF("a", "a_to"), "a", "left").join(step.toDF("b", "b_to"), "b")
         a, b = F.coalesce("a_to", "a"), F.col("b_to")
