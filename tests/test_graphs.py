@@ -246,3 +246,15 @@ def test_contracted_networks_have_the_same_cuts(spark):
     small = {r["cycle_id"]: r["count"] for r in graphs.contracted(flow).groupBy("cycle_id").count().collect()}
     full = {r["cycle_id"]: r["count"] for r in flow.groupBy("cycle_id").count().collect()}
     assert all(small[c] < full[c] for c in full)
+
+
+def test_cycles_of_three_are_met_at_their_node_of_fewest_edges(spark):
+    """Random edges of one way only beside a hub, against the search from every node."""
+    rng = random.Random(21)
+    pairs = {(min(a, b), max(a, b)) for a, b in ((rng.randrange(40), rng.randrange(40)) for _ in range(130)) if a != b}
+    turned = sorted({(f"n{a:02}", f"n{b:02}") if rng.random() < 0.5 else (f"n{b:02}", f"n{a:02}") for a, b in pairs} | {("hub", f"n{i:02}") for i in range(0, 40, 2)} | {(f"n{i:02}", "hub") for i in range(1, 40, 2)})
+    want = sorted(kernels.shortest_cycles(turned))
+    assert {len(c) for _, c in want} == {4}
+    e = spark.createDataFrame(turned, "src string, dst string")
+    assert sorted((r["node"], r["cycle"]) for r in graphs.triangles(e).collect()) == want
+    assert sorted((r["node"], r["cycle"]) for r in graphs.search_cycles(e).collect()) == want
