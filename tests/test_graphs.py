@@ -258,3 +258,15 @@ def test_cycles_of_three_are_met_at_their_node_of_fewest_edges(spark):
     e = spark.createDataFrame(turned, "src string, dst string")
     assert sorted((r["node"], r["cycle"]) for r in graphs.triangles(e).collect()) == want
     assert sorted((r["node"], r["cycle"]) for r in graphs.search_cycles(e).collect()) == want
+
+
+def test_a_large_module_is_named_by_pieces(spark, monkeypatch):
+    """No module's files are gathered: names are the same whatever the pieces."""
+    from weftgraph.plans import passes
+
+    files = [("M", f"d/f{i}.h") for i in range(300)] + [("N", "only.c"), ("O", "é/ü"), ("O", "a")]
+    monkeypatch.setattr(passes, "PIECE", 64)
+    f = spark.createDataFrame([*files, ("M", "d/f7.h")], "module string, file string")
+    got = {(r["module"], r["file"]) for r in passes.canonical_names(f).collect()}
+    assert got == {(kernels.name_of([g for n, g in files if n == m]), x) for m, x in files}
+    assert sum(r["n"] for r in passes.module_digests(f).collect()) == 303

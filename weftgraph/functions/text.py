@@ -96,8 +96,13 @@ def module_import(name: Column) -> Column:
 def module_name(files: Column, digits: int = 7) -> Column:
     """A name for a set of files: by the digest of the sorted names; of one file also its stem; null for none."""
     ordered = F.sort_array(files)
-    name = F.concat(F.lit("Module_"), F.substring(F.md5(F.array_join(ordered, ",").cast("binary")), 1, digits))
-    return F.when(F.size(files) > 1, name).when(F.size(files) == 1, F.concat(name, F.lit("_"), stem(F.element_at(ordered, 1))))
+    return digest_name(F.md5(F.array_join(ordered, ",").cast("binary")), F.size(files), F.get(ordered, F.lit(0)), digits)
+
+
+def digest_name(digest: Column, n: Column, first: Column, digits: int = 7) -> Column:
+    """As module_name, of n files with this digest, the first of them in order."""
+    name = F.concat(F.lit("Module_"), F.substring(digest, 1, digits))
+    return F.when(n > 1, name).when(n == 1, F.concat(name, F.lit("_"), stem(first)))
 
 
 def place(text: Column) -> Column:

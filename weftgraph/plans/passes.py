@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import dataclasses
+import hashlib
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import HEADERS, module_name, rotated
+from ..functions.text import HEADERS, digest_name, module_name, rotated
 from ..operators import graphs, kernels, relational
-from ..operators.loops import cut, empty, stored
+from ..operators.loops import cut, empty, on_workers, stored
 from .model import State, register, run_pass
 
 
@@ -24,12 +27,62 @@ def distinct_cycles(found: DataFrame) -> DataFrame:
     return c.select(F.array_join("c", ",").alias("cycle_id"), F.concat("c", F.slice("c", F.lit(1), F.lit(1))).alias("cycle"))
 
 
+#: Bytes of names put together before a module's digest is taken.
+PIECE = 1 << 20
+
+
+def name_pieces(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(module, first, n, names) of rows(module, file) in order: names joined by commas, about PIECE bytes a row."""
+    module, held, size = None, [], 0
+    made = lambda: pa.RecordBatch.from_pydict({"module": [module], "first": [held[0]], "n": [len(held)], "names": [",".join(held)]})
+    for b in rows:
+        for m, f in zip(b.column("module").to_pylist(), b.column("file").to_pylist()):
+            if held and (m != module or size >= PIECE):
+                yield made()
+                held, size = [], 0
+            module = m
+            held.append(f)
+            size += len(f) + 1
+    if held:
+        yield made()
+
+
+def digests(pieces: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(module, first, n, digest) of pieces in order: one row a module, of which no more than a piece is held."""
+    row, digest = None, None
+    made = lambda: pa.RecordBatch.from_pydict({"module": [row[0]], "first": [row[1]], "n": [row[2]], "digest": [digest.hexdigest()]})
+    for b in pieces:
+        for m, first, n, names in zip(*(b.column(c).to_pylist() for c in ("module", "first", "n", "names"))):
+            if row and row[0] == m:
+                digest.update(b"," + names.encode())
+                row[2] += n
+            else:
+                if row:
+                    yield made()
+                row, digest = [m, first, n], hashlib.md5(names.encode())
+    if row:
+        yield made()
+
+
+def module_digests(fragments: DataFrame) -> DataFrame:
+    """(module, first, n, digest): of each module's files in order the first, their number, and the digest of all names.
+
+    A module may hold most files, so none is gathered as an array: files are ordered by ranges, and one module's pieces
+    go through its digest one after another.
+    """
+    on_workers(fragments.sparkSession)
+    files = stored(fragments.where("module is not null and file is not null").select("module", "file").distinct())
+    ordered = files.repartitionByRange("module", "file").sortWithinPartitions("module", "file")
+    pieces = ordered.mapInArrow(name_pieces, "module string, first string, n long, names string")
+    return pieces.repartition("module").sortWithinPartitions("module", "first").mapInArrow(digests, "module string, first string, n long, digest string")
+
+
 def canonical_names(fragments: DataFrame) -> DataFrame:
     """Fragments with each module named by its files; where names meet, more of the digest tells them apart."""
-    modules = cut(fragments.groupBy("module").agg(F.collect_set("file").alias("files")))
+    modules = stored(module_digests(fragments))
     digits = 7
     while True:
-        named = modules.select("module", module_name(F.col("files"), digits).alias("name"))
+        named = modules.select("module", digest_name(F.col("digest"), F.col("n"), F.col("first"), digits).alias("name"))
         if digits >= 32 or empty(named.groupBy("name").count().where("count > 1")):
             return fragments.join(named, "module").select(F.col("name").alias("module"), "file")
         digits += 1
@@ -168,7 +221,7 @@ def merge(state: State) -> State:
     """
     of = graphs.strong_components(module_edges(state)).toDF("module", "component")
     joined = state.fragments.join(of, "module", "left").select(F.coalesce("component", "module").alias("module"), "file")
-    return dataclasses.replace(state, fragments=cut(canonical_names(cut(joined))))
+    return dataclasses.replace(state, fragments=stored(canonical_names(stored(joined))))
 
 
 @register
