@@ -270,3 +270,16 @@ def test_a_large_module_is_named_by_pieces(spark, monkeypatch):
     got = {(r["module"], r["file"]) for r in passes.canonical_names(f).collect()}
     assert got == {(kernels.name_of([g for n, g in files if n == m]), x) for m, x in files}
     assert sum(r["n"] for r in passes.module_digests(f).collect()) == 303
+
+
+def test_many_small_components_one_behind_another_take_few_passes(spark, monkeypatch):
+    """Cycles of three nodes, of which each leads to random later ones: colours alone would find few of them a pass."""
+    rng = random.Random(8)
+    n = 120
+    pairs = {(f"{x}{i}", f"{y}{i}") for i in range(n) for x, y in ("ab", "bc", "ca")}
+    pairs |= {(f"{rng.choice('abc')}{i}", f"{rng.choice('abc')}{j}") for i, j in ((rng.randrange(n), rng.randrange(n)) for _ in range(700)) if i < j}
+    passes, colored = [], graphs.colored
+    monkeypatch.setattr(graphs, "colored", lambda e, nth: passes.append(nth) or colored(e, nth))
+    got = {r["node"]: r["component"] for r in graphs.color_components(spark.createDataFrame(sorted(pairs), "src string, dst string")).collect()}
+    assert got == dict(kernels.strong_components(sorted(pairs))) and len(set(got.values())) == n
+    assert len(passes) <= 6
