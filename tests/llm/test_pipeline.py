@@ -1,11 +1,12 @@
 """The pipeline against a plain version of each stage on what the stage before it kept."""
 
+import random
 import re
 
 from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
-from weftgraph.llm import pii
+from weftgraph.llm import pii, simhash
 from weftgraph.llm.common import table
 
 SF = "/root/testdata/sf0.001"
@@ -79,3 +80,22 @@ def test_near_copies(spark):
             least[z] = min(least.get(z, i), i)
     got = sorted(r["doc_id"] for r in cp.one_of_each(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF).collect())
     assert long and got == sorted(least.values())
+
+
+def test_no_pair_at_the_threshold_is_missed(spark):
+    """Texts of 60 to 400 words against copies with changed words all over, of similarity 0.8 or just under: the pairs that
+    meet it, and no others, are one group."""
+    rng = random.Random(5)
+    rows, alike = [], []
+    for k in range(600):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(rng.choice([60, 120, 200, 400]))]
+        n = len(words) - 4
+        other = list(words)
+        places = rng.sample(range(len(words)), len(words))
+        similarity = lambda o: (b := len({tuple(words[i : i + 5]) for i in range(n)} & {tuple(o[i : i + 5]) for i in range(n)})) / (2 * n - b)
+        while similarity(other) >= 0.84:
+            other[places.pop()] = f"x{rng.randrange(10**6)}"
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(other))]
+        alike.append(similarity(other) >= 0.8)
+    label = {r["doc_id"]: r["label"] for r in simhash.grouped(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert 200 < sum(alike) < 600 and [label[2 * k] == label[2 * k + 1] for k in range(600)] == alike

@@ -6,16 +6,14 @@ other. Repeated rows and equal texts share a fingerprint, hence a component. A c
 smallest doc_id; null ids are kept and never become an id unless a component has no other.
 
 deduplicate_similar: texts whose sets of five-word shingles are similar by SIMILAR or more (Jaccard) are
-near copies, copies of copies are one group, and one document of each group stays. At that similarity
-fingerprints of five-word shingles differ in 15 % of their bits, too many for the ball of a long one. So a
-text has WORDS fingerprints of BITS bits, of its set of two-word shingles (a changed word changes two of
-these, not five); each emits all its variants within half the radius, who shares a variant is a
-candidate unless the long fingerprints of five-word shingles are too far apart, and the five-word sets decide. A block of
-words that one text has and the other has not moves too many bits of those, so a text is also cut in two at the word pair
-of least hash, CUTS times by hashes of their own, and the fingerprint of each piece is a key as it is: the block is in
-one piece, and the other is the same. Texts under five words have one shingle, all their words; texts without a
-word have none and are copies of each other. Case and the kind of white space do not count. Equal sets
-are one node before anything travels, named by a 64-bit hash of the set.
+near copies, copies of copies are one group, and one document of each group stays. Candidates are found by
+prefix filtering, which misses none: two sets that are similar enough share one of the first shingles of
+each in any one order of all shingles, a fifth of a set and one more (else too few would be left to share). The order
+has rare shingles first, as far as a sample knows them, so few sets share one; it is the same for all texts, so what the sample
+holds never decides what is found. The sizes of two sets and the parities of their shingles by 512 places bound their
+similarity from above; what these leave is decided by the sets. Texts under five words have one shingle, all
+their words; texts without a word have none and are copies of each other. Case and the kind of white space do not
+count. Equal sets are one node before anything travels, named by a 64-bit hash of the set.
 
 Columns other than doc_id and text are not read; deduplicate and deduplicate_similar pass them through,
 whatever their names.
@@ -36,15 +34,16 @@ from .common import bounded, components, cut, flat, fresh, on_workers, slices
 #: Bits by which linked fingerprints may differ, and what each side of a meeting flips.
 RADIUS, HALF = 2, 1
 SHINGLE, SEED = 3, 42
-#: Near copies: words in a shingle that decides, and in one that finds candidates; similarity.
-LONG_SHINGLE, PAIR, SIMILAR = 5, 2, 0.8
-#: Fingerprints of a text, and bits of each: the more bits the fewer chance candidates, the more fingerprints the fewer misses.
-WORDS, BITS = 12, 40
-#: 64-bit fingerprints of five-word shingles, and bits by which candidates may differ in all of them: at similarity
-#: 0.8 the mean is 78 of 512, the deviation 8.
-LONG, APART = 8, 96
+#: Near copies: words in a shingle, and similarity.
+LONG_SHINGLE, SIMILAR = 5, 0.8
+#: Approximate keys: words in a shingle; fingerprints of a text, and bits of each; 64-bit fingerprints of a set.
+PAIR, WORDS, BITS, LONG = 2, 12, 40, 8
 #: Cuts of a text, and the least share of its words (one in so many) that a piece has; keys of pieces come after those of fingerprints.
 CUTS, SHARE, PIECES = 4, 8, 16
+#: Documents, about, in which shingles are counted, and how many of the most frequent are told from the others.
+SAMPLE, COMMON = 4_000, 100_000
+#: Places by which a set's shingles are counted modulo 2, a power of 2.
+PLACES = 512
 LANES = np.uint64(0x0101010101010101)
 
 _SPACE = np.zeros(256, bool)
@@ -182,56 +181,32 @@ def sets(word: np.ndarray, count: np.ndarray, k: int) -> tuple[np.ndarray, np.nd
 _ODD = np.random.default_rng(SEED).integers(1 << 63, size=(2, max(WORDS, LONG, LONG_SHINGLE)), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def long_fingerprints(h: np.ndarray, at: np.ndarray, n: int = LONG) -> np.ndarray:
-    """n fingerprints of 64 bits of each set, each of hashes mixed anew."""
-    out = np.zeros((len(at) - 1, n), np.uint64)
-    for k in range(n):
-        x = (h ^ (h >> np.uint64(31))) * _ODD[0, k]
-        x = (x ^ (x >> np.uint64(29))) * _ODD[1, k]
-        out[:, k] = majority(x ^ (x >> np.uint64(32)), np.diff(at))
-    return out.view(np.int64)
+def prefixes(h: np.ndarray, at: np.ndarray, common: np.ndarray, often: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first shingles of each set, of which a similar set shares one, and where each set's begin; the order is that of
+    `often` (0 for those not in `common`, which is sorted), then of the hashes."""
+    size = np.diff(at)
+    of = np.repeat(np.arange(len(size)), size)
+    rank = np.zeros(len(h), np.int64)
+    if len(common):
+        found = np.minimum(np.searchsorted(common, h), len(common) - 1)
+        rank = np.where(common[found] == h, often[found], 0)
+    h = h[np.argsort(of << 32 | rank, kind="stable")]
+    most = np.where(size > 0, size - np.ceil(SIMILAR * size - 1e-9).astype(np.int64) + 1, 0)
+    return h[np.arange(len(h)) - at[:-1][of] < most[of]], np.concatenate([[0], np.cumsum(most)])
 
 
-def word_fingerprints(h: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Each set's WORDS fingerprints of BITS bits, cut from as many 64-bit ones as it takes."""
-    n, size = len(at) - 1, BITS // 8
-    bits = long_fingerprints(h, at, -(-WORDS * size // 8))
-    out = np.zeros((n, WORDS, 8), np.uint8)
-    out[:, :, :size] = bits.view(np.uint8)[:, : WORDS * size].reshape(n, WORDS, size)
-    return out.view(np.int64)[:, :, 0]
+def parities(h: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether an odd number of a set's shingles falls to each of PLACES, as 64-bit numbers; two sets differ in no more of
+    these than in shingles."""
+    n = len(at) - 1
+    of = np.repeat(np.arange(n), np.diff(at))
+    place = ((h ^ (h >> np.uint64(31))) * _ODD[0, 0] >> np.uint64(64 - PLACES.bit_length() + 1)).astype(np.int64)
+    odd = np.bincount(of * PLACES + place, minlength=n * PLACES).reshape(n, PLACES) & 1
+    return np.packbits(odd.astype(np.uint8), axis=1).view(np.int64)
 
 
-def piece_keys(word: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """Each text's 2 * CUTS keys, -1 for a piece that is too small; word: the hash of each word, count: words of each text."""
-    n, ends = len(count), np.cumsum(count)
-    of = np.repeat(np.arange(n), count)
-    pair = np.zeros(len(word), np.uint64)
-    pair[:-1] = word[:-1] * _ODD[0, 0] + word[1:] * _ODD[0, 1]
-    # 40 bits of a pair's hash above the place in the text; a text's last word begins no pair.
-    place = np.arange(len(word)) - (ends - count)[of]
-    last = place == count[of] - 1
-    full = np.flatnonzero(count > 1)
-    out = np.full((n, 2 * CUTS), -1, np.int64)
-    for k in range(CUTS):
-        x = (pair ^ (pair >> np.uint64(29))) * _ODD[1, k]
-        x = np.where(last, np.uint64(0xFFFFFFFFFFFFFFFF), x >> np.uint64(1))
-        left = np.zeros(n, np.int64)
-        if len(full):
-            least = np.minimum.reduceat(x, (ends - count)[full])
-            best = np.zeros(n, np.uint64)
-            best[full] = least
-            at = np.flatnonzero((x == best[of]) & ~last)
-            left[of[at[::-1]]] = place[at[::-1]] + 1  # of equal ones the first
-        sizes = np.stack([left, count - left], 1)
-        prints = long_fingerprints(*sets(word, sizes.ravel(), PAIR), 1).reshape(n, 2).view(np.uint64) >> np.uint64(64 - BITS)
-        big = (sizes * SHARE >= count[:, None]) & (left > 0)[:, None]
-        keys = (np.arange(2) + PIECES + 2 * k << BITS) + prints.astype(np.int64)
-        out[:, 2 * k : 2 * k + 2] = np.where(big, keys, -1)
-    return out
-
-
-def _lists(rows: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]), pa.array(rows.ravel()))
+def _lists(values: np.ndarray, at: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(values))
 
 
 def _packed(h: np.ndarray, at: np.ndarray) -> list[bytes]:
@@ -247,14 +222,35 @@ def _unpacked(raw: pa.Scalar) -> np.ndarray:
     return out.view(np.uint64)[:, 0]
 
 
-def _sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in slices(batches, "text"):
-        word, count = hashed(*flat(b.column("text")), 1)
-        h, at = sets(word, count, LONG_SHINGLE)
-        node = np.fromiter((xxhash.xxh64_intdigest(x, SEED) for x in _packed(h, at)), np.uint64, b.num_rows)
-        words = word_fingerprints(*sets(word, count, PAIR))
-        cols = [b.column("doc_id"), b.column("hash"), pa.array(node.view(np.int64)), pa.array(np.diff(at)), _lists(words), _lists(piece_keys(word, count)), _lists(long_fingerprints(h, at))]
-        yield pa.RecordBatch.from_arrays(cols, ["doc_id", "hash", "node", "size", "words", "pieces", "far"])
+        h, n = np.unique(sets(*hashed(*flat(b.column("text")), 1), LONG_SHINGLE)[0], return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["shingle", "n"])
+
+
+def common_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent shingles of a sample of texts(text, hash), sorted, and how often each is there."""
+    parts = -(-texts.count() // SAMPLE)
+    sample = texts.where(F.pmod("hash", F.lit(parts)) == 0) if parts > 1 else texts
+    held = sample.select("text").mapInArrow(_count_batches, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    rows = sorted(map(tuple, held.where("n > 1").orderBy(F.desc("n"), "shingle").limit(COMMON).collect()))
+    return np.array([r[0] for r in rows], np.uint64), np.array([r[1] for r in rows], np.int64)
+
+
+def sketches(texts: DataFrame) -> DataFrame:
+    """(doc_id, hash, node, size, prefix, odd): the set's name, size, first shingles and parities of each of texts(doc_id, text, hash)."""
+    shared = texts.sparkSession.sparkContext.broadcast(common_shingles(texts))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "text"):
+            h, at = sets(*hashed(*flat(b.column("text")), 1), LONG_SHINGLE)
+            node = np.fromiter((xxhash.xxh64_intdigest(x, SEED) for x in _packed(h, at)), np.uint64, b.num_rows)
+            first, first_at = prefixes(h, at, *shared.value)
+            odd = parities(h, at)
+            lists = [_lists(first.view(np.int64), first_at), _lists(odd.ravel(), np.arange(b.num_rows + 1) * odd.shape[1])]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("hash"), pa.array(node.view(np.int64)), pa.array(np.diff(at)), *lists], ["doc_id", "hash", "node", "size", "prefix", "odd"])
+
+    return texts.mapInArrow(run, "doc_id long, hash long, node long, size long, prefix array<long>, odd array<long>")
 
 
 def _set_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -280,24 +276,10 @@ def _similar(pairs: DataFrame, held: DataFrame) -> DataFrame:
     return cut(pairs.select("a", "b", "held_a", "held_b").mapInArrow(_similar_batches, "a long, b long"))
 
 
-def _may_be_alike(size: Column, far: Column, size_b: Column, far_b: Column) -> Column:
-    """No similarity exceeds that of the sizes; and the long fingerprints of similar sets are not far apart."""
-    bits = F.aggregate(F.zip_with(far, far_b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
-    return (F.least(size, size_b) >= SIMILAR * F.greatest(size, size_b) - 1e-9) & (bits <= APART)
-
-
-def _first_shared(words: Column, words_b: Column, pieces: Column, pieces_b: Column) -> Column:
-    """Of the keys that two nodes share, the one that stands for the pair; so a pair is met once."""
-
-    def shared(x: Column, y: Column, t: Column) -> Column:
-        differ = x.bitwiseXOR(y)
-        n = F.bit_count(differ)
-        key = F.when(n == 0, x).when(n == 1, F.least(x, y)).otherwise(x.bitwiseXOR(differ.bitwiseAND(-differ)))
-        return F.when(n <= RADIUS, _key(t, key))
-
-    each = F.zip_with(F.arrays_zip(words.alias("x"), F.sequence(F.lit(0), F.size(words) - 1).alias("t")), words_b, lambda p, y: shared(p["x"], y, p["t"]))
-    same = F.zip_with(pieces, pieces_b, lambda x, y: F.when((x == y) & (x >= 0), x))
-    return F.get(F.filter(F.concat(each, same), lambda k: k.isNotNull()), F.lit(0))
+def _may_be_alike(size: Column, odd: Column, size_b: Column, odd_b: Column) -> Column:
+    """No similarity exceeds that of the sizes; and sets that are similar enough differ in few shingles, so in few parities."""
+    bits = F.aggregate(F.zip_with(odd, odd_b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    return (F.least(size, size_b) >= SIMILAR * F.greatest(size, size_b) - 1e-9) & (bits <= (size + size_b) * ((1 - SIMILAR) / (1 + SIMILAR)) + 1e-6)
 
 
 def _band(size: Column) -> Column:
@@ -305,54 +287,56 @@ def _band(size: Column) -> Column:
     return F.floor(F.log(size.cast("double")) / F.log(F.lit(1 / SIMILAR)) + 1e-9).cast("int")
 
 
-def _key(t: Column, variant: Column) -> Column:
-    return F.shiftleft(t.cast("long"), BITS) + variant
-
-
 def grouped(docs: DataFrame) -> DataFrame:
     """(doc_id, hash, node, label), a row for each row of docs; hash is one of the text, label stands for a group.
 
-    Of the nodes that share a variant, all are first compared with the one of least number. Most of a group of
-    copies are then in one component, and only nodes outside their variant's largest component are compared
-    with all of the others; no pair that could join two components is left out.
+    Of the nodes that share a key (a shingle of their prefixes), in an order drawn for each key, all are first compared
+    with the first and with the one before. Most of a group of copies are then in one component, even if not all are
+    similar to each other, and only nodes outside their key's largest component are compared with all of the others; no
+    pair that could join two components is left out.
     """
     on_workers(docs.sparkSession)
     plain = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64("text").alias("hash"))
-    rows = cut(plain.mapInArrow(_sketch_batches, "doc_id long, hash long, node long, size long, words array<long>, pieces array<long>, far array<long>"))
-    nodes = cut(rows.where("size > 0").groupBy("node").agg(F.min("size").alias("size"), F.first("words").alias("words"), F.first("pieces").alias("pieces"), F.first("far").alias("far"), F.min(F.struct("doc_id", "hash")).alias("one")))
-    flips = F.concat(F.array(F.lit(0).cast("long")), F.transform(F.sequence(F.lit(0), F.lit(BITS - 1)), lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), i)))
-    words = nodes.select("node", F.posexplode("words").alias("t", "word"))
-    variants = words.select("node", "t", "word", F.explode(flips).alias("flip")).select("node", _key(F.col("t"), F.col("word").bitwiseXOR(F.col("flip"))).alias("key"))
-    variants = variants.unionByName(nodes.select("node", F.explode("pieces").alias("key")).where("key >= 0"))
-    # The first of its variant tells the others its number; a node is alone if nobody else has the variant.
-    ruled = variants.selectExpr("node", "key", "first(node) over (partition by key order by node) as first", "lead(node) over (partition by key order by node) as next")
-    shared = ruled.where("first <> node or next is not null")
-    # Of a node at most (BITS + 1) * WORDS + 2 * CUTS keys.
-    keyed = shared.groupBy("node").agg(F.collect_list("key").alias("keys"), F.array_except(F.collect_set("first"), F.array("node")).alias("firsts"))
+    rows = cut(sketches(plain))
+    held_by_node = rows.where("size > 0").groupBy("node")
+    keys = held_by_node.agg(F.first("prefix").alias("prefix")).select("node", F.explode("prefix").alias("key"))
+    nodes = held_by_node.agg(F.min("size").alias("size"), F.first("odd").alias("odd"), F.min(F.struct("doc_id", "hash")).alias("one"))
+    # The first of its key and the one before tell a node their numbers; it is alone if nobody else has the key.
+    drawn = "over (partition by key order by xxhash64(node, key), node)"
+    ruled = keys.selectExpr("node", "key", f"first(node) {drawn} as first", f"lag(node) {drawn} as before", f"lead(node) {drawn} as next")
+    shared = ruled.where("before is not null or next is not null")
+    # Of a node at most a fifth of its shingles, and one.
+    keyed = shared.groupBy("node").agg(F.collect_list("key").alias("keys"), F.array_except(F.array_union(F.collect_set("first"), F.collect_set("before")), F.array("node")).alias("firsts"))
     keyed = cut(keyed.join(nodes, "node"))
     other = lambda names: keyed.select(*[F.col(c).alias(f"{c}_b") for c in names])
-    first = keyed.select("node", "size", "far", F.explode("firsts").alias("node_b")).join(other(["node", "size", "far"]), "node_b")
-    first = cut(first.where(_may_be_alike(F.col("size"), F.col("far"), F.col("size_b"), F.col("far_b"))).select(F.col("node_b").alias("a"), F.col("node").alias("b")))
-    # Sets of nodes that share a variant, each from one of its texts.
+    first = keyed.select("node", "size", "odd", F.explode("firsts").alias("node_b")).join(other(["node", "size", "odd"]), "node_b")
+    first = cut(first.where(_may_be_alike(F.col("size"), F.col("odd"), F.col("size_b"), F.col("odd_b"))).select(F.least("node", "node_b").alias("a"), F.greatest("node", "node_b").alias("b")).distinct())
     one = cut(keyed.select("node", F.col("one.doc_id").alias("one_id"), F.col("one.hash").alias("one_hash")))
-    held = plain.join(bounded(one), F.col("hash").eqNullSafe(F.col("one_hash")) & F.col("doc_id").eqNullSafe(F.col("one_id")))
-    held = cut(held.select("node", "text").mapInArrow(_set_batches, "node long, held binary").groupBy("node").agg(F.first("held").alias("held")))
-    label = components(_similar(first, held))
+
+    def held(pairs: DataFrame) -> DataFrame:
+        """(node, held): the sets of the pairs' nodes, each from one of its texts."""
+        asked = cut(one.join(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "node", "left_semi"))
+        texts = plain.join(bounded(asked), F.col("hash").eqNullSafe(F.col("one_hash")) & F.col("doc_id").eqNullSafe(F.col("one_id")))
+        return cut(texts.select("node", "text").mapInArrow(_set_batches, "node long, held binary").groupBy("node").agg(F.first("held").alias("held")))
+
+    label = components(_similar(first, held(first)))
     known = cut(keyed.join(label, "node", "left").withColumn("label", F.coalesce("label", "node")))
-    # Keys whose nodes are of several components, by counts alone; the rest of what a node has joins only those.
+    # Keys whose nodes are of several components, by counts alone; the rest of what a node has joins only those. Of up to
+    # three nodes all pairs were compared.
     member = known.select("node", "label", F.explode("keys").alias("key"))
     held_by = member.groupBy("key", "label").agg(F.count("*").alias("n"))
-    several = cut(held_by.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("labels")).where("labels > 1").select("key", "main"))
+    several = cut(held_by.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("labels"), F.sum("n").alias("n")).where("labels > 1 and n > 3").select("key", "main"))
     mixed = cut(member.join(several, "key"))
-    about = known.select("node", "size", "words", "pieces", "far")
+    about = known.select("node", "size", "odd")
     outside = mixed.where("label <> main").join(about, "node").withColumn("band", _band(F.col("size")))
     others = mixed.join(about, "node").withColumn("band", F.explode(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda d: _band(F.col("size")) + d)))
-    others = others.select("key", "band", *[F.col(c).alias(f"{c}_b") for c in ("node", "size", "words", "pieces", "far", "label")])
+    others = others.select("key", "band", *[F.col(c).alias(f"{c}_b") for c in ("node", "size", "odd", "label")])
     once = (F.col("label_b") == F.col("main")) | (F.col("node") < F.col("node_b"))
-    alike = _may_be_alike(F.col("size"), F.col("far"), F.col("size_b"), F.col("far_b"))
-    rest = outside.join(others, ["key", "band"]).where((F.col("label") != F.col("label_b")) & once & alike & (F.col("key") == _first_shared(F.col("words"), F.col("words_b"), F.col("pieces"), F.col("pieces_b"))))
-    rest = rest.select(F.least("node", "node_b").alias("a"), F.greatest("node", "node_b").alias("b"))
-    more = _similar(rest.join(first, ["a", "b"], "left_anti"), held)
+    alike = _may_be_alike(F.col("size"), F.col("odd"), F.col("size_b"), F.col("odd_b"))
+    rest = outside.join(others, ["key", "band"]).where((F.col("label") != F.col("label_b")) & once & alike)
+    rest = rest.select(F.least("node", "node_b").alias("a"), F.greatest("node", "node_b").alias("b")).distinct()
+    rest = cut(rest.join(first, ["a", "b"], "left_anti"))
+    more = _similar(rest, held(rest))
     # What these pairs join are the groups found so far.
     of = known.select("node", "label")
     more = more.join(of.toDF("a", "label_a"), "a").join(of.toDF("b", "label_b"), "b").select("label_a", "label_b").distinct()
@@ -363,6 +347,60 @@ def grouped(docs: DataFrame) -> DataFrame:
     return rows.join(label, "node", "left").select("doc_id", "hash", "node", F.coalesce("label", "node").alias("label"))
 
 
+# ---- keys that most near copies share; deduplicate_similar, which may miss none, goes by prefixes
+
+
+def long_fingerprints(h: np.ndarray, at: np.ndarray, n: int = LONG) -> np.ndarray:
+    """n fingerprints of 64 bits of each set, each of hashes mixed anew."""
+    out = np.zeros((len(at) - 1, n), np.uint64)
+    for k in range(n):
+        x = (h ^ (h >> np.uint64(31))) * _ODD[0, k]
+        x = (x ^ (x >> np.uint64(29))) * _ODD[1, k]
+        out[:, k] = majority(x ^ (x >> np.uint64(32)), np.diff(at))
+    return out.view(np.int64)
+
+
+def word_fingerprints(h: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Each set's WORDS fingerprints of BITS bits, cut from as many 64-bit ones as it takes."""
+    n, size = len(at) - 1, BITS // 8
+    bits = long_fingerprints(h, at, -(-WORDS * size // 8))
+    out = np.zeros((n, WORDS, 8), np.uint8)
+    out[:, :, :size] = bits.view(np.uint8)[:, : WORDS * size].reshape(n, WORDS, size)
+    return out.view(np.int64)[:, :, 0]
+
+
+def piece_keys(word: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Each text's 2 * CUTS keys, -1 for a piece that is too small; word: the hash of each word, count: words of each text."""
+    n, ends = len(count), np.cumsum(count)
+    of = np.repeat(np.arange(n), count)
+    pair = np.zeros(len(word), np.uint64)
+    pair[:-1] = word[:-1] * _ODD[0, 0] + word[1:] * _ODD[0, 1]
+    # 40 bits of a pair's hash above the place in the text; a text's last word begins no pair.
+    place = np.arange(len(word)) - (ends - count)[of]
+    last = place == count[of] - 1
+    full = np.flatnonzero(count > 1)
+    out = np.full((n, 2 * CUTS), -1, np.int64)
+    for k in range(CUTS):
+        x = (pair ^ (pair >> np.uint64(29))) * _ODD[1, k]
+        x = np.where(last, np.uint64(0xFFFFFFFFFFFFFFFF), x >> np.uint64(1))
+        left = np.zeros(n, np.int64)
+        if len(full):
+            least = np.minimum.reduceat(x, (ends - count)[full])
+            best = np.zeros(n, np.uint64)
+            best[full] = least
+            at = np.flatnonzero((x == best[of]) & ~last)
+            left[of[at[::-1]]] = place[at[::-1]] + 1  # of equal ones the first
+        sizes = np.stack([left, count - left], 1)
+        prints = long_fingerprints(*sets(word, sizes.ravel(), PAIR), 1).reshape(n, 2).view(np.uint64) >> np.uint64(64 - BITS)
+        big = (sizes * SHARE >= count[:, None]) & (left > 0)[:, None]
+        keys = (np.arange(2) + PIECES + 2 * k << BITS) + prints.astype(np.int64)
+        out[:, 2 * k : 2 * k + 2] = np.where(big, keys, -1)
+    return out
+
+
+# ---- one document of each group
+
+
 def one_of_each(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs with one document of each label of labels(doc_id, hash, label): that of the smallest doc_id (null ids
     last), and of these of the smallest text hash; of repeated rows one stays. The columns are those of docs.
