@@ -283,3 +283,11 @@ def test_many_small_components_one_behind_another_take_few_passes(spark, monkeyp
     got = {r["node"]: r["component"] for r in graphs.color_components(spark.createDataFrame(sorted(pairs), "src string, dst string")).collect()}
     assert got == dict(kernels.strong_components(sorted(pairs))) and len(set(got.values())) == n
     assert len(passes) <= 6
+
+
+def test_mutual_cycles_shuffle_edges_once(spark):
+    """Each pair of modules that use each other is met by one grouping of the edges, with no join; repeated edges count once."""
+    e = edges(spark, ("b", "a"), ("a", "b"), ("a", "b"), ("c", "b"), ("b", "c"), ("c", "d"), ("e", "d"), ("e", "c"), ("c", "e"))
+    got = graphs.mutual_cycles(e)
+    assert sorted((r["node"], r["cycle"]) for r in got.collect()) == [("a", ["a", "b", "a"]), ("b", ["b", "a", "b"]), ("c", ["c", "b", "c"]), ("e", ["e", "c", "e"])]
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()

@@ -90,7 +90,6 @@ def search_cycles(edges: DataFrame) -> DataFrame:
     of its length, meet in one join. Cycles of two edges are looked for first, then those of three. If there are none,
     edges that lie on no cycle go before anything is searched: what is left is inside strong components.
     """
-    edges = stored(edges)
     for short in (mutual_cycles, triangles):
         met = stored(short(edges))
         if not empty(met):
@@ -111,8 +110,10 @@ def search_cycles(edges: DataFrame) -> DataFrame:
 
 def mutual_cycles(edges: DataFrame) -> DataFrame:
     """(node, cycle): of each node that has cycles of two edges the smallest; edges without loops."""
-    paths = edges.select(F.col("src").alias("node"), F.col("dst").alias("at"), F.array("src", "dst").alias("path"))
-    return closed(paths, paths)
+    pairs = edges.groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.bool_or(F.col("src") < F.col("dst")).alias("there"), F.bool_or(F.col("src") > F.col("dst")).alias("back"))
+    ways = F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("at")), F.struct(F.col("b").alias("node"), F.col("a").alias("at"))))
+    least = pairs.where("there and back").select(ways.alias("way")).groupBy("way.node").agg(F.min("way.at").alias("at"))
+    return least.select("node", F.array("node", "at", "node").alias("cycle"))
 
 
 def triangles(edges: DataFrame) -> DataFrame:
@@ -372,7 +373,8 @@ def flow_edges(cycles: DataFrame, uses: DataFrame, fragments: DataFrame) -> Data
     members = cycles.select("cycle_id", F.posexplode(F.slice("cycle", F.lit(1), F.size("cycle") - 1)).alias("at", "module"))
     pairs = cycles.select("cycle_id", F.posexplode(F.arrays_zip(F.slice("cycle", F.lit(1), F.size("cycle") - 1).alias("a"), F.slice("cycle", F.lit(2), F.size("cycle") - 1).alias("b"))).alias("at", "e"))
     pairs = pairs.select("cycle_id", F.col("e.a").alias("from_module"), F.col("e.b").alias("to_module"))
-    place = fragments.select("file", "module")
+    # Most modules may be on none of the cycles; their files go before uses are joined.
+    place = stored(fragments.select("file", "module").join(members.select("module").distinct(), "module", "left_semi"))
     e = uses.select("dependee", "dependency").distinct()
     e = e.join(place.select(F.col("file").alias("dependee"), F.col("module").alias("from_module")), "dependee").join(place.select(F.col("file").alias("dependency"), F.col("module").alias("to_module")), "dependency")
     e = stored(e.join(pairs, ["from_module", "to_module"]).select("cycle_id", "dependee", "dependency", "from_module", "to_module"))

@@ -12,7 +12,7 @@ from .functions import commands
 from .functions import text as fn
 from .operators import analysis, graphs, kernels
 from .operators import relational as rel
-from .operators.loops import cut, shared_folder
+from .operators.loops import cut, shared_folder, stored
 from .plans import passes
 from .plans.model import State
 from .sources import readers, writers
@@ -336,8 +336,8 @@ def longer_cycles(spark, sf):
 
 @query(f"{_CYCLES}, e AS (SELECT b.node AS cycle_id, i AS pos, cycle[i] AS module, cycle[i + 1] AS dependency FROM best b, (SELECT unnest(range(1, 10)) AS i) WHERE i < len(cycle)), s AS (SELECT from_module AS module, to_module AS dependency, count(*) AS strength FROM placed WHERE from_module <> to_module GROUP BY ALL), r AS (SELECT e.*, coalesce(strength, 0) AS strength, row_number() OVER (PARTITION BY cycle_id ORDER BY coalesce(strength, 0) DESC, pos) AS r FROM e LEFT JOIN s USING (module, dependency)) SELECT cycle_id, module, dependency, strength FROM r WHERE r = 1")
 def strongest_edge(spark, sf):
-    f, d = fragments(spark, sf, True), deps(spark, sf, True)
-    cycles = graphs.shortest_cycles(_edges(spark, sf)).withColumnRenamed("node", "cycle_id")
+    f, d = stored(fragments(spark, sf, True)), stored(deps(spark, sf, True))
+    cycles = graphs.shortest_cycles(passes.module_edges(State(f, d))).withColumnRenamed("node", "cycle_id")
     return rel.strongest_edges(cycles, rel.coupling(d, f))
 
 
@@ -397,8 +397,9 @@ def cutting_edges(spark, sf):
 
 
 def _flow(spark: SparkSession, sf: str) -> DataFrame:
-    cycles = passes.distinct_cycles(graphs.shortest_cycles(_edges(spark, sf)))
-    return graphs.flow_edges(cut(cycles), uses(spark, sf, True), fragments(spark, sf, True))
+    u, f = stored(uses(spark, sf, True)), stored(fragments(spark, sf, True))
+    cycles = passes.distinct_cycles(graphs.shortest_cycles(passes.module_edges(State(f, u))))
+    return graphs.flow_edges(cut(cycles), u, f)
 
 
 _NETWORK = f"""{_CYCLES}, ids AS (SELECT DISTINCT array_to_string(list_sort(cycle[1:2]), ',') AS cycle_id, list_min(cycle[1:2]) AS m0, list_max(cycle[1:2]) AS m1 FROM best WHERE len(cycle) = 3),
@@ -441,7 +442,7 @@ def files_to_move(spark, sf):
 
 @query()
 def module_merges(spark, sf):
-    into = passes.fold_once(State(fragments(spark, sf, True), deps(spark, sf, True)))
+    into = passes.fold_once(State(stored(fragments(spark, sf, True)), stored(deps(spark, sf, True))))
     return spark.createDataFrame(sorted(into.items()), "module string, target string")
 
 
