@@ -3,11 +3,13 @@
 import random
 import re
 
+import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
 from weftgraph.llm import pii, simhash
 from weftgraph.llm.common import table
+from weftgraph.operators.loops import CLEANUP
 
 SF = "/root/testdata/sf0.001"
 
@@ -99,3 +101,32 @@ def test_no_pair_at_the_threshold_is_missed(spark):
         alike.append(similarity(other) >= 0.8)
     label = {r["doc_id"]: r["label"] for r in simhash.grouped(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert 200 < sum(alike) < 600 and [label[2 * k] == label[2 * k + 1] for k in range(600)] == alike
+
+
+def test_near_copies_leave_no_shuffle_files(spark):
+    """Shuffle files of one step are gone before the next, or all steps' lie on disk at once."""
+    docs = table(spark, SF, "documents").limit(60).localCheckpoint()
+    before, setting = _shuffled(spark), spark.conf.get(CLEANUP, None)
+    simhash.deduplicate_similar(docs)
+    assert not _shuffled(spark) - before
+    assert spark.conf.get(CLEANUP, None) == setting
+
+
+def test_briefs_tell_large_sets_apart():
+    """No pair that is similar enough is lost, and long texts with half of their shingles in common do not send their sets."""
+    rng = np.random.default_rng(1)
+    for n in (1, 7, 300, 3000):
+        for m in range(n // 5 + 1) if n < 300 else (0, n // 12, n // 10, n // 9, n // 3, n):
+            h = rng.choice(1 << 40, n + m, replace=False).astype(np.uint64)
+            for x, y in ((h[:n], h[m:]), (h, h[m:])):
+                both = len(np.intersect1d(x, y))
+                alike = simhash.briefly_alike(simhash.brief(x), simhash.brief(y), len(x) + len(y))
+                similarity = both / (len(x) + len(y) - both)
+                assert alike or similarity < simhash.SIMILAR
+                if n == 3000 and similarity < 0.7:
+                    assert not alike
+
+
+def _shuffled(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {n for n in (files.apply(i).getName() for i in range(files.size())) if n.startswith("shuffle_")}

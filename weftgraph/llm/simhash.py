@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, components, cut, flat, fresh, on_workers, slices
+from .common import bounded, components, cut, flat, fresh, on_workers, slices, tidy
 
 #: Bits by which linked fingerprints may differ, and what each side of a meeting flips.
 RADIUS, HALF = 2, 1
@@ -253,10 +253,36 @@ def sketches(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "doc_id long, hash long, node long, size long, prefix array<long>, odd array<long>")
 
 
+def brief(h: np.ndarray) -> bytes:
+    """Parities as in parities(), by at least two places a shingle, so that they tell large sets apart too. The number of
+    places is a power of 2: halves laid on each other are the parities by half as many."""
+    places = max(PLACES, 1 << (2 * len(h) - 1).bit_length())
+    at = ((h ^ (h >> np.uint64(31))) * _ODD[0, 0] >> np.uint64(20)) & np.uint64(places - 1)
+    return np.packbits((np.bincount(at.astype(np.int64), minlength=places) & 1).astype(np.uint8)).tobytes()
+
+
+def briefly_alike(x: bytes, y: bytes, size: int) -> bool:
+    """Whether sets of `size` shingles together may be similar enough by their briefs; true for all that are."""
+    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    while len(a) != len(b):
+        a, b = (a, b) if len(a) > len(b) else (b, a)
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum()) <= size * ((1 - SIMILAR) / (1 + SIMILAR)) + 1e-6
+
+
 def _set_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in slices(batches, "text"):
-        packed = pa.array(_packed(*sets(*hashed(*flat(b.column("text")), 1), LONG_SHINGLE)), pa.binary())
-        yield pa.RecordBatch.from_arrays([b.column("node"), packed], ["node", "held"])
+        h, at = sets(*hashed(*flat(b.column("text")), 1), LONG_SHINGLE)
+        short = [brief(h[i:j]) for i, j in zip(at[:-1], at[1:])]
+        columns = [b.column("node"), pa.array(np.diff(at)), pa.array(short, pa.binary()), pa.array(_packed(h, at), pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, ["node", "size", "brief", "held"])
+
+
+def _brief_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        size = np.add(b.column("size_a"), b.column("size_b")).tolist()
+        good = [briefly_alike(x.as_buffer(), y.as_buffer(), n) for x, y, n in zip(b.column("brief_a"), b.column("brief_b"), size)]
+        yield pa.RecordBatch.from_arrays([b.column(c).filter(pa.array(good, pa.bool_())) for c in ("a", "b")], ["a", "b"])
 
 
 def _similar_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,7 +296,11 @@ def _similar_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
 
 def _similar(pairs: DataFrame, held: DataFrame) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets are similar enough; held(node, held) has each node's."""
+    """The pairs (a, b) of nodes whose sets are similar enough; held(node, size, brief, held) has each node's. Sets travel for
+    the pairs that their briefs leave, as a set of a long text is many times its brief."""
+    for n in ("a", "b"):
+        pairs = pairs.join(held.select(F.col("node").alias(n), F.col("size").alias(f"size_{n}"), F.col("brief").alias(f"brief_{n}")), n)
+    pairs = cut(pairs.mapInArrow(_brief_batches, "a long, b long"))
     for n in ("a", "b"):
         pairs = pairs.join(held.select(F.col("node").alias(n), F.col("held").alias(f"held_{n}")), n)
     return cut(pairs.select("a", "b", "held_a", "held_b").mapInArrow(_similar_batches, "a long, b long"))
@@ -314,10 +344,10 @@ def grouped(docs: DataFrame) -> DataFrame:
     one = cut(keyed.select("node", F.col("one.doc_id").alias("one_id"), F.col("one.hash").alias("one_hash")))
 
     def held(pairs: DataFrame) -> DataFrame:
-        """(node, held): the sets of the pairs' nodes, each from one of its texts."""
+        """(node, size, brief, held): the sets of the pairs' nodes, each from one of its texts."""
         asked = cut(one.join(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "node", "left_semi"))
         texts = plain.join(bounded(asked), F.col("hash").eqNullSafe(F.col("one_hash")) & F.col("doc_id").eqNullSafe(F.col("one_id")))
-        return cut(texts.select("node", "text").mapInArrow(_set_batches, "node long, held binary").groupBy("node").agg(F.first("held").alias("held")))
+        return cut(texts.select("node", "text").mapInArrow(_set_batches, "node long, size long, brief binary, held binary").groupBy("node").agg(*[F.first(c).alias(c) for c in ("size", "brief", "held")]))
 
     label = components(_similar(first, held(first)))
     known = cut(keyed.join(label, "node", "left").withColumn("label", F.coalesce("label", "node")))
@@ -427,4 +457,5 @@ def deduplicate(docs: DataFrame) -> DataFrame:
 
 def deduplicate_similar(docs: DataFrame) -> DataFrame:
     """One document of each group of near copies by five-word similarity."""
-    return one_of_each(docs, grouped(docs))
+    with tidy(docs.sparkSession):
+        return one_of_each(docs, grouped(docs))
