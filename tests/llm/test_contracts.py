@@ -299,3 +299,41 @@ def test_pipeline_on_odd_rows(spark):
         assert set(got) <= ids and (k == len(cp.STAGES) - 1 or docs.columns == columns)
         if k >= 1:
             assert len(got) == len(set(got)) or Counter(got)[None] == len(got) - len(set(got)) + 1
+
+
+def test_no_item_within_its_edits_is_missed(spark, monkeypatch):
+    """Items of 5 to 1300 bytes, also such as share no 12 bytes with their document, against the edits of all documents and
+    items; a document of few pieces over and over, and one over the border of slices, are among them."""
+    rng, made = random.Random(31), []
+    parts = ["the ", "tion", "er", "an ", "ing ", "so", "qu", "é", ". "]
+    prose = lambda n: "".join(rng.choice(parts) for _ in range(n))
+    items = [(i, prose(n)) for i, n in enumerate([2, 3, 3, 4, 5, 6, 8, 10, 14, 20, 30, 40, 60, 90, 420])] + [(70, "abcab"), (71, "zq zq zq"), (72, "in in in in in in in in"), (73, "XyZ"), (73, "Another text of one id.")]
+    for i, t in items:
+        x = list(t)
+        for k in range(4, len(x), 5 if len(t.encode()) == len(t) else 7):
+            x[k] = rng.choice(["#", "", x[k] + "#"])
+        made.append(prose(rng.randrange(30)) + "".join(x) + prose(rng.randrange(30)))
+    made += [prose(60) for _ in range(25)] + ["in " * 300, "zq" * 5, "", "abdab", items[9][1][1:], " ".join(t for _, t in items[:8])]
+    docs = list(enumerate(made))
+    folded = lambda x: decontam._FOLD[np.frombuffer(x.encode(), np.uint8)].tobytes()
+    want = {}
+    for d, x in docs:
+        for i, t in items:
+            n, end = decontam.edits(folded(t), folded(x))
+            if n <= decontam.most_edits(len(t.encode())):
+                want[d, i] = max((1 - n / len(t.encode()), -n, -end), want.get((d, i), (0, 0, 0)))
+    frames = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for together in (10**9, 1):  # one by one, and many at once
+        monkeypatch.setattr(decontam, "TOGETHER", together)
+        index = decontam.Index([i for i, _ in items], [t for _, t in items], [])
+        data = b"".join(x.encode() for x in made)
+        starts = np.concatenate([[0], np.cumsum([len(x.encode()) for x in made])]).astype(np.int64)
+        got = {}
+        for d, i, n, end in index.matches(np.frombuffer(data, np.uint8), starts):
+            at, size = (d, index.names[i]), index.lengths[i]
+            got[at] = max((1 - n / size, -n, -end), got.get(at, (0, 0, 0)))
+        assert got == want
+        assert {d for d, *_ in index.matches(np.frombuffer(data, np.uint8), starts, every=False)} == {d for d, _ in want}
+    assert {(r["doc_id"], r["item_id"]): (r["similarity"], -r["edits"], -r["end"]) for r in decontam.matches(*frames).collect()} == want
+    assert {r["doc_id"] for r in decontam.clean(*frames).collect()} == {d for d, _ in docs} - {d for d, _ in want}
+    assert sum((k, i) in want for k, (i, _) in enumerate(items)) >= 15
