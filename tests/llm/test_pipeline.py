@@ -1,5 +1,6 @@
 """The pipeline against a plain version of each stage on what the stage before it kept."""
 
+import os
 import random
 import re
 
@@ -112,6 +113,18 @@ def test_near_copies_leave_no_shuffle_files(spark):
     assert spark.conf.get(CLEANUP, None) == setting
 
 
+def test_near_copies_leave_no_sets(spark):
+    """Prefixes and sets are gone from the shared folder when their step ends, or all steps' lie on disk at once."""
+    from weftgraph.llm.common import shared_folder
+
+    at = shared_folder(spark).removeprefix("file:")
+    held = lambda: sum(os.path.getsize(os.path.join(d, f)) for d, _, files in os.walk(at) for f in files)
+    rows = [(2 * k + j, " ".join(f"w{k}x{i if i != 50 else i + j}" for i in range(20_000))) for k in range(8) for j in (0, 1)]
+    docs, before = spark.createDataFrame(rows, "doc_id long, text string"), held()
+    assert len({r["label"] for r in simhash.grouped(docs).collect()}) == 8
+    assert held() - before < 1_600_000  # the sets of these texts alone have as many bytes, the prefixes half as many
+
+
 def test_briefs_tell_large_sets_apart():
     """No pair that is similar enough is lost, and long texts with half of their shingles in common do not send their sets."""
     rng = np.random.default_rng(1)

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, components, cut, flat, fresh, on_workers, slices, tidy
+from .common import bounded, components, cut, flat, for_now, fresh, on_workers, slices, tidy
 
 #: Bits by which linked fingerprints may differ, and what each side of a meeting flips.
 RADIUS, HALF = 2, 1
@@ -297,13 +297,14 @@ def _similar_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
 def _similar(pairs: DataFrame, held: DataFrame) -> DataFrame:
     """The pairs (a, b) of nodes whose sets are similar enough; held(node, size, brief, held) has each node's. Sets travel for
-    the pairs that their briefs leave, as a set of a long text is many times its brief."""
-    for n in ("a", "b"):
-        pairs = pairs.join(held.select(F.col("node").alias(n), F.col("size").alias(f"size_{n}"), F.col("brief").alias(f"brief_{n}")), n)
-    pairs = cut(pairs.mapInArrow(_brief_batches, "a long, b long"))
-    for n in ("a", "b"):
-        pairs = pairs.join(held.select(F.col("node").alias(n), F.col("held").alias(f"held_{n}")), n)
-    return cut(pairs.select("a", "b", "held_a", "held_b").mapInArrow(_similar_batches, "a long, b long"))
+    the pairs that their briefs leave, as a set of a long text is many times its brief; they are gone when the pairs are known."""
+    with for_now(held) as held:
+        for n in ("a", "b"):
+            pairs = pairs.join(held.select(F.col("node").alias(n), F.col("size").alias(f"size_{n}"), F.col("brief").alias(f"brief_{n}")), n)
+        pairs = cut(pairs.mapInArrow(_brief_batches, "a long, b long"))
+        for n in ("a", "b"):
+            pairs = pairs.join(held.select(F.col("node").alias(n), F.col("held").alias(f"held_{n}")), n)
+        return cut(pairs.select("a", "b", "held_a", "held_b").mapInArrow(_similar_batches, "a long, b long"))
 
 
 def _may_be_alike(size: Column, odd: Column, size_b: Column, odd_b: Column) -> Column:
@@ -327,17 +328,18 @@ def grouped(docs: DataFrame) -> DataFrame:
     """
     on_workers(docs.sparkSession)
     plain = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64("text").alias("hash"))
-    rows = cut(sketches(plain))
-    held_by_node = rows.where("size > 0").groupBy("node")
-    keys = held_by_node.agg(F.first("prefix").alias("prefix")).select("node", F.explode("prefix").alias("key"))
-    nodes = held_by_node.agg(F.min("size").alias("size"), F.first("odd").alias("odd"), F.min(F.struct("doc_id", "hash")).alias("one"))
-    # The first of its key and the one before tell a node their numbers; it is alone if nobody else has the key.
-    drawn = "over (partition by key order by xxhash64(node, key), node)"
-    ruled = keys.selectExpr("node", "key", f"first(node) {drawn} as first", f"lag(node) {drawn} as before", f"lead(node) {drawn} as next")
-    shared = ruled.where("before is not null or next is not null")
-    # Of a node at most a fifth of its shingles, and one.
-    keyed = shared.groupBy("node").agg(F.collect_list("key").alias("keys"), F.array_except(F.array_union(F.collect_set("first"), F.collect_set("before")), F.array("node")).alias("firsts"))
-    keyed = cut(keyed.join(nodes, "node"))
+    # Prefixes, most of what is written, go once the keys are told.
+    with for_now(sketches(plain)) as rows:
+        held_by_node = rows.where("size > 0").groupBy("node")
+        keys = held_by_node.agg(F.first("prefix").alias("prefix")).select("node", F.explode("prefix").alias("key"))
+        nodes = held_by_node.agg(F.min("size").alias("size"), F.first("odd").alias("odd"), F.min(F.struct("doc_id", "hash")).alias("one"))
+        # The first of its key and the one before tell a node their numbers; it is alone if nobody else has the key.
+        drawn = "over (partition by key order by xxhash64(node, key), node)"
+        ruled = keys.selectExpr("node", "key", f"first(node) {drawn} as first", f"lag(node) {drawn} as before", f"lead(node) {drawn} as next")
+        shared = ruled.where("before is not null or next is not null")
+        # Of a node at most a fifth of its shingles, and one.
+        keyed = shared.groupBy("node").agg(F.collect_list("key").alias("keys"), F.array_except(F.array_union(F.collect_set("first"), F.collect_set("before")), F.array("node")).alias("firsts"))
+        keyed, rows = cut(keyed.join(nodes, "node")), cut(rows.select("doc_id", "hash", "node"))
     other = lambda names: keyed.select(*[F.col(c).alias(f"{c}_b") for c in names])
     first = keyed.select("node", "size", "odd", F.explode("firsts").alias("node_b")).join(other(["node", "size", "odd"]), "node_b")
     first = cut(first.where(_may_be_alike(F.col("size"), F.col("odd"), F.col("size_b"), F.col("odd_b"))).select(F.least("node", "node_b").alias("a"), F.greatest("node", "node_b").alias("b")).distinct())
@@ -347,7 +349,7 @@ def grouped(docs: DataFrame) -> DataFrame:
         """(node, size, brief, held): the sets of the pairs' nodes, each from one of its texts."""
         asked = cut(one.join(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "node", "left_semi"))
         texts = plain.join(bounded(asked), F.col("hash").eqNullSafe(F.col("one_hash")) & F.col("doc_id").eqNullSafe(F.col("one_id")))
-        return cut(texts.select("node", "text").mapInArrow(_set_batches, "node long, size long, brief binary, held binary").groupBy("node").agg(*[F.first(c).alias(c) for c in ("size", "brief", "held")]))
+        return texts.select("node", "text").mapInArrow(_set_batches, "node long, size long, brief binary, held binary").groupBy("node").agg(*[F.first(c).alias(c) for c in ("size", "brief", "held")])
 
     label = components(_similar(first, held(first)))
     known = cut(keyed.join(label, "node", "left").withColumn("label", F.coalesce("label", "node")))
