@@ -291,3 +291,32 @@ def test_mutual_cycles_shuffle_edges_once(spark):
     got = graphs.mutual_cycles(e)
     assert sorted((r["node"], r["cycle"]) for r in got.collect()) == [("a", ["a", "b", "a"]), ("b", ["b", "a", "b"]), ("c", ["c", "b", "c"]), ("e", ["e", "c", "e"])]
     assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_groups_are_rows_of_sorted_partitions(spark, monkeypatch):
+    """Thousands of small groups take no data frame each (20 ms of a core before), and large ones come whole, also over several batches."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(kernels, "BATCH", 7)
+    rows_ = [(f"g{k:03}", f"{i:03}", float(i)) for k in range(300) for i in range(1 + (k % 3) + 400 * (k == 5))] + [(None, "x", 1.0)]
+    df = spark.createDataFrame(rows_, "g string, a string, v double")
+    got = kernels.by_group(df, "g", ["a", "v"], lambda k, g: [(k, min(g.a), sum(g.v))] * (k != "g001"), ["g", "a", "v"], [pa.string(), pa.string(), pa.float64()])
+    want = {}
+    for g, _, v in rows_:
+        want[g] = want.get(g, 0) + v
+    assert {r["g"]: r["v"] for r in got.collect()} == {g: v for g, v in want.items() if g != "g001"} and got.count() == 300
+    for plan in (kernels.move_plans, kernels.cut_edges, kernels.cut_values):
+        flow = _flow(spark, [("M1", "a1"), ("M2", "b1")], [("a1", "b1"), ("b1", "a1")])
+        assert "PandasGroup" not in plan(flow)._jdf.queryExecution().optimizedPlan().toString() and "MapInArrow" in plan(flow)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_colouring_goes_both_ways(spark, monkeypatch):
+    """Cycles along two long paths, of which neither the least draw before nor that behind finds all: labels of both ways at once
+    leave few passes, numbers stand for names, and repeated names and names of other languages do no harm."""
+    rng = random.Random(17)
+    pairs = {(f"é{i}", f"é{i + 1}") for i in range(40)} | {(f"é{i + 1}", f"é{i}") for i in range(0, 40, 4)} | {(f"n{rng.randrange(40)}", f"n{rng.randrange(40)}") for _ in range(70)}
+    passes, colored = [], graphs.colored
+    monkeypatch.setattr(graphs, "colored", lambda e, nth: passes.append(nth) or colored(e, nth))
+    monkeypatch.setattr(graphs, "FEW_FRESH", 5)
+    got = {r["node"]: r["component"] for r in graphs.color_components(edges(spark, *sorted(pairs), *sorted(pairs)[:9])).collect()}
+    assert got == dict(kernels.strong_components(sorted((a, b) for a, b in pairs if a != b))) and got and len(passes) <= 4
