@@ -294,7 +294,7 @@ def test_mutual_cycles_shuffle_edges_once(spark):
 
 
 def test_groups_are_rows_of_sorted_partitions(spark, monkeypatch):
-    """Thousands of small groups take no data frame each (20 ms of a core before), and large ones come whole, also over several batches."""
+    """Thousands of small groups take no data frame each, and large ones come whole, also over several batches."""
     import pyarrow as pa
 
     monkeypatch.setattr(kernels, "BATCH", 7)
